@@ -15,6 +15,7 @@ empty string; repeated documents are scanned each; empty tables give an empty re
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -58,19 +59,19 @@ def parts(items: Iterator, window: int, max_chars: int) -> Iterator[list[tuple[s
         yield [(p.decode("latin-1"), n, ids) for p, (n, ids) in found.items()]
 
 
-_BUILT: dict[int, ahocorasick.Automaton] = {}
+_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
-def automaton(part) -> ahocorasick.Automaton:
+def automaton(name: str, part) -> ahocorasick.Automaton:
     """Of a broadcast part; the one built last is kept."""
-    if part.id not in _BUILT:
+    if name not in _BUILT:
         _BUILT.clear()
         a = ahocorasick.Automaton()
         for k, (pattern, n, _) in enumerate(part.value):
             a.add_word(pattern, (k, n, len(pattern)))
         a.make_automaton()
-        _BUILT[part.id] = a
-    return _BUILT[part.id]
+        _BUILT[name] = a
+    return _BUILT[name]
 
 
 def spans_of(text: str, hit: np.ndarray) -> list[dict[str, int]]:
@@ -92,8 +93,8 @@ def scan(batches: Iterator[pa.RecordBatch], broadcasts: list) -> Iterator[pa.Rec
                 n_words.append(len(w))
                 texts.append((b" " + b" ".join(w) + b" ").decode("latin-1"))
             found: dict[int, tuple[np.ndarray, set[str]]] = {}
-            for part in broadcasts:
-                a = automaton(part)
+            for name, part in broadcasts:
+                a = automaton(name, part)
                 for d, text in enumerate(texts):
                     gaps = None
                     for last, (k, n, length) in a.iter(text):
@@ -120,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     """For every document: doc_id, n_words, n_hit, items (ids with occurring windows), spans (hit code points)."""
     sc = docs.sparkSession.sparkContext
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text).cast("string")).toLocalIterator()
-    broadcasts = [sc.broadcast(p) for p in parts(((r[0], r[1]) for r in rows), window, max_pattern_chars)]
+    broadcasts = [(uuid.uuid4().hex, sc.broadcast(p)) for p in parts(((r[0], r[1]) for r in rows), window, max_pattern_chars)]
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: scan(it, broadcasts), SCHEMA)
 
 

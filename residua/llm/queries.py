@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import decontamination, exact_dedup, mixing, pii, sharding, token_counts
+from residua.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, pii, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def remainder(column: str, n: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, remainder("doc_id", 3) != 1)
+    found = language_id.identify(docs, model)
+    return found.withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels, remainder("doc_id", 5) != 0)
+    found = toxicity.toxicity(docs, machine)
+    return found.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+    gone = line_dedup.deleted_lines(F.col("runs"))
+    return found.select("doc_id", "n_lines", F.size(gone).alias("n_deleted"), F.array_join(gone.cast("array<string>"), ",").alias("deleted_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
 }
