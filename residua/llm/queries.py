@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, pii, sharding, token_counts, toxicity
+from residua.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, pii, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.fit(docs, labels, remainder("doc_id", 5) != 0)
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
