@@ -82,7 +82,7 @@ def base_spans(found: DataFrame) -> DataFrame:
     return rows.filter(F.col("value").isNotNull()).filter(valid(named, F.col("value"))).select("doc_id", "row_no", "kind", "start", "end", "value", "before", "after")
 
 
-def disclosing(spans: DataFrame, docs: DataFrame, text_col: str, n_docs: int, support: int, posterior: float, bits: float, max_broadcast_rows: int) -> DataFrame | None:
+def disclosing(spans: DataFrame, docs: DataFrame, text_col: str, n_docs: int, support: int, posterior: float, bits: float) -> DataFrame | None:
     """entity, term, n_et, n_e, n_t of the terms that give an entity away; None where no pair has enough contexts."""
     entity = F.concat_ws(":", F.col("kind").cast("string"), F.col("value"))
     around = F.concat_ws(" ", "before", "after")
@@ -93,11 +93,8 @@ def disclosing(spans: DataFrame, docs: DataFrame, text_col: str, n_docs: int, su
     pairs = settle(pairs.filter(F.col("n_et") >= support), "pii-pairs")
     if pairs.isEmpty():
         return None
-    terms = pairs.select("term").distinct()
-    if terms.count() <= max_broadcast_rows:
-        terms = F.broadcast(terms)
     in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = in_docs.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = in_docs.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # before any join, which would hand out common terms by the document
     scored = pairs.join(n_t, "term").withColumn("posterior", F.col("n_et") / F.col("n_t")).withColumn("bits", F.log2(F.col("n_et") * F.lit(float(n_docs)) / (F.col("n_e") * F.col("n_t"))))
     return settle(scored.filter((F.col("posterior") >= posterior) & (F.col("bits") >= bits)), "pii-terms")
 
@@ -108,7 +105,6 @@ def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str,
     if terms.count() <= max_broadcast_rows:
         terms = F.broadcast(terms)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(TERM_SPLIT), F.lit(0))
     with_text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
     having = with_text.select("doc_id", "text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term").select("doc_id", "text_key").distinct()
     having = settle(having, "pii-term-docs")
@@ -126,7 +122,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """For every document: doc_id, row_no, text_key, spans (array of start, kind, end by start and kind)."""
     found = matches(docs, id_col, text_col, context)
     base = settle(base_spans(found), "pii-base")
-    terms = disclosing(base, docs, text_col, found.count(), support, posterior, bits, max_broadcast_rows)
+    terms = disclosing(base, docs, text_col, found.count(), support, posterior, bits)
     spans = base.select("row_no", "start", "kind", "end")
     if terms is not None and not terms.isEmpty():
         spans = spans.unionByName(term_spans(docs, found, terms, id_col, text_col, max_broadcast_rows).select("row_no", "start", "kind", "end"))
