@@ -51,7 +51,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     """source, n_rows, source_size, target: shares by weight, none above ``most`` times its source.
 
     Handing an excess on by weight until nobody is above ends where every source has min(most * size, level * weight).
-    With the sources in order of most * size / weight, the level is the first that the next source's ratio reaches.
+    With the sources in order of most * size / weight, the level is the first that is not above the source's own ratio; later ones are lower.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
@@ -64,12 +64,13 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     t = t.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
     t = t.withColumn("open_weight", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     t = t.withColumn("level", (F.sum("source_size").over(all_rows) * F.lit(share) - F.col("capped")) / F.col("open_weight"))
-    t = t.withColumn("final", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(all_rows))
+    t = t.withColumn("final", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(all_rows))
     return t.select("source", "n_rows", "source_size", F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
 def taken(rows: DataFrame, per_source: DataFrame, rows_per_bucket: int = 4096, epochs: int = 2) -> DataFrame:
-    """Adds source_size, target, taken to ``rows``: the row's words inside the budget, once an epoch."""
+    """Adds source_size, target, before (words of the source's earlier rows) and taken to ``rows``: the row's words inside
+    the budget, once an epoch."""
     per = per_source.withColumn("buckets", F.ceil(F.col("n_rows") / rows_per_bucket))
     same = rows["source"].eqNullSafe(per["source"])
     dealt = rows.join(F.broadcast(per) if per.count() <= 100_000 else per, same).select(rows["*"], "source_size", "target", F.shiftright(F.col("key") * F.col("buckets"), KEY_BITS).alias("bucket"))
@@ -98,28 +99,46 @@ def taken(rows: DataFrame, per_source: DataFrame, rows_per_bucket: int = 4096, e
     total = part[0]
     for p in part[1:]:
         total = total + p
-    return placed.select("doc_id", "source", "size", "source_size", "target", total.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "key", "key2", "source_size", "target", "before", total.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document."""
+    """doc_id, source, size, key, key2, source_size, target, before, taken for every document."""
     rows = sizes(docs, seed, id_col, text_col, source_col)
     return taken(rows, settle(targets(rows, weights, share, most), "mix-targets"), rows_per_bucket, most)
 
 
-def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def cuts(plan: DataFrame) -> DataFrame:
+    """One row a source: whole (epochs that take every row), and the row in which the last epoch's budget ends, with the
+    words that it still gets.  Rows of the source that come before it are taken once more, later ones are not."""
+    budget = F.round("target").cast("long")
+    rest = budget - F.floor(budget / F.col("source_size")) * F.col("source_size")
+    ends = (F.col("size") > 0) & (F.col("before") <= rest) & (rest < F.col("before") + F.col("size"))
+    row = F.struct("key", "key2", "doc_id", "size")
+    return plan.filter(ends).select("source", F.floor(budget / F.col("source_size")).cast("int").alias("whole"), row.alias("last"), (rest - F.col("before")).alias("words"))
+
+
+def mixed(docs: DataFrame, plan: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", max_broadcast_rows: int = 100_000) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each epoch that takes the document whole, and one with
-    its first words where the budget ends inside it.  ``plan`` is the result of ``mix`` for the same documents."""
-    n, size = free_name(docs, "words_taken"), free_name(docs, "words_there")
-    plan = plan.filter("taken > 0").select(F.col("doc_id").alias(key := free_name(docs, "plan_id")), F.col("taken").alias(n), F.col("size").alias(size)).dropDuplicates([key])
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan[key])).drop(key)
-    copy = free_name(docs, "copy_words")
-    whole = F.array_repeat(F.col(size), F.floor(F.col(n) / F.col(size)).cast("int"))
-    rest = F.when(F.col(n) % F.col(size) > 0, F.array(F.col(n) % F.col(size))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn(copy, F.explode(F.concat(whole, rest)))
+    its first words where the budget ends inside it.  ``plan`` is the result of ``mix`` for the same documents.
+
+    A row finds what it gets by comparing its own hash key with its source's cut, so texts don't shuffle: the cuts, one row
+    a source, are broadcast up to ``max_broadcast_rows``.  Rows that repeat the id and size of a cut row are cut like it;
+    rows without words are left out."""
+    name = {c: free_name(docs, f"mix_{c}") for c in ("source", "whole", "last", "words", "size", "copy")}
+    cut = settle(cuts(plan), "mix-cuts").select(*[F.col(c).alias(name[c]) for c in ("source", "whole", "last", "words")])
+    if cut.count() <= max_broadcast_rows:
+        cut = F.broadcast(cut)
+    rows = docs.join(cut, docs[source_col].eqNullSafe(cut[name["source"]])).withColumn(name["size"], words(F.col(text_col)))
+    size, last = F.col(name["size"]), F.col(name["last"])
+    own = F.struct(hash_key(F.col(id_col), seed, 0).alias("key"), hash_key(F.col(id_col), seed, 1).alias("key2"), F.col(id_col).alias("doc_id"), size.alias("size"))
+    part = F.when(own < last, size).when(own == last, F.col(name["words"])).otherwise(F.lit(0).cast("long"))
+    copies = F.filter(F.concat(F.array_repeat(size, F.col(name["whole"])), F.array(part)), lambda n: n > 0)
+    rows = rows.withColumn(name["copy"], F.explode(copies))
+    copy = F.col(name["copy"])
     pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col(copy) < F.col(size), F.array_join(F.slice(pieces, F.lit(1), F.col(copy).cast("int")), "")).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, cut)
+    cut_text = F.when(copy < size, F.array_join(F.slice(pieces, F.lit(1), copy.cast("int")), "")).otherwise(F.col(text_col))
+    out = {text_col: cut_text}
     if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.when(F.col(copy) < F.col(size), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return rows.select(*[F.col(c) for c in docs.columns])
+        out[chars_col] = F.when(copy < size, F.length(cut_text)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

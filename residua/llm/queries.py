@@ -40,7 +40,7 @@ r AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio FROM q),
 l AS (SELECT *, (1.5::DOUBLE * (SELECT CAST(sum(source_size) AS BIGINT) FROM r) - coalesce(CAST(sum(cap) OVER b AS BIGINT), 0))
         / CAST((SELECT sum(w) FROM r) - coalesce(sum(w) OVER b, 0) AS BIGINT) AS level
       FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT min(level) AS final FROM l WHERE level <= ratio),
+f AS (SELECT max(level) AS final FROM l WHERE level <= ratio),
 g AS (SELECT source, source_size, CASE WHEN final IS NULL OR ratio <= final THEN CAST(cap AS DOUBLE) ELSE final * w END AS target FROM l, f),
 c AS (SELECT t.*, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS budget,
         coalesce(CAST(sum(size) OVER (PARTITION BY t.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
