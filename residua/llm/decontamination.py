@@ -21,7 +21,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm.textbuf import chunks, utf8
@@ -117,14 +118,37 @@ def scan(batches: Iterator[pa.RecordBatch], broadcasts: list) -> Iterator[pa.Rec
             )
 
 
+def shared_parts(spark: SparkSession, items: DataFrame, window: int, item_id: str, item_text: str, max_pattern_chars: int) -> list:
+    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text).cast("string")).toLocalIterator()
+    return [(uuid.uuid4().hex, spark.sparkContext.broadcast(p)) for p in parts(((r[0], r[1]) for r in rows), window, max_pattern_chars)]
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_chars: int = 4_000_000) -> DataFrame:
     """For every document: doc_id, n_words, n_hit, items (ids with occurring windows), spans (hit code points)."""
-    sc = docs.sparkSession.sparkContext
-    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text).cast("string")).toLocalIterator()
-    broadcasts = [(uuid.uuid4().hex, sc.broadcast(p)) for p in parts(((r[0], r[1]) for r in rows), window, max_pattern_chars)]
+    broadcasts = shared_parts(docs.sparkSession, items, window, item_id, item_text, max_pattern_chars)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: scan(it, broadcasts), SCHEMA)
 
 
+def clean(batches: Iterator[pa.RecordBatch], broadcasts: list, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+        for i, found in zip_rows(scan(iter([texts]), broadcasts)):
+            yield batch.slice(i, found.num_rows).filter(pc.equal(found.column(2), 0))
+
+
+def zip_rows(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    i = 0
+    for f in found:
+        yield i, f
+        i += f.num_rows
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
+    broadcasts, at = shared_parts(docs.sparkSession, items, window, item_id, item_text, max_pattern_chars), docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: clean(it, broadcasts, at), docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns by which results are compared."""
     return found.select(

@@ -377,3 +377,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     if roots is None:
         return members_.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     return members_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``docs`` without those that a smaller id stands for; of rows that repeat an id, one.  ``found`` (the result of
+    jaccard_components) is best written before; the ids that go are broadcast up to ``max_broadcast_rows``."""
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    small = gone.count() <= max_broadcast_rows
+    kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["gone_id"], "left_anti")
+    twice = settle(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice_id")), "join-twice")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, kept[id_col].eqNullSafe(twice["twice_id"]), "left_anti")
+    return single.unionByName(kept.join(twice, kept[id_col].eqNullSafe(twice["twice_id"]), "left_semi").dropDuplicates([id_col]))

@@ -118,20 +118,25 @@ def slot_bytes(records: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], l
     return total, rows
 
 
-def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Records with shard and place, and the table of map versions (0: dealt in turn, 1: balanced by bytes)."""
-    spark, records = docs.sparkSession, measured(docs, id_col, text_col, n_slots)
+def balanced_map(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> tuple[list[int], list[int], DataFrame]:
+    """The map balanced by bytes, the rows by virtual slot, and the table of versions (0: dealt in turn, 1: balanced)."""
     load, rows = slot_bytes(records, n_slots)
     v0 = first_map(n_shards, n_slots)
     v1 = rebalance(v0, load, n_shards)
-    versions = map_table(spark, [(0, v0), (1, v1)])
+    return v1, rows, map_table(records.sparkSession, [(0, v0), (1, v1)])
+
+
+def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Records with shard and place, and the table of map versions."""
+    spark, records = docs.sparkSession, measured(docs, id_col, text_col, n_slots)
+    layout, rows, versions = balanced_map(records, n_shards, n_slots)
     first, offsets = [0] * n_shards, []
-    for s, k in enumerate(v1):
+    for s, k in enumerate(layout):
         offsets.append((s, k, first[k]))
         first[k] += rows[s]
-    layout = F.broadcast(spark.createDataFrame(offsets, "virtual_slot int, shard int, first long"))
+    where = F.broadcast(spark.createDataFrame(offsets, "virtual_slot int, shard int, first long"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = records.withColumn("rank", rank).join(layout, "virtual_slot")
+    placed = records.withColumn("rank", rank).join(where, "virtual_slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("slot"), "virtual_slot"), versions
 
 
@@ -139,4 +144,4 @@ def with_shards(docs: DataFrame, versions: DataFrame, version: int = 1, id_col:
     """``docs`` with the shard that a version of the map gives each row; nothing shuffles."""
     slot, to = free_name(docs, "virtual_slot"), free_name(docs, "shard")
     layout = versions.filter(F.col("version") == version).select(F.col("virtual_slot").alias(slot), F.col("shard").alias(to))
-    return docs.withColumn(slot, virtual_slot(F.col(id_col), n_slots)).join(F.broadcast(layout), slot)
+    return docs.withColumn(slot, virtual_slot(F.col(id_col), n_slots)).join(F.broadcast(layout), slot).select(*docs.columns, slot, to)
