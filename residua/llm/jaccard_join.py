@@ -16,8 +16,10 @@ The common order needs only to be the same for all; it comes from counts of all
 delta-coded 32-bit hashes by hash range and counted range by range; the level (log2 of the count) of frequent ones is kept
 in a table of bounded size, the least count in it rising until it fits.  So the order loses sharpness, never a link.
 
-Candidates that share keys form families (connected components on narrow edges).  Families are packed to tasks of about
-``pack_tokens`` elements and linked there by a breadth-first search that compares a set with those not yet reached only:
+A list's documents are joined only where a bound allows a link: sizes within the threshold, and the sum of minima of two
+histograms of the elements (about one bin for 16 elements, never below the true intersection) high enough.  Longer lists
+than ``list_limit`` are joined without this test.  What is joined forms families (connected components on narrow edges).
+Families are packed to tasks and linked there by a breadth-first search that compares a set with those not yet reached only:
 no pair is ever emitted.  A family above ``pack_tokens`` is cut into blocks; blocks are searched alone, then against a few
 documents of each family's largest components, and then each block's documents that are still outside of the largest one
 against every other block, which is exact and touches few rows where the family hangs together.
@@ -189,6 +191,70 @@ def keys_of(own: np.ndarray, table: np.ndarray, small: int, num: int, den: int)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Counts of the elements by their low bits, in about a bin for 16 of them; empty where a count passes a byte."""
+    bins = 1 << max(4, (len(own) // 16).bit_length())
+    c = np.bincount((own & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return c.astype(np.uint8).tobytes() if len(own) and c.max() < 256 else b""
+
+
+def plausible(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each document of a list the first of its component, where links are all pairs that the bound allows."""
+    n = len(sizes)
+    out, open_ = np.arange(n), np.ones(n, bool)
+    bins = np.array([len(x) for x in sketches])
+    place = np.zeros(n, int)
+    table = {}
+    for b in np.unique(bins):
+        own = np.flatnonzero(bins == b)
+        place[own] = np.arange(len(own))
+        table[b] = (own, np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(len(own), b).astype(np.int32) if b else None)
+    for first in range(n):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        queue = [first]
+        while queue:
+            v = queue.pop()
+            out[v] = first
+            mine = table[bins[v]][1][place[v]] if bins[v] else None
+            for b, (own, rows) in table.items():
+                pick = np.flatnonzero(open_[own] & (den * np.minimum(sizes[own], sizes[v]) >= num * np.maximum(sizes[own], sizes[v])))
+                if not len(pick):
+                    continue
+                if mine is not None and rows is not None:
+                    low = min(b, len(mine))
+                    theirs = rows[pick].reshape(len(pick), -1, low).sum(axis=1)
+                    most = np.minimum(theirs, mine.reshape(-1, low).sum(axis=0)).sum(axis=1)
+                    other = sizes[own[pick]]
+                    pick = pick[den * most >= num * (other + sizes[v] - most)]
+                hit = own[pick]
+                open_[hit] = False
+                queue += hit.tolist()
+    return out
+
+
+def joined_lists(num: int, den: int):
+    """Edges inside each list of a task, to the first document of each component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, rep, size = (table.column(c).to_numpy() for c in ("key", "rep", "n_shingles"))
+        sketches = table.column("sketch").to_pylist()
+        order = np.lexsort((rep, key))
+        cut = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        a, b = [], []
+        for own in np.split(order, cut[1:]):
+            if len(own) > 1:
+                first = plausible(size[own], [sketches[i] for i in own], num, den)
+                a.append(rep[own[first]])
+                b.append(rep[own])
+        a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return run
+
+
 def keyed(batches: Iterator[pa.RecordBatch], shared, k: int, small: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     table = shared.value
     for batch in batches:
@@ -196,8 +262,8 @@ def keyed(batches: Iterator[pa.RecordBatch], shared, k: int, small: int, num: in
         for sets in sets_of(batch.column(1), k):
             keys = [keys_of(s, table, small, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "keys"],
+                [batch.column(0).slice(i, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "class", "sketch", "keys"],
             )
             i += len(sets)
 
@@ -304,7 +370,7 @@ def family_links(members: DataFrame, num: int, den: int, pack_tokens: int) -> Da
     sizes = members.groupBy("family").agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("n"))
     sizes = settle(sizes, "join-families")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    packs = max(1, ceil(total / pack_tokens))
+    packs = max(1, ceil(total / min(pack_tokens, 500_000)))
     giant = sizes.filter(F.col("tokens") > pack_tokens)
     has_giant = not giant.isEmpty()
     rows = members.join(giant.select("family"), "family", "left_anti") if has_giant else members
@@ -348,19 +414,24 @@ def family_links(members: DataFrame, num: int, den: int, pack_tokens: int) -> Da
     return found
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 2_000_000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 6_000_000, list_limit: int = 2000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table, mean = levels(docs, "text", k)
     small = boundary(mean, num, den)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = settle(docs.mapInArrow(lambda it: keyed(it, shared, k, small, num, den), "doc_id long, n_shingles long, class binary, keys array<long>"), "join-keys")
+    rows = settle(docs.mapInArrow(lambda it: keyed(it, shared, k, small, num, den), "doc_id long, n_shingles long, class binary, sketch binary, keys array<long>"), "join-keys")
     full = rows.filter("n_shingles > 0")
-    reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
+    reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     reps = settle(reps.drop("class"), "join-reps")
-    lists = reps.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    lists = settle(lists.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "join-lists").join(lists, "key")
-    edges = settle(lists.filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "join-edges")
+    lists = reps.select("rep", F.explode("keys").alias("key"))
+    shared_keys = settle(lists.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-lists")
+    entries = settle(lists.join(shared_keys, "key"), "join-entries")
+    tasks = max(1, ceil(entries.count() / 100_000))
+    short = entries.filter(F.col("n") <= list_limit).join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "rep", "n_shingles", "sketch")
+    near = short.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInArrow(joined_lists(num, den), "a long, b long")
+    long_ = entries.filter((F.col("n") > list_limit) & (F.col("a") != F.col("rep"))).select("a", F.col("rep").alias("b"))
+    edges = settle(near.unionByName(long_).distinct(), "join-edges")
     classes = settle(full.groupBy("class").agg(F.min("doc_id").alias("rep")), "join-classes")
     if edges.isEmpty():
         roots = None
