@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.textbuf import chunks, utf8
+from residua.llm.textbuf import chunks, trimmed, utf8
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Byte by byte: lower case; whatever stands between words becomes a space.
@@ -126,7 +126,7 @@ def shared_parts(spark: SparkSession, items: DataFrame, window: int, item_id: st
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_chars: int = 4_000_000) -> DataFrame:
     """For every document: doc_id, n_words, n_hit, items (ids with occurring windows), spans (hit code points)."""
     broadcasts = shared_parts(docs.sparkSession, items, window, item_id, item_text, max_pattern_chars)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: scan(it, broadcasts), SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: trimmed(scan(it, broadcasts)), SCHEMA)
 
 
 def clean(batches: Iterator[pa.RecordBatch], broadcasts: list, at: int) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def zip_rows(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
     broadcasts, at = shared_parts(docs.sparkSession, items, window, item_id, item_text, max_pattern_chars), docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: clean(it, broadcasts, at), docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(clean(it, broadcasts, at)), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

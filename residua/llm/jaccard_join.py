@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.llm.scratch import settle
-from residua.llm.textbuf import LOWER_ASCII, NOT_SPACE, bounds, chunks, mix, prefix_sums, shingles, slice_hashes, utf8
+from residua.llm.textbuf import LOWER_ASCII, NOT_SPACE, bounds, chunks, mix, prefix_sums, release, shingles, slice_hashes, trimmed, utf8
 
 MAX_LEVELS = 1 << 22
 RANGES_BITS = 8
@@ -126,7 +126,7 @@ def counted(least: int):
 
 def levels(docs: DataFrame, text_col: str, k: int, least: int = 4) -> tuple[np.ndarray, float]:
     """A table of levels by hash, its size a power of two, and the mean number of documents of a shingle."""
-    blobs = docs.select(text_col).mapInArrow(lambda it: gathered(it, k), "range int, blob binary")
+    blobs = docs.select(text_col).mapInArrow(lambda it: trimmed(gathered(it, k)), "range int, blob binary")
     found = settle(blobs.groupBy("range").applyInArrow(counted(least), "hash long, level int"), "join-levels")
     total = found.groupBy(F.least("hash", F.lit(0)).alias("h")).agg(F.sum(F.col("level").cast("long")).alias("n")).collect()
     ends = {r.h: r.n for r in total}
@@ -250,6 +250,7 @@ def joined_lists(num: int, den: int):
                 b.append(rep[own])
         a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+        release()
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return run
@@ -360,6 +361,7 @@ def search(num: int, den: int):
             b.append(ids[own][root])
         a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         some = a != b
+        release()
         return pa.table({"a": pa.array(a[some], pa.int64()), "b": pa.array(b[some], pa.int64())})
 
     return run
@@ -420,7 +422,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     table, mean = levels(docs, "text", k)
     small = boundary(mean, num, den)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = settle(docs.mapInArrow(lambda it: keyed(it, shared, k, small, num, den), "doc_id long, n_shingles long, class binary, sketch binary, keys array<long>"), "join-keys")
+    rows = settle(docs.mapInArrow(lambda it: trimmed(keyed(it, shared, k, small, num, den)), "doc_id long, n_shingles long, class binary, sketch binary, keys array<long>"), "join-keys")
     full = rows.filter("n_shingles > 0")
     reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     reps = settle(reps.drop("class"), "join-reps")
@@ -439,7 +441,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         families = components(edges)
         named = families.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
         texts = docs.join(F.broadcast(named) if named.count() <= max_broadcast_rows else named, "doc_id")
-        sets = texts.select("doc_id", "text", "family").mapInArrow(lambda it: task_sets(it, k), "doc_id long, family long, elements array<long>").dropDuplicates(["doc_id"])
+        sets = texts.select("doc_id", "text", "family").mapInArrow(lambda it: trimmed(task_sets(it, k)), "doc_id long, family long, elements array<long>").dropDuplicates(["doc_id"])
         members = settle(sets.select("doc_id", F.size("elements").cast("long").alias("n_shingles"), "family", "elements"), "join-members")
         links = family_links(members, num, den, pack_tokens)
         roots = None if links.isEmpty() else components(links)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.textbuf import chunks, utf8
+from residua.llm.textbuf import chunks, trimmed, utf8
 
 BITS = 15
 SEGMENT = 240
@@ -76,7 +76,7 @@ def examples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_row
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, fit_rows / n) * 1_000_000))])
     lang = F.col(lang_col).cast("string")
     chosen = known.filter(draw < rate[lang]).select(F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(1 << 40)).alias("part"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = chosen.mapInArrow(lambda it: segments(it, most), "part long, lang string, text string")
+    rows = chosen.mapInArrow(lambda it: trimmed(segments(it, most)), "part long, lang string, text string")
     return sorted(tuple(r) for r in rows.limit(3 * fit_rows * most * len(counts)).collect())
 
 
@@ -191,4 +191,4 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability), rejected (score below the threshold) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: predicted(it, shared), SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: trimmed(predicted(it, shared)), SCHEMA)

@@ -5,15 +5,33 @@ Memory is linear in ``CHUNK`` bytes, or in the longest text where one is longer;
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for later tasks, beside the executor's other memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory goes back when the last one has been taken."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     column = column.cast(pa.large_string()).fill_null("")

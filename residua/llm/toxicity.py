@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.textbuf import bounds, chunks, prefix_sums, slice_hashes, utf8
+from residua.llm.textbuf import bounds, chunks, prefix_sums, slice_hashes, trimmed, utf8
 
 BITS = 20
 MAX_TERMS = 1024
@@ -72,7 +72,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, tex
     limit = F.when(F.col("toxic") == 1, int(min(1.0, fit_rows / n[1]) * 1_000_000)).otherwise(int(min(1.0, fit_rows / n[0]) * 1_000_000))
     chosen = known.filter(draw < limit)  # about 2 * fit_rows ids, by the rates above
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("row_id") == F.col("label_id"))
-    rows = rows.select("toxic", "text").mapInArrow(term_sets, "toxic int, terms array<int>").limit(8 * fit_rows)
+    rows = rows.select("toxic", "text").mapInArrow(lambda it: trimmed(term_sets(it)), "toxic int, terms array<int>").limit(8 * fit_rows)
     found = [(r[0], np.array(r[1], np.int64)) for r in rows.toLocalIterator()]
     return sorted(found, key=lambda r: (r[0], len(r[1]), r[1].tobytes())), share
 
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: scored(it, shared), SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: trimmed(scored(it, shared)), SCHEMA)
 
 
 def rejected(batches: Iterator[pa.RecordBatch], machine, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -180,4 +180,4 @@ def rejected(batches: Iterator[pa.RecordBatch], machine, at: int, threshold: flo
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below the threshold."""
     shared, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: rejected(it, shared, at, threshold), docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(rejected(it, shared, at, threshold)), docs.schema)
