@@ -25,7 +25,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def merge_counts(stored: DataFrame | None, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Counts of both, added up by key."""
-    both = new if stored is None else stored.unionByName(new)
+    new = new.select(*keys, "count")
+    both = new if stored is None else stored.select(*keys, "count").unionByName(new)
     return both.groupBy(*keys).agg(F.sum("count").alias("count"))
 
 
