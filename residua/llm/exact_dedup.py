@@ -99,7 +99,7 @@ def decisions(
     )
     maybe = settle(marked.filter("may_repeat").drop("may_repeat"), "dedup-maybe")
     first = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row_no").alias("r")))
-    groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("best"))
+    groups = settle(maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("best")), "dedup-groups")
     repeated = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.r")).alias("kept"), "text_sha256", "row_no"
     )
