@@ -117,8 +117,8 @@ def select(rows: list, least: float = 12.0) -> np.ndarray:
     return np.sort(top[g[top] >= least])
 
 
-def train(rows: list, share: float, rank: int = 4, steps: int = 1500, batch: int = 256, rate: float = 0.03, decay: float = 2e-5, pair_decay: float = 2e-3, seed: int = 11) -> Machine:
-    """Logistic loss, Adam steps.  The weights learn alone for the first third, so that the factors, which decay faster,
+def train(rows: list, share: float, rank: int = 4, steps: int = 2500, batch: int = 256, rate: float = 0.03, decay: float = 2e-5, pair_decay: float = 5e-3, seed: int = 11) -> Machine:
+    """Logistic loss, Adam steps.  The weights learn alone for the first half, so that the factors, which decay faster,
     take up only what single terms can't say."""
     prior = min(max(share, 0.0), 1.0)
     if not rows or len({r[0] for r in rows}) < 2:
@@ -146,7 +146,7 @@ def train(rows: list, share: float, rank: int = 4, steps: int = 1500, batch: int
         d = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[own]).astype(np.float32) / len(own)
         grads = (xb.T @ d + decay * w, xb.T @ (d[:, None] * sums) - v * (xb.T @ d)[:, None] + pair_decay * v, np.array([d.sum()], np.float32))
         for p, g, (m1, m2) in zip((w, v, bias), grads, moments, strict=True):
-            if p is v and step <= steps // 3:
+            if p is v and step <= steps // 2:
                 continue
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
