@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from residua.functions.alphabet import LETTERS, RESIDUES
 from residua.functions.stats import binomial
 from residua.functions.strings import count_of
-from residua.operators.kmers import residues
 
 
 def letter_counts(prots: DataFrame, keys: tuple[str, ...] = (), letters: str = LETTERS) -> DataFrame:
@@ -51,17 +50,20 @@ def fragment_prob(frag: Column, probs: Column) -> Column:
     return F.aggregate(F.split(frag, ""), F.lit(1.0), lambda a, c: a * probs[c])
 
 
-def covering(pos: Column, length: Column, lf: Column) -> Column:
-    """The number of windows of lf residues that cover a place (from 1) of a sequence."""
-    return F.greatest(F.least(pos, length - pos + 1, lf, length - lf + 1), F.lit(0))
-
-
 def weighted(prots: DataFrame, lengths: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
-    """lf, keys, aa, weight, prob: frequencies of residues as windows of lf see them (X left out)."""
+    """lf, keys, aa, weight, prob: frequencies of residues as windows of lf see them (X left out).
+
+    All residues but those near the ends are covered by the most windows: letters are counted with that weight, and only the
+    residues near the ends make rows, to take off what they lack."""
     spark = prots.sparkSession
     sizes = F.broadcast(spark.createDataFrame([(n,) for n in lengths], "lf int"))
-    rows = residues(prots, (*keys, "len")).filter("aa <> 'X'").join(sizes)
-    rows = rows.groupBy("lf", *keys, "aa").agg(F.sum(covering(F.col("pos"), F.col("len"), F.col("lf"))).cast("long").alias("weight")).filter("weight > 0")
+    most = F.least(F.col("lf"), F.col("len") - F.col("lf") + 1)
+    p = prots.join(sizes, F.col("len") >= F.col("lf")).select("lf", *keys, "seq", most.alias("most"))
+    whole = F.array(*[F.struct(F.lit(c).alias("aa"), (count_of(F.col("seq"), c) * F.col("most")).cast("long").alias("w")) for c in RESIDUES])
+    ends = F.array(F.substr("seq", F.lit(1), F.col("most") - 1), F.substr(F.reverse("seq"), F.lit(1), F.col("most") - 1))
+    near = p.select("lf", *keys, "most", F.explode(ends).alias("end")).filter("end <> ''")
+    lacking = near.select("lf", *keys, F.inline(F.transform(F.split("end", ""), lambda c, i: F.struct(c.alias("aa"), (i + 1 - F.col("most")).cast("long").alias("w"))))).filter("aa <> 'X'")
+    rows = p.select("lf", *keys, F.inline(whole)).unionByName(lacking).groupBy("lf", *keys, "aa").agg(F.sum("w").alias("weight")).filter("weight > 0")
     return rows.withColumn("prob", F.col("weight") / F.sum("weight").over(Window.partitionBy("lf", *keys)))
 
 

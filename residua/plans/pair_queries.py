@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from residua.functions import strings as st
 from residua.operators import abundance as ab
 from residua.operators import alignment as al
-from residua.operators import curation, distance, graph, homology, kmers, nullmodels, sampling
+from residua.operators import curation, distance, graph, homology, models, nullmodels, sampling
 from residua.plans.sqltext import HAMMING, PROT, VALID, hashed, km, pairs, sample
 from residua.sources import files
 from residua.sources.corpus import proteins, table
@@ -576,32 +576,20 @@ def _(s, d):
     return curation.curated(genome_table(s, d))
 
 
-@query("g9_markov_model", None)
+@query("g9_markov_model")
 def _(s, d):
-    """A first-order chain: each next residue is drawn by key from the distribution after the residue before it."""
     p = proteins(s, d)
-    counts = kmers.windows(p, 2, ("prot_id",), True).groupBy("frag").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.select(F.substr("frag", F.lit(1), F.lit(1)).alias("a"), F.substr("frag", F.lit(2), F.lit(1)).alias("b"), "n").collect()  # 400 rows at most
-    total = {}
-    for r in rows:
-        total[r.a] = total.get(r.a, 0) + r.n
-    steps = {}
-    for r in sorted(rows, key=lambda r: (r.a, r.b)):
-        before = steps.setdefault(r.a, [])
-        before.append((r.b, (before[-1][1] if before else 0.0) + r.n / total[r.a]))
-    if not steps:
-        return s.createDataFrame([], "gpos long, frag string")
-    nexts = F.create_map(*[x for a, l in steps.items() for x in (F.lit(a), F.array(*[F.struct(F.lit(b).alias("b"), F.lit(q).alias("q")) for b, q in l]))])
+    draw = models.chain(p)
     f = sampling.systematic(p, 50, 20_000, 2_000, 4)
-    start = F.substr("frag", F.lit(1), F.lit(1))
-    start = F.when(start.isin(*steps), start).otherwise(F.lit(min(steps)))
+    return f.select("gpos", draw(F.substr("frag", F.lit(1), F.lit(1)), F.col("gpos"), "g9", 50).alias("frag"))
 
-    def draw(text, i):
-        u = F.conv(F.substring(sampling.keyed("g9", F.col("gpos").cast("string"), i.cast("string")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-        last = F.substr(text, F.lit(-1), F.lit(1))
-        found = F.filter(nexts[F.when(last.isin(*steps), last).otherwise(F.lit(min(steps)))], lambda x: x["q"] >= u)
-        return F.concat(text, F.coalesce(F.get(found, F.lit(0))["b"], last))
 
-    return f.select("gpos", F.aggregate(F.sequence(F.lit(1), F.lit(49)), start, draw).alias("frag"))
+for _flavour in models.FLAVOURS:
+    QUERIES[f"g10_flavour_{_flavour}"] = lambda s, d, k=_flavour: models.evaluate(s, proteins(s, d), models.FLAVOURS[k], 20, 100, 1000)
 
 
+@query("j18_seeded_components", f"WITH RECURSIVE {COMPONENT.split(', c(frag)')[0]}, sd AS (SELECT frag FROM (SELECT frag, row_number() OVER (ORDER BY frag) AS r FROM f) WHERE r % 50 = 1), c(seed, frag) AS (SELECT frag, frag FROM sd UNION SELECT c.seed, e.b FROM c JOIN e ON c.frag = e.a) SELECT seed, count(*) AS size FROM c GROUP BY seed")
+def _(s, d):
+    f = ab.hits_per_protein(proteins(s, d), 8).filter("prots >= 40").select("frag")
+    return graph.seeded(f, 8, 1, 50)
+

@@ -12,9 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by key where it is so small that its files keep only some of the cores busy (a file's row group is
+    one task, and what is made of a sequence is many times its size).  Larger input is left where it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= cores * split:
+        return df
+    return df.repartition(4 * cores, key)
+
+
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prot_id, org, clade, seq, len of the documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return docs.select(F.col("doc_id").alias("prot_id"), F.col("source").alias("org"), F.col("lang").alias("clade"), normalise(F.col("text")).alias("seq")).withColumn("len", F.length("seq"))
 
 
