@@ -226,3 +226,19 @@ def test_ortholog_paralog_pairs(spark):
     p = proteins(spark, ["ACDACD", "ACD", "ACD"], ["x", "x", "y"])
     r = {x.frag: x for x in abundance.ortholog_paralog(p, 3).collect()}["ACD"]
     assert (r.total, r.ortho, r.para) == (4, 3, 3)
+
+
+def test_models_and_seeded_components(spark):
+    from residua.operators import models
+
+    rng = random.Random(4)
+    p = proteins(spark, ["".join(rng.choice("ACDEFG") for _ in range(150)) for _ in range(6)], ["x", "y"] * 3)
+    for name in ("natural", "F", "D", "k3", "T1", "P1", "E0"):
+        rows = models.model_pairs(spark, p, name, 10, 100, 60).collect()
+        assert rows and all(len(r.frag1) == len(r.frag2) == 10 for r in rows), name
+    h = models.evaluate(spark, p, ("natural", "F"), 10, 100, 60)
+    totals = {r.model: r.n for r in h.groupBy("model").agg(F.sum("count").alias("n")).collect()}
+    assert totals["natural"] == totals["F"] and totals["F"] % len(alignment.METRICS) == 0
+    frags = [f"{a}{b}{c}" for a in "AC" for b in "AC" for c in "AC"] + ["FFF"]
+    out = graph.seeded(spark.createDataFrame([(f,) for f in frags], "frag string"), 3, 1, 8)
+    assert {(r.seed, r["size"]) for r in out.collect()} == {("AAA", 8), ("FFF", 1)}
