@@ -6,14 +6,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 256
+CHUNK = 64
 
 
 def windows(prots: DataFrame, lf: int, keep: tuple[str, ...] = ("prot_id", "org"), valid_only: bool = False) -> DataFrame:
     """keep, pos (from 1), frag of every window of lf residues; valid_only: without X."""
     n = F.col("len") - lf + 1
-    chunks = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.substr("seq", c * CHUNK + 1, F.lit(CHUNK + lf - 1))))
-    cut = prots.filter(n > 0).select(*keep, chunks.alias("c", "chunk"))
+    # a sequence that is too short has no array; a filter would be pushed down and make its residues once more
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")))
+    chunks = F.posexplode(F.transform(numbers, lambda c: F.substr("seq", c * CHUNK + 1, F.lit(CHUNK + lf - 1))))
+    cut = prots.select(*keep, chunks.alias("c", "chunk"))
     inside = cut.select(*keep, "c", "chunk", F.explode(F.sequence(F.lit(1), F.length("chunk") - lf + 1)).alias("p"))
     out = inside.select(*keep, (F.col("c") * CHUNK + F.col("p")).alias("pos"), F.substr("chunk", F.col("p"), F.lit(lf)).alias("frag"))
     return out.filter(~F.contains("frag", F.lit("X"))) if valid_only else out

@@ -44,13 +44,15 @@ def reassembled(rows: DataFrame, pieces: str = "pos") -> DataFrame:
     return rows.groupBy("prot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pieces, "aa"))), lambda s: s["aa"]), "").alias("seq"))
 
 
-def placed(prots: DataFrame, group: tuple[str, ...], seed: str, equal: bool = False) -> DataFrame:
+def placed(prots: DataFrame, group: tuple[str, ...], seed: str, equal: bool = False, per_cell: int = 50_000) -> DataFrame:
     """prot_id, pos, aa after a shuffle of all residues but X inside the groups (the whole corpus where there is none).
 
-    Ranks are taken in two steps, inside ranges of the key and over the ranges' counts, so that a group of any size is
+    Ranks are taken in two steps, inside ranges of the key (of about ``per_cell`` residues) and over the ranges' counts, so that a group of any size is
     spread over tasks: places by (prot_id, pos), residues by the keyed order; equal ranks meet."""
     r = residues(prots, ("prot_id", *group))
-    free = r.filter("aa <> 'X'").withColumn("k", keyed(seed, F.col("prot_id").cast("string"), F.col("pos").cast("string")))
+    free = r.filter("aa <> 'X'").withColumn("k", F.unhex(keyed(seed, F.col("prot_id").cast("string"), F.col("pos").cast("string"))))
+    cells = -(-(prots.agg(F.sum(F.col("len").cast("long"))).first()[0] or 1) // per_cell)
+    cell = F.floor(F.conv(F.hex(F.substring("k", 1, 4)), 16, 10).cast("long") * cells / 2**32)  # a range of the key
 
     def ranked(df: DataFrame, cell: Column, *order: str) -> DataFrame:
         df = df.withColumn("cell", cell)
@@ -61,7 +63,7 @@ def placed(prots: DataFrame, group: tuple[str, ...], seed: str, equal: bool = Fa
         return inside.join(before, [*group, "cell"]).withColumn("rank", F.col("base") + F.col("r")).drop("cell", "base", "r")
 
     places = ranked(free.select("prot_id", *group, "pos"), F.floor(F.col("prot_id") / 64), "prot_id", "pos")
-    letters = ranked(free.select(*group, "aa", "k", F.col("prot_id").alias("_p"), F.col("pos").alias("_q")), F.substring("k", 1, 3), "k", "_p", "_q")
+    letters = ranked(free.select(*group, "aa", "k", F.col("prot_id").alias("_p"), F.col("pos").alias("_q")), cell, "k", "_p", "_q")
     if equal:
         letters = letters.withColumn("aa", F.substr(F.lit(RESIDUES), (F.col("rank") % 20 + 1).cast("int"), F.lit(1)))
     new = places.join(letters.select(*group, "rank", "aa"), [*group, "rank"]).select("prot_id", "pos", "aa")
