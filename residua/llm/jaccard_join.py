@@ -14,7 +14,8 @@ finds the candidates without loss:
 
 The common order needs only to be the same for all; it comes from counts of all shingles of the corpus, gathered as
 delta-coded 32-bit hashes by hash range and counted range by range; the level (log2 of the count) of frequent ones is kept
-in a table of bounded size, the least count in it rising until it fits.  So the order loses sharpness, never a link.
+in a table of bounded size, the least count in it rising until it fits.  So the order loses sharpness, never a link.  A
+bitmap of bounded size tells which shingles occur twice or more; those that don't are left out of the lists.
 
 A list's documents are joined only where a bound allows a link: sizes within the threshold, and the sum of minima of two
 histograms of the elements (about one bin for 16 elements, never below the true intersection) high enough.  Longer lists
@@ -25,8 +26,8 @@ documents of each family's largest components, and then each block's documents t
 against every other block, which is exact and touches few rows where the family hangs together.
 
 Defined results: a null or empty text has an empty set and links with nothing, not even another one; a text of fewer than
-k words has its whole sequence as its only shingle; rows that repeat an id are separate members of their class; ids must
-not be null; empty tables give empty results; other columns do not matter.
+k words has its whole sequence as its only shingle; rows that repeat an id are separate members of their class; a row
+without an id has no component (null) and always stays; empty tables give empty results; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ from residua.llm.scratch import settle
 from residua.llm.textbuf import LOWER_ASCII, NOT_SPACE, bounds, chunks, mix, prefix_sums, release, shingles, slice_hashes, trimmed, utf8
 
 MAX_LEVELS = 1 << 22
+MAX_BITS = 29
 RANGES_BITS = 8
+PART = 1 << 20
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -92,56 +95,91 @@ def gathered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield blobs()
 
 
-def counted(least: int):
-    """Of one hash range: the hashes of at least ``least`` documents, with log2 of their count."""
-
-    def merge(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        held, n = [], 0
-
-        def fold(values, counts, held):
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            u, back = np.unique(np.concatenate((values, v)), return_inverse=True)
-            return u, np.bincount(back, weights=np.concatenate((counts, c)), minlength=len(u)).astype(np.int64)
-
-        total = 0
-        for table in tables:
-            for blob in table.column("blob").to_pylist():
-                raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                held.append(np.cumsum(raw.astype(np.int64)).astype(np.uint32))
-                n += len(raw)
-                total += len(raw)
-                if n >= 1 << 22:
-                    values, counts = fold(values, counts, held)
-                    held, n = [], 0
-        if held:
-            values, counts = fold(values, counts, held)
-        some = counts >= least
-        level = np.floor(np.log2(np.maximum(counts[some], 1))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(values[some].astype(np.int64)), pa.array(level)], names=["hash", "level"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([min(total, 2**31 - 1), min(len(values), 2**31 - 1)], pa.int32())], names=["hash", "level"])
-
-    return merge
-
-
-def levels(docs: DataFrame, text_col: str, k: int, least: int = 4) -> tuple[np.ndarray, float]:
-    """A table of levels by hash, its size a power of two, and the mean number of documents of a shingle."""
+COUNTED = "parts int, total long, seen long, hashes binary, counts binary, by_level array<long>"
+
+
+def counted(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one hash range: the hashes that occur at least twice with log2 of their counts, PART of them a row, and how many
+    hashes there are; at most 2**(32 - RANGES_BITS) distinct ones are held."""
+    values, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    held, n, total = [], 0, 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        v, c = np.unique(np.concatenate(held), return_counts=True)
+        u, back = np.unique(np.concatenate((values, v)), return_inverse=True)
+        return u, np.bincount(back, weights=np.concatenate((counts, c)), minlength=len(u)).astype(np.int64)
+
+    for table in tables:
+        for blob in table.column("blob").to_pylist():
+            raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+            held.append(np.cumsum(raw.astype(np.int64)).astype(np.uint32))
+            n += len(raw)
+            total += len(raw)
+            if n >= 1 << 22:
+                values, counts = fold()
+                held, n = [], 0
+    if held:
+        values, counts = fold()
+    some = counts >= 2
+    often, level = values[some], np.floor(np.log2(np.maximum(counts[some], 1))).astype(np.uint8)
+    for i in range(0, max(1, len(often)), PART):
+        own, own_level = often[i : i + PART], level[i : i + PART]
+        first = i == 0
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(first)], pa.int32()), pa.array([total if first else 0], pa.int64()), pa.array([len(values) if first else 0], pa.int64()),
+                pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([own_level.tobytes()], pa.binary()),
+                pa.array([np.bincount(own_level, minlength=33).tolist()], pa.list_(pa.int64())),
+            ],
+            names=["parts", "total", "seen", "hashes", "counts", "by_level"],
+        )
+    release()
+
+
+def above(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            level = np.frombuffer(c, np.uint8)
+            some = level >= floor
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<u4")[some].astype(np.int64)), pa.array(level[some].astype(np.int32))], names=["hash", "level"])
+
+
+def bits(batches: Iterator[pa.RecordBatch], size_bits: int) -> Iterator[pa.RecordBatch]:
+    """For each row its hashes as bits, by their high bits: the first byte's place, and the bytes."""
+    for batch in batches:
+        for h in batch.column(0).to_pylist():
+            at = np.frombuffer(h, "<u4") >> np.uint32(32 - size_bits)
+            if len(at):
+                first = int(at[0]) >> 3
+                own = np.zeros((int(at[-1]) >> 3) - first + 1, np.uint8)
+                np.bitwise_or.at(own, (at >> np.uint32(3)).astype(np.int64) - first, (1 << (at & np.uint32(7))).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["first", "bits"])
+
+
+def levels(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Levels by the low bits of a hash, bits by its high bits that are set where the hash occurs twice or more, and the mean
+    number of documents of a shingle.  Both tables have bounds; where they are too small, more lists are scanned."""
     blobs = docs.select(text_col).mapInArrow(lambda it: trimmed(gathered(it, k)), "range int, blob binary")
-    found = settle(blobs.groupBy("range").applyInArrow(counted(least), "hash long, level int"), "join-levels")
-    total = found.groupBy(F.least("hash", F.lit(0)).alias("h")).agg(F.sum(F.col("level").cast("long")).alias("n")).collect()
-    ends = {r.h: r.n for r in total}
-    mean = ends.get(-1, 0) / max(1, ends.get(-2, 0))
-    real = found.filter("hash >= 0")
-    sizes = dict(real.groupBy("level").count().collect())
-    floor = 0
+    found = settle(blobs.groupBy("range").applyInArrow(counted, COUNTED), "join-levels")
+    ends = found.agg(F.sum("total"), F.sum("seen")).first()
+    total, seen = ends[0] or 0, ends[1] or 0
+    sizes = dict(found.select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n")).filter("level > 1").collect())
+    floor = 2
     while sum(n for level, n in sizes.items() if level >= floor) > MAX_LEVELS // 4:
         floor += 1
-    rows = real.filter(F.col("level") >= floor).toArrow()
+    rows = found.select("hashes", "counts").mapInArrow(lambda it: above(it, floor), "hash long, level int").toArrow()
     size = 1 << max(10, (4 * max(1, rows.num_rows) - 1).bit_length())
     table = np.zeros(size, np.uint8)
     slot = rows.column("hash").to_numpy() & (size - 1)
-    np.maximum.at(table, slot, rows.column("level").to_numpy().astype(np.uint8) + 1)
-    return table, mean
+    np.maximum.at(table, slot, rows.column("level").to_numpy().astype(np.uint8))
+
+    twice = found.agg(F.sum(F.length("counts").cast("long"))).first()[0] or 0
+    size_bits = min(MAX_BITS, max(13, (8 * twice).bit_length()))
+    seen_twice = np.zeros(1 << (size_bits - 3), np.uint8)
+    for r in found.select("hashes").mapInArrow(lambda it: bits(it, size_bits), "first long, bits binary").toLocalIterator():
+        own = np.frombuffer(r.bits, np.uint8)
+        seen_twice[r.first : r.first + len(own)] |= own
+    return table, seen_twice, total / max(1, seen)
 
 
 # --- keys -------------------------------------------------------------------------------------------------------------
@@ -175,8 +213,9 @@ def boundary(mean_list: float, num: int, den: int, most: int = 64) -> int:
     return best
 
 
-def keys_of(own: np.ndarray, table: np.ndarray, small: int, num: int, den: int) -> np.ndarray:
-    """The keys of a set (sorted distinct hashes): of subsets, of the first elements in the common order, or both."""
+def keys_of(own: np.ndarray, table: np.ndarray, twice: np.ndarray, small: int, num: int, den: int) -> np.ndarray:
+    """The keys of a set (sorted distinct hashes): of subsets, of the first elements in the common order, or both.  Elements
+    of no other document are no keys."""
     n, out = len(own), []
     if n <= small * den // num:  # it may be the larger set of a pair whose smaller one is small
         with np.errstate(over="ignore"):
@@ -187,7 +226,9 @@ def keys_of(own: np.ndarray, table: np.ndarray, small: int, num: int, den: int)
     if n > small:
         p = n - needed(n, num, den) + 1
         level = table[(own >> np.uint64(32)).astype(np.int64) & (len(table) - 1)]
-        out.append(own[np.lexsort((own, level))[:p]])
+        first = own[np.lexsort((own, level))[:p]]
+        at = (first >> np.uint64(64 - (len(twice) * 8).bit_length() + 1)).astype(np.int64)
+        out.append(first[twice[at >> 3] >> (at & 7) & 1 == 1])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -257,11 +298,11 @@ def joined_lists(num: int, den: int):
 
 
 def keyed(batches: Iterator[pa.RecordBatch], shared, k: int, small: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    table = shared.value
+    table, twice = shared.value
     for batch in batches:
         i = 0
         for sets in sets_of(batch.column(1), k):
-            keys = [keys_of(s, table, small, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            keys = [keys_of(s, table, twice, small, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "class", "sketch", "keys"],
@@ -419,11 +460,11 @@ def family_links(members: DataFrame, num: int, den: int, pack_tokens: int) -> Da
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 6_000_000, list_limit: int = 2000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table, mean = levels(docs, "text", k)
+    table, twice, mean = levels(docs, "text", k)
     small = boundary(mean, num, den)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast((table, twice))
     rows = settle(docs.mapInArrow(lambda it: trimmed(keyed(it, shared, k, small, num, den)), "doc_id long, n_shingles long, class binary, sketch binary, keys array<long>"), "join-keys")
-    full = rows.filter("n_shingles > 0")
+    full = rows.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     reps = settle(reps.drop("class"), "join-reps")
     lists = reps.select("rep", F.explode("keys").alias("key"))
@@ -446,7 +487,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         links = family_links(members, num, den, pack_tokens)
         roots = None if links.isEmpty() else components(links)
     members_ = rows.join(classes, "class", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    members_ = members_.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    members_ = members_.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     if roots is None:
         return members_.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     return members_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
@@ -458,8 +499,8 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", max_b
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     small = gone.count() <= max_broadcast_rows
     kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["gone_id"], "left_anti")
-    twice = settle(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice_id")), "join-twice")
+    twice = settle(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("twice_id")), "join-twice")
     if twice.isEmpty():
         return kept
-    single = kept.join(twice, kept[id_col].eqNullSafe(twice["twice_id"]), "left_anti")
-    return single.unionByName(kept.join(twice, kept[id_col].eqNullSafe(twice["twice_id"]), "left_semi").dropDuplicates([id_col]))
+    single = kept.join(twice, kept[id_col] == twice["twice_id"], "left_anti")
+    return single.unionByName(kept.join(twice, kept[id_col] == twice["twice_id"], "left_semi").dropDuplicates([id_col]))

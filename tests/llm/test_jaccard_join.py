@@ -71,13 +71,13 @@ def test_small_sets_are_enumerated_and_large_ones_listed():
     small = op.boundary(1.2, 85, 100)
     assert 6 <= small <= 20
     rng = np.random.default_rng(0)
-    table = np.zeros(1024, np.uint8)
+    table, twice = np.zeros(1024, np.uint8), np.full(1024, 255, np.uint8)
     for n in range(1, 40):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         for gone in range(0, n - op.needed(n, 85, 100) + 1):
             b = a[gone:]
             if len(b) and 100 * len(b) >= 85 * len(a):
-                assert np.intersect1d(op.keys_of(a, table, small, 85, 100), op.keys_of(b, table, small, 85, 100)).size, (n, gone)
+                assert np.intersect1d(op.keys_of(a, table, twice, small, 85, 100), op.keys_of(b, table, twice, small, 85, 100)).size, (n, gone)
 
 
 def test_bound_never_drops_a_link():
@@ -100,3 +100,12 @@ def test_one_of_each_and_empty(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, c in want.values()})
     assert op.jaccard_components(frame(spark, [])).count() == 0
+
+
+def test_rows_without_an_id_stay(spark):
+    text = "one two three four five six seven"
+    df = frame(spark, [(1, text), (2, text), (None, text), (None, text), (None, None)])
+    found = op.jaccard_components(df)
+    assert sorted((r.doc_id or 0, r.component_id) for r in found.collect() if r.doc_id) == [(1, 1), (2, 1)]
+    assert [r.component_id for r in found.collect() if r.doc_id is None] == [None] * 3
+    assert sorted(r.doc_id or 0 for r in op.one_of_each(df, found).collect()) == [0, 0, 0, 1]
