@@ -88,35 +88,45 @@ def decisions(
     bits_per_row: int = 16,
     max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, row_no for every row of ``docs``."""
+    """doc_id, keep_id, group_size, kept, text_sha256, n_points, row_no for every row of ``docs``."""
     rows = keys(docs, id_col, text_col)
     blocks = max(1, ceil(rows.count() * bits_per_row / BLOCK_BITS))
     filt = settle(repeat_filter(rows, "text_sha256", blocks, probes), "dedup-filter")
     marked = may_repeat(rows, "text_sha256", filt, blocks, probes, max_broadcast_bytes)
 
     unique = marked.filter(~F.col("may_repeat")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row_no"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points", "row_no"
     )
     maybe = settle(marked.filter("may_repeat").drop("may_repeat"), "dedup-maybe")
     first = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row_no").alias("r")))
     groups = settle(maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("best")), "dedup-groups")
     repeated = maybe.join(groups, "text_sha256").select(
-        "doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.r")).alias("kept"), "text_sha256", "row_no"
+        "doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.r")).alias("kept"), "text_sha256", "n_points", "row_no"
     )
     return unique.unionByName(repeated)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 1_000_000, **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only the ids of dropped rows are joined back; ids must tell rows apart (rows that repeat an id and its text stay once
-    each through ``dropDuplicates``).
-    """
-    gone = decisions(docs, id_col, text_col, **how).filter(~F.col("kept")).select(F.col("doc_id").alias(key := free_name(docs, "gone_id")), F.col("keep_id").alias(by := free_name(docs, "gone_for")))
-    twice = gone.filter(F.col(key).eqNullSafe(F.col(by))).select(F.col(key)).distinct()
-    out = gone.filter(~F.col(key).eqNullSafe(F.col(by)))
-    kept = docs.join(out, docs[id_col].eqNullSafe(out[key]), "left_anti")
-    mark = free_name(docs, "repeated")
-    flagged = kept.join(twice.withColumn(mark, F.lit(True)), kept[id_col].eqNullSafe(twice[key]), "left").drop(key)
-    single, several = flagged.filter(F.col(mark).isNull()).drop(mark), flagged.filter(F.col(mark).isNotNull()).drop(mark)
-    return single.unionByName(several.dropDuplicates([id_col]))
+    Rows are told apart by id, normalised text and length; of rows that agree in all three one stays if any is to stay.
+    What goes is broadcast up to ``max_broadcast_rows``."""
+    copies = decisions(docs, id_col, text_col, **how).filter("group_size > 1")
+    same = copies.groupBy("doc_id", "text_sha256", "n_points").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    name = {c: free_name(docs, f"dedup_{c}") for c in ("id", "hash", "points")}
+    same = settle(same.select(F.col("doc_id").alias(name["id"]), F.col("text_sha256").alias(name["hash"]), F.col("n_points").alias(name["points"]), "stays", "n"), "dedup-same")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def met(rows: DataFrame, keys: DataFrame, how_: str) -> DataFrame:
+        keys = keys.drop("stays", "n")
+        if keys.count() <= max_broadcast_rows:
+            keys = F.broadcast(keys)
+        on = (F.sha2(normalised(rows[text_col]), 256) == keys[name["hash"]]) & (F.length(F.coalesce(rows[text_col], F.lit(""))) == keys[name["points"]]) & rows[id_col].eqNullSafe(keys[name["id"]])
+        return rows.join(keys, on, how_)
+
+    kept = met(docs, same.filter(~F.col("stays")), "left_anti")
+    several = same.filter("stays and n > 1")
+    if several.isEmpty():
+        return kept
+    hashed = met(kept, several, "left_semi").withColumn(name["hash"], F.sha2(normalised(F.col(text_col)), 256)).withColumn(name["points"], F.length(text))
+    return met(kept, several, "left_anti").unionByName(hashed.dropDuplicates([id_col, name["hash"], name["points"]]).select(*docs.columns))

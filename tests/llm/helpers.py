@@ -23,4 +23,4 @@ AWKWARD = [
     (11, "no\x00 control \x1f chars \x7f here at all, just bytes", "es", "c"),
     (12, "l1 l1 l1 l1\n" * 50, "en", "b"),
 ]
-EMPTY: list = []
+NO_ID = [(None, "row without an id and some more words to go on with here"), (None, None)]
