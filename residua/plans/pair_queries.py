@@ -140,9 +140,9 @@ def _(s, d):
     return frags(s, d).groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query("agg32_progress", f"WITH {S} SELECT batch, count(*) AS frags FROM smp GROUP BY ROLLUP (batch)")
+@query("agg32_progress", f"WITH {S} SELECT coalesce(CAST(batch AS VARCHAR), 'all') AS batch, count(*) AS frags FROM smp GROUP BY ROLLUP (batch)")
 def _(s, d):
-    return frags(s, d).rollup("batch").agg(F.count(F.lit(1)).alias("frags"))
+    return frags(s, d).rollup("batch").agg(F.count(F.lit(1)).alias("frags")).withColumn("batch", F.coalesce(F.col("batch").cast("string"), F.lit("all")))
 
 
 DOMAIN = "CAST(least(greatest(pos - 25, 1), len - 99) AS INTEGER)"
