@@ -11,10 +11,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """At most ARROW_ROWS rows in an Arrow batch: the texts of a batch are held twice, by the executor and its Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under a name of its own in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
