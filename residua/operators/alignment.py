@@ -33,8 +33,6 @@ def aligned(a: np.ndarray, b: np.ndarray, opening: int, free_ends: bool) -> np.n
         else:
             new_b[:, lo : hi + 1] = np.maximum(one_ago[:, lo : hi + 1] + opening, gap_b[:, lo : hi + 1] + EXTEND)
             new_a[:, 1:] = np.maximum(one_ago[:, :-1] + opening, gap_a[:, :-1] + EXTEND)
-            if d - 1 >= 0 and lo == 0 and d <= lb:  # the cell with i = 0 has nothing from above
-                new_a[:, 0] = LOW
             i = np.arange(max(lo, 1), min(hi, d - 1) + 1)
             now = np.maximum(new_b, new_a)
             if len(i):
@@ -89,9 +87,7 @@ def scores(left: list[str], right: list[str]) -> np.ndarray:
 
 def score_pairs(pairs: DataFrame, left: str = "frag1", right: str = "frag2") -> DataFrame:
     """``pairs`` with the 14 scores; fragments of unequal length get nulls."""
-    schema = pairs.schema.simpleString()[7:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", " + ", ".join(f"{m} long" for m in METRICS)
-    del schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
