@@ -364,13 +364,13 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
             gone[new] = True
             queue += left[new].tolist()
             if 4 * gone.sum() > len(left) or not queue:  # the sets that are still to be reached move together
-                alone = gone[0] and gone.sum() == 1
+                first, alone = left[0], gone[0] and gone.sum() == 1  # the root is first only until sets have moved
                 left = left[~gone]
                 gone = np.zeros(len(left), bool)
                 if not len(left):
                     out[queue] = root
                     break
-                left_flat = left_flat[sizes[root] :] if alone else np.concatenate([member[i] for i in left])
+                left_flat = left_flat[sizes[first] :] if alone else np.concatenate([member[i] for i in left])
                 left_starts = np.concatenate(([0], np.cumsum(sizes[left])[:-1]))
     return out
 

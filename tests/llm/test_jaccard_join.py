@@ -91,6 +91,37 @@ def test_bound_never_drops_a_link():
             assert op.plausible(np.array([len(a), len(b)]), [op.sketch(a), op.sketch(b)], 85, 100).tolist() == [0, 0]
 
 
+def components_of(sets, num, den):
+    out = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if den * both >= num * (len(a) + len(sets[j]) - both):
+                lo, hi = sorted((out[i], out[j]))
+                out = [lo if x == hi else x for x in out]
+    return out
+
+
+def test_links_of_a_family_match_brute_force():
+    def u(*x):
+        return np.unique(np.array(x, np.uint64))
+
+    # 0 reaches 1; both leave together, then 2 alone, which has another size than 0; 3 and 4 link
+    a = np.arange(40)
+    sets = [u(*a), u(*a, 40, 41, 42, 43), u(*a, 40, 41, 42, 43, 44, 45, 46, 47), u(*range(100, 120)), u(*range(100, 120), 120), u(*range(200, 230))]
+    assert op.linked(sets, 85, 100).tolist() == components_of(sets, 85, 100) == [0, 0, 0, 3, 3, 5]
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        sets = []
+        for _ in range(int(rng.integers(1, 12))):  # chains of growing sets, each linked with the next, dealt in any order
+            low, size = int(rng.integers(0, 10**6)), int(rng.integers(5, 60))
+            for _ in range(int(rng.integers(1, 9))):
+                sets.append(np.arange(low, low + size).astype(np.uint64))
+                size += int(rng.integers(0, max(2, size // 6)))
+        sets = [sets[i] for i in rng.permutation(len(sets))] if rng.random() < 0.5 else sets
+        assert op.linked(sets, 85, 100).tolist() == components_of(sets, 85, 100)
+
+
 def test_one_of_each_and_empty(spark):
     docs = near_copies(5, 15) + [(5000, "one two three four five six"), (5000, "one two three four five six"), (5001, None), (5002, None)]
     df = frame(spark, docs)
