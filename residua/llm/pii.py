@@ -5,9 +5,10 @@ matches are taken from it; the lengths of the pieces, added up, are the places o
 
 Disclosure: an entity is a distinct base value.  Its contexts are the distinct surroundings (``context`` code points on
 either side, inside the gap between matches) in which it stands; copies of a passage are one context.  For a term t near
-entity e, with n(e,t) contexts that hold both, n(e) contexts of e, n(t) documents of the whole corpus with t and N
-documents in all, the posterior is n(e,t) / n(t) and the information log2(n(e,t) N / (n(e) n(t))).  A term that reaches
-``support`` contexts, ``posterior`` and ``bits`` discloses e; all its occurrences in the corpus are spans of kind term.
+entity e, with n(e,t) documents that hold both, n(e) documents with e, n(t) documents with t and N documents in all (rows
+of the corpus, copies included, in all four), the posterior is n(e,t) / n(t) and the information
+log2(n(e,t) N / (n(e) n(t))).  A term that reaches ``support`` contexts, ``posterior`` and ``bits`` discloses e; all its
+occurrences in the corpus are spans of kind term.
 ``sanitised`` puts a general name in place of every span.
 
 Every grouping shuffles narrow rows and counts before it shuffles; the terms to look for are broadcast only below
@@ -86,11 +87,10 @@ def disclosing(spans: DataFrame, docs: DataFrame, text_col: str, n_docs: int, su
     """entity, term, n_et, n_e, n_t of the terms that give an entity away; None where no pair has enough contexts."""
     entity = F.concat_ws(":", F.col("kind").cast("string"), F.col("value"))
     around = F.concat_ws(" ", "before", "after")
-    ctx = spans.select(entity.alias("entity"), F.xxhash64(around).alias("ctx"), F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0))).alias("terms"))
-    ctx = ctx.groupBy("entity", "ctx").agg(F.first("terms").alias("terms"))
-    often = ctx.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = ctx.join(often, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = settle(pairs.filter(F.col("n_et") >= support), "pii-pairs")
+    ctx = spans.select("row_no", entity.alias("entity"), F.xxhash64(around).alias("ctx"), F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0))).alias("terms"))
+    often = ctx.groupBy("entity").agg(F.countDistinct("row_no").alias("n_e"), F.countDistinct("ctx").alias("contexts")).filter(F.col("contexts") >= support).drop("contexts")
+    pairs = ctx.join(often, "entity").select("row_no", "ctx", "entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.countDistinct("row_no").alias("n_et"), F.countDistinct("ctx").alias("contexts"))
+    pairs = settle(pairs.filter(F.col("contexts") >= support), "pii-pairs")
     if pairs.isEmpty():
         return None
     in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))

@@ -61,5 +61,15 @@ def test_terms_that_disclose_and_those_that_do_not(spark):
     assert {r.doc_id: r.spans for r in op.digest(small).collect()} == spans
 
 
+def test_copies_of_a_document_do_not_hide_its_term(spark):
+    docs = [(i, f"{w} Zorblax wrote mail bob@x.org about {w} things") for i, w in enumerate("alpha beta gamma delta epsilon".split())]
+    docs += [(100 + i, docs[2][1]) for i in range(2000)]  # in thousands, as the data hold them
+    docs += [(10_000 + i, f"other mail wrote things about number {i}") for i in range(40_000)] + [(60_000, "zorblax alone")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in op.digest(op.personal_data(rows)).filter("doc_id < 10000 or doc_id = 60000").collect()}
+    assert spans[60_000] == "term:0:7"
+    assert all("term:6:13" in spans[i] or "term:5:12" in spans[i] or "term:8:15" in spans[i] for i in (0, 1, 2, 3, 4, 100, 2099))
+
+
 def test_empty(spark):
     assert op.digest(op.personal_data(frame(spark, []))).count() == 0
