@@ -3,18 +3,18 @@
 Base spans (email, ip, card, phone) come from one regular expression each.  A text is split by the expression and the
 matches are taken from it; the lengths of the pieces, added up, are the places of the matches, so no Python is needed.
 
-Disclosure: an entity is a distinct base value.  Its contexts are the distinct surroundings (``context`` code points on
-either side, inside the gap between matches) in which it stands; copies of a passage are one context.  For a term t near
-entity e, with n(e,t) documents that hold both, n(e) documents with e, n(t) documents with t and N documents in all (rows
-of the corpus, copies included, in all four), the posterior is n(e,t) / n(t) and the information
-log2(n(e,t) N / (n(e) n(t))).  A term that reaches ``support`` contexts, ``posterior`` and ``bits`` discloses e; all its
-occurrences in the corpus are spans of kind term.
+Disclosure: an entity is a distinct base value.  For a term t and an entity e that stand in one text, wherever in it, with
+n(e,t) documents that hold both, n(e) documents with e, n(t) documents with t and N documents in all (rows of the corpus,
+copies included, in all four), the posterior is n(e,t) / n(t) and the information log2(n(e,t) N / (n(e) n(t))).  A term
+that stands with e in ``support`` distinct texts (equal texts count once) and reaches ``posterior`` and ``bits`` discloses
+e; all its occurrences in the corpus are spans of kind term.  Terms of an email must stand outside of email addresses in
+those texts; numbers hold no letters.
 ``sanitised`` puts a general name in place of every span.
 
 Every grouping shuffles narrow rows and counts before it shuffles; the terms to look for are broadcast only below
 ``max_broadcast_rows`` and joined otherwise.
 
-Defined results: a null text counts as empty; an entity in one context only discloses nothing; rows that repeat are
+Defined results: a null text counts as empty; an entity in fewer than ``support`` texts has no terms; rows that repeat are
 reported each; an empty table gives an empty result; other columns do not matter.
 """
 
@@ -37,11 +37,6 @@ PATTERNS = {
 #: What a text with a match holds at least.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
-TERM_SPLIT = r"(?:(?<!\p{L})|\G)\p{L}{3,}+"
-
-
-def pieces(text: Column, pattern: str, context: int) -> Column:
-    return F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("gap"), F.left(x, F.lit(context)).alias("head"), F.right(x, F.lit(context)).alias("tail")))
 
 
 def valid(kind: Column, value: Column) -> Column:
@@ -57,43 +52,58 @@ def valid(kind: Column, value: Column) -> Column:
     )
 
 
-def matches(docs: DataFrame, id_col: str, text_col: str, context: int) -> DataFrame:
-    """A row for each document, written once: doc_id, row_no, text_key, and by kind the matches and the pieces between."""
+def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each document, written once: doc_id, row_no, text_key, and by kind the matches and the lengths between."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = [F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64(text).alias("text_key")]
     for kind, pattern in PATTERNS.items():
         hint = text.rlike(HINTS[kind])
-        cols += [F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"{kind}_m"), F.when(hint, pieces(text, pattern, context)).alias(f"{kind}_p")]
+        cols += [F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"{kind}_m"), F.when(hint, F.transform(F.split(text, pattern, -1), F.length)).alias(f"{kind}_p")]
     return settle(docs.select(*cols), "pii-matches")
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """doc_id, row_no, kind (place in KINDS), start, end, value, head, tail: the valid matches with their surroundings."""
+    """doc_id, row_no, text_key, kind (place in KINDS), start, end, value: the valid matches."""
     parts = None
     for k, kind in enumerate(PATTERNS):
         at = F.posexplode(F.arrays_zip(F.col(f"{kind}_m").alias("m"), F.col(f"{kind}_p").alias("p"))).alias("pos", "x")
-        rows = found.filter(F.size(f"{kind}_m") > 0).select("doc_id", "row_no", F.lit(k).alias("kind"), at)
-        rows = rows.select("doc_id", "row_no", "kind", "pos", F.col("x").getField("m").alias("value"), F.col("x").getField("p").getField("gap").alias("gap"), F.col("x").getField("p").getField("tail").alias("before"), F.col("x").getField("p").getField("head").alias("head"))
+        rows = found.filter(F.size(f"{kind}_m") > 0).select("doc_id", "row_no", "text_key", F.lit(k).alias("kind"), at)
+        rows = rows.select("doc_id", "row_no", "text_key", "kind", "pos", F.col("x").getField("m").alias("value"), F.col("x").getField("p").alias("gap"))
         parts = rows if parts is None else parts.unionByName(rows)
     w = Window.partitionBy("row_no", "kind").orderBy("pos")
     n = F.coalesce(F.length("value"), F.lit(0))
-    end = F.sum(F.col("gap") + n).over(w)
-    rows = parts.withColumn("end", end.cast("long")).withColumn("after", F.lead("head").over(w)).withColumn("start", F.col("end") - n)
+    rows = parts.withColumn("end", F.sum(F.col("gap") + n).over(w).cast("long")).withColumn("start", F.col("end") - n)
     named = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    return rows.filter(F.col("value").isNotNull()).filter(valid(named, F.col("value"))).select("doc_id", "row_no", "kind", "start", "end", "value", "before", "after")
+    return rows.filter(F.col("value").isNotNull()).filter(valid(named, F.col("value"))).select("doc_id", "row_no", "text_key", "kind", "start", "end", "value")
+
 
+def words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-def disclosing(spans: DataFrame, docs: DataFrame, text_col: str, n_docs: int, support: int, posterior: float, bits: float) -> DataFrame | None:
-    """entity, term, n_et, n_e, n_t of the terms that give an entity away; None where no pair has enough contexts."""
+
+def disclosing(spans: DataFrame, docs: DataFrame, text_col: str, n_docs: int, support: int, posterior: float, bits: float, max_broadcast_rows: int) -> DataFrame | None:
+    """entity, term, n_et, n_e, n_t of the terms that give an entity away; None where no pair has enough texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     entity = F.concat_ws(":", F.col("kind").cast("string"), F.col("value"))
-    around = F.concat_ws(" ", "before", "after")
-    ctx = spans.select("row_no", entity.alias("entity"), F.xxhash64(around).alias("ctx"), F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0))).alias("terms"))
-    often = ctx.groupBy("entity").agg(F.countDistinct("row_no").alias("n_e"), F.countDistinct("ctx").alias("contexts")).filter(F.col("contexts") >= support).drop("contexts")
-    pairs = ctx.join(often, "entity").select("row_no", "ctx", "entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.countDistinct("row_no").alias("n_et"), F.countDistinct("ctx").alias("contexts"))
-    pairs = settle(pairs.filter(F.col("contexts") >= support), "pii-pairs")
+    holds = spans.select("row_no", "text_key", "kind", entity.alias("entity")).distinct()
+    holds = holds.groupBy("entity", "kind", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    often = holds.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    often = often.filter(F.col("n_e") * 2.0**bits <= n_docs * (1 + 1e-9))  # n_et is n_t at most, so no term of others has the bits
+    holds = settle(holds.join(often.drop("texts"), "entity"), "pii-holds")
+    keys = holds.select("text_key").distinct()
+    if keys.count() <= max_broadcast_rows:
+        keys = F.broadcast(keys)
+    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("t")).join(keys, "text_key", "left_semi")
+    texts = texts.select("text_key", words(F.col("t")).alias("all"), words(F.regexp_replace("t", PATTERNS["email"], " ")).alias("outside")).dropDuplicates(["text_key"])
+    # every word of a text counts for n_et, those outside of addresses for the support
+    outside = F.when(F.col("kind") == KINDS.index("email"), F.col("outside")).otherwise(F.col("all"))
+    tagged = F.concat(F.transform("all", lambda w: F.struct(w.alias("term"), F.lit(0).alias("out"))), F.transform(outside, lambda w: F.struct(w.alias("term"), F.lit(1).alias("out"))))
+    pairs = holds.join(texts, "text_key").select("entity", "n_e", "copies", F.explode(tagged).alias("x")).select("entity", "n_e", "x.term", "x.out", "copies")
+    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum(F.when(F.col("out") == 0, F.col("copies")).otherwise(0)).alias("n_et"), F.sum("out").alias("texts"))
+    pairs = settle(pairs.filter(F.col("texts") >= support).drop("texts"), "pii-pairs")
     if pairs.isEmpty():
         return None
-    in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    in_docs = docs.select(F.explode(words(text)).alias("term"))
     n_t = in_docs.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # before any join, which would hand out common terms by the document
     scored = pairs.join(n_t, "term").withColumn("posterior", F.col("n_et") / F.col("n_t")).withColumn("bits", F.log2(F.col("n_et") * F.lit(float(n_docs)) / (F.col("n_e") * F.col("n_t"))))
     return settle(scored.filter((F.col("posterior") >= posterior) & (F.col("bits") >= bits)), "pii-terms")
@@ -106,23 +116,28 @@ def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str,
         terms = F.broadcast(terms)
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
-    having = with_text.select("doc_id", "text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term").select("doc_id", "text_key").distinct()
-    having = settle(having, "pii-term-docs")
-    rows = with_text.join(having, with_text["doc_id"].eqNullSafe(having["doc_id"]) & (with_text["text_key"] == having["text_key"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    at = F.posexplode(F.arrays_zip(F.regexp_extract_all(F.col("t"), F.lit(TERM_SPLIT), F.lit(0)).alias("m"), F.transform(F.split("t", TERM_SPLIT, -1), F.length).alias("g"))).alias("pos", "x")
-    rows = rows.select("doc_id", "text_key", at).select("doc_id", "text_key", "pos", F.col("x").getField("m").alias("m"), F.col("x").getField("g").alias("g"))
+    having = with_text.select("doc_id", "text_key", F.explode(words(F.col("t"))).alias("term")).join(terms, "term")
+    having = settle(having.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii-term-docs")
+    own = having.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "terms")
+    if having.count() <= max_broadcast_rows:
+        own = F.broadcast(own)
+    rows = with_text.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).dropDuplicates(["doc_id", "text_key"])
+    # a text is split at its own terms only; what ignores case by more than lower() does goes afterwards
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    at = F.posexplode(F.arrays_zip(F.regexp_extract_all(F.col("t"), pattern, F.lit(0)).alias("m"), F.transform(F.split("t", pattern, -1), F.length).alias("g"))).alias("pos", "x")
+    rows = rows.select("doc_id", "text_key", "terms", at).select("doc_id", "text_key", "terms", "pos", F.col("x").getField("m").alias("m"), F.col("x").getField("g").alias("g"))
     n = F.coalesce(F.length("m"), F.lit(0))
     rows = rows.withColumn("end", F.sum(F.col("g") + n).over(Window.partitionBy("doc_id", "text_key").orderBy("pos")).cast("long")).filter(F.col("m").isNotNull())
-    rows = rows.withColumn("term", F.lower("m")).join(terms, "term").select("doc_id", "text_key", (F.col("end") - F.length("m")).alias("start"), "end")
+    rows = rows.filter(F.array_contains("terms", F.lower("m"))).select("doc_id", "text_key", (F.col("end") - F.length("m")).alias("start"), "end")
     ids = found.select("doc_id", "row_no", "text_key")
     return ids.join(rows, ids["doc_id"].eqNullSafe(rows["doc_id"]) & (ids["text_key"] == rows["text_key"])).select(ids["doc_id"], "row_no", F.lit(KINDS.index("term")).alias("kind"), "start", "end")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 64, support: int = 3, posterior: float = 0.5, bits: float = 4.0, max_broadcast_rows: int = 100_000) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, posterior: float = 0.5, bits: float = 4.0, max_broadcast_rows: int = 100_000) -> DataFrame:
     """For every document: doc_id, row_no, text_key, spans (array of start, kind, end by start and kind)."""
-    found = matches(docs, id_col, text_col, context)
+    found = matches(docs, id_col, text_col)
     base = settle(base_spans(found), "pii-base")
-    terms = disclosing(base, docs, text_col, found.count(), support, posterior, bits)
+    terms = disclosing(base, docs, text_col, found.count(), support, posterior, bits, max_broadcast_rows)
     spans = base.select("row_no", "start", "kind", "end")
     if terms is not None and not terms.isEmpty():
         spans = spans.unionByName(term_spans(docs, found, terms, id_col, text_col, max_broadcast_rows).select("row_no", "start", "kind", "end"))

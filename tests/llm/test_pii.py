@@ -71,5 +71,18 @@ def test_copies_of_a_document_do_not_hide_its_term(spark):
     assert all("term:6:13" in spans[i] or "term:5:12" in spans[i] or "term:8:15" in spans[i] for i in (0, 1, 2, 3, 4, 100, 2099))
 
 
+def test_terms_far_away_or_behind_a_number(spark):
+    far = "so on and on " * 40
+    docs = [(i, f"{w} Zorblax {far} bob@x.org; Quuxly paid 2024 or so, and by card 4111 1111 1111 1111 in 20 parts") for i, w in enumerate("alpha beta gamma".split())]
+    docs += [(50 + i, f"so on and card parts paid number {i}") for i in range(100)] + [(300, "zorblax"), (301, "quuxly"), (302, "bob xbob")]
+    df = frame(spark, docs)
+    found = op.personal_data(df)
+    spans = {r.doc_id: r.spans for r in op.digest(found).collect()}
+    assert spans[300] == "term:0:7" and spans[301] == "term:0:6" and spans[50] == ""
+    assert {r.doc_id: r.spans for r in op.digest(op.personal_data(df, max_broadcast_rows=0)).collect()} == spans
+    emails = frame(spark, [(i, f"{w} on bob@x.org") for i, w in enumerate("alpha beta gamma".split())] + docs[3:])
+    assert not any("term" in r.spans for r in op.digest(op.personal_data(emails)).collect())  # bob stands in the address only
+
+
 def test_empty(spark):
     assert op.digest(op.personal_data(frame(spark, []))).count() == 0
