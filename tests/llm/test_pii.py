@@ -84,5 +84,76 @@ def test_terms_far_away_or_behind_a_number(spark):
     assert not any("term" in r.spans for r in op.digest(op.personal_data(emails)).collect())  # bob stands in the address only
 
 
+def test_secrets_are_found_by_what_stands_before_them_or_by_their_beginning(spark):
+    rng = random.Random(5)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 4)) + "a1b2"
+    words = "alpha beta gamma delta epsilon zeta".split()
+    plain = lambda: " ".join(rng.choice(words) for _ in range(12))
+    docs, want = [], {}
+    for i in range(30):
+        secret, cue = hexa(18), ["password=", 'token = "', ""][i % 3]
+        secret = secret if cue else "QZXW" + secret[:14].upper() + "77"
+        before = f"{plain()} {cue}"
+        docs.append((i, f"é{before}{secret} {plain()}"))
+        want[i] = f"secret:{len(before) + 1}:{len(before) + 1 + len(secret)}"
+    docs += [(100 + i, f"{plain()} donaudampfschifffahrt{i % 7} {plain()}") for i in range(600)]
+    docs += [(900, "password=abcdefghijklmnopqr"), (901, "a password is asked for"), (902, hexa(30)), (903, "İstanbul password = QZXW0123456789012345")]
+    df = frame(spark, docs)
+    found = op.personal_data(df)
+    for limit in (100_000, 0):
+        got = {r.doc_id: r for r in op.digest(op.personal_data(df, max_broadcast_rows=limit)).collect()}
+        assert {i: got[i].spans for i in want} == want and all(got[i].n_secret == 1 and got[i].private for i in want)
+        assert got[900].spans == "secret:9:27" and got[903].spans == "secret:20:40"  # no digits, but after a cue
+        assert got[901].spans == got[902].spans == "" and not any(got[100 + i].private for i in range(600))
+    hashes = {r.doc_id: r.sanitised_sha256 for r in op.with_sanitised(found, df).collect()}
+    clean = {r.doc_id: r.text for r in op.sanitised(df, found).collect()}
+    assert clean[900] == "password=[SECRET]" and all((h is None) == (clean[i] == dict(docs)[i]) for i, h in hashes.items())
+    assert all(h is None or h == hashlib.sha256(clean[i].encode()).hexdigest() for i, h in hashes.items())
+
+
+def brute_terms(docs, n_docs, support=3, posterior=0.5, bits=4.0):
+    """Every term that discloses a value, by counting documents in Python."""
+    import math
+
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W_]{3,}", t) if re.search(r"[^\W\d_]", w)}
+    holds, out = {}, set()
+    for _, t in docs:
+        for a, k, e, _ in brute(t):
+            holds.setdefault((k, t[a:e]), []).append(t)
+    n_t = {}
+    for _, t in docs:
+        for w in words(t):
+            n_t[w] = n_t.get(w, 0) + 1
+    for (k, _), _texts in holds.items():
+        texts = [t for t in _texts]
+        for w in set().union(*map(words, texts)):
+            outside = {t for t in texts if w in words(re.sub(PATTERNS[0][1], ". ", t) if k == 0 else t)}
+            n_et = sum(w in words(t) for t in texts)
+            if len(outside) >= support and n_et / n_t[w] >= posterior and math.log2(n_et * n_docs / (len(texts) * n_t[w])) >= bits:
+                out.add(w)
+    return out
+
+
+def test_terms_match_brute_force(spark):
+    rng = random.Random(8)
+    names = ["Zorblax", "QUUX77", "İstanbulx", "straße9", "ab1"]
+    common = "the and with from about more things were seen".split()
+    docs = []
+    for i in range(400):
+        k = rng.randrange(40)
+        parts = [rng.choice(common) for _ in range(rng.randint(1, 8))]
+        if k < len(names):
+            parts += [names[k] if rng.random() < 0.9 else "none", [f"n{k}@x.org", "10.0.0.9", "+1 976 555 9947", "4111 1111 1111 1111", "q@y.de"][k]]
+        elif k == 20:
+            parts += [rng.choice(names)]
+        docs.append((i, " ".join(parts)))
+    terms = brute_terms(docs, len(docs))
+    assert len(terms) >= 3
+    got = {r.doc_id: r.spans for r in op.digest(op.personal_data(frame(spark, docs))).collect()}
+    for i, t in docs:
+        want = {(m.start(), m.end()) for m in re.finditer(r"[^\W_]{3,}", t) if m[0].lower() in terms}
+        assert {tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("term")} == want, (t, got[i], terms)
+
+
 def test_empty(spark):
     assert op.digest(op.personal_data(frame(spark, []))).count() == 0
