@@ -1,28 +1,13 @@
-"""Writers: settled intermediate tables, ordered histograms that merge with what is stored, key-value files, FASTA pairs."""
+"""Writers: ordered histograms that merge with what is stored, key-value files, FASTA pairs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCORE_KEYS = ("alignment", "model", "score", "replica", "lf", "domain")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir (one of our own where it is unset) and read back: lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="residua-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def merge_counts(stored: DataFrame | None, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Counts of both, added up by key."""
     new = new.select(*keys, "count")
