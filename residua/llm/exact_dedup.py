@@ -19,7 +19,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import free_name, settle
+from residua.llm.scratch import free_name, settle, tidied
 
 BLOCK_BITS = 32768  # one bitmap_construct_agg bitmap: 4 KB
 
@@ -80,6 +80,7 @@ def may_repeat(hashes: DataFrame, col: str, filt: DataFrame, blocks: int, probes
     return joined.withColumn("may_repeat", F.coalesce(hit, F.lit(False))).drop("block", "bits")
 
 
+@tidied
 def decisions(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import settle
+from residua.llm.scratch import settle, tidied
 from residua.llm.textbuf import LOWER_ASCII, NOT_SPACE, bounds, chunks, mix, prefix_sums, release, shingles, slice_hashes, trimmed, utf8
 
 MAX_LEVELS = 1 << 22
@@ -457,6 +457,7 @@ def family_links(members: DataFrame, num: int, den: int, pack_tokens: int) -> Da
     return found
 
 
+@tidied
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 6_000_000, list_limit: int = 2000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

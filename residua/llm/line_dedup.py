@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import free_name, settle
+from residua.llm.scratch import free_name, settle, tidied
 
 WINDOW = pa.struct([("anchor", pa.int64()), ("opens", pa.bool_()), ("key", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
 SCHEMA = "doc_id long, text_key long, n_lines int, windows array<struct<anchor:long,opens:boolean,key:binary,first:int,last:int>>"
@@ -71,6 +71,7 @@ def fingerprinted(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator
             )
 
 
+@tidied
 def repeats(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n_lines, runs (array of first, last): the line windows to delete from each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).cast("string"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import free_name, settle
+from residua.llm.scratch import free_name, settle, tidied
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 30
@@ -102,6 +102,7 @@ def taken(rows: DataFrame, per_source: DataFrame, rows_per_bucket: int = 4096, e
     return placed.select("doc_id", "source", "size", "key", "key2", "source_size", "target", "before", total.cast("long").alias("taken"))
 
 
+@tidied
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 4096) -> DataFrame:
     """doc_id, source, size, key, key2, source_size, target, before, taken for every document."""
     rows = sizes(docs, seed, id_col, text_col, source_col)

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import free_name, settle
+from residua.llm.scratch import free_name, settle, tidied
 
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
 #: Each pattern as asked for, written so that a long run of its characters is read once: a match may start only where a
@@ -202,6 +202,7 @@ def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str,
     return ids.join(rows, ids["doc_id"].eqNullSafe(rows["doc_id"]) & (ids["text_key"] == rows["text_key"])).select(ids["doc_id"], "row_no", F.lit(KINDS.index("term")).alias("kind"), "start", "end")
 
 
+@tidied
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, posterior: float = 0.5, bits: float = 4.0, max_broadcast_rows: int = 100_000) -> DataFrame:
     """For every document: doc_id, row_no, text_key, spans (array of start, kind, end by start and kind)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -269,6 +270,7 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     return rows.withColumn(text_col, F.when(F.col(sp).isNull(), F.col(text_col)).otherwise(F.col(new))).select(*docs.columns)
 
 
+@tidied
 def with_sanitised(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 100_000) -> DataFrame:
     """``found`` with sanitised_sha256: of the text with general names in place of its spans; null where there are none."""
     rows, _, new = replaced(docs, found, id_col, text_col, "inner", max_broadcast_rows)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, pii, sharding, token_counts, toxicity
-from residua.llm.scratch import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = settle(pii.personal_data(docs), "pii-found")
+    found = pii.personal_data(docs)
     return pii.digest(pii.with_sanitised(found, docs), "sanitised_sha256")
 
 

@@ -1,56 +1,46 @@
-"""Tables written to the folder that driver and executors share, to cut lineage.
-
-A written table survives the loss of any executor, keeps column pruning, and is read again by each later job instead of
-being computed again.  The folder is ``spark.checkpoint.dir``; where that is unset (tests, one machine) a folder of our
-own is set once for the session.
-"""
+"""Tables written to the shared folder (``sinks.scratch``), in small Arrow batches where Python makes them."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-ARROW_ROWS = 2000
-
+from residua.sinks import scratch
+from residua.sinks.scratch import tidied
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a new temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="residua-")
-    if not _OWN:
-        atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _OWN])
-    _OWN.append(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+__all__ = ["free_name", "settle", "small_batches", "tidied"]
+ARROW_ROWS = 2000
+_LOCK = threading.Lock()
+_HELD: dict[int, list] = {}
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """At most ARROW_ROWS rows in an Arrow batch: the texts of a batch are held twice, by the executor and its Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    """At most ARROW_ROWS rows in an Arrow batch while a table is written: the texts of a batch are held twice, by the executor
+    and its Python.  Results don't depend on it.  Writers of one session at a time share one change; the last undoes it."""
+    key, name = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark)
+    with _LOCK:
+        held = _HELD.setdefault(name, [0, spark.conf.get(key)])
+        held[0] += 1
+        if held[0] == 1 and not 0 < int(held[1]) <= ARROW_ROWS:
+            spark.conf.set(key, str(ARROW_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(key, held[1])
+                del _HELD[name]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under a name of its own in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        return scratch.settle(df, name)
 
 
 def free_name(df: DataFrame, name: str) -> str:
