@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays."""
-    found = settle(jaccard_join.jaccard_components(docs, SHINGLE, *NEAR), "near-copies")
+    found = jaccard_join.jaccard_components(docs, SHINGLE, *NEAR)
     return jaccard_join.one_of_each(docs, found)
 
 
