@@ -57,15 +57,15 @@ def _forget_results() -> None:
             forget(spark, [path])
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under a name of its own in the shared folder and read it back."""
+def settle(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` under a name of its own in the shared folder, in folders by the columns ``by``, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if scopes := getattr(_SCOPES, "open", None):
         scopes[-1].append(path)
     else:
         _RESULTS.append((spark, path))
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
