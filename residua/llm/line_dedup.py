@@ -2,21 +2,29 @@
 
 A window starts at each line and ends with the line that brings it to ``min_words`` words; what the lines hold decides
 where it ends, so equal runs have equal windows.  Of each window the line with the smallest hash (the last such) is
-selected: any run that holds a whole window therefore holds a selected fingerprint.  Fingerprints that occur at one place
-only are dropped with their windows.  The windows left are joined by their content: the first place, by doc_id, text hash
-and line, keeps it, and every other place deletes the window's lines.  Windows overlap by all but a line, so their union
-is the match extended both ways as far as it goes.
+selected: any run that holds a whole window therefore holds a selected fingerprint.
 
-All that shuffles is hashes and places, counted or reduced to the first place before the shuffle; the joins are equi-joins
-of written tables, which adaptive execution splits where one fingerprint is very frequent.
+Fingerprints are counted first; that shuffles one number for each, added up in each task before.  Places whose fingerprint
+occurs nowhere else end there.  The places that are left are joined by position: each is extended to both sides by every
+window that selects its line, from the first to the last (``windows`` of a fingerprint), and the contents of these, as
+rolling hashes, meet those of the other places of the fingerprint.  The first place of a content, by doc_id, text hash and
+line, keeps it; every other place deletes those lines.  Neighbouring fingerprints go on where one's windows end, so a
+match is extended as far as it goes.
+
+All that shuffles is hashes and places, counted or reduced to the first place before the shuffle; the fingerprints that
+repeat are broadcast up to ``max_broadcast_rows`` and joined beyond that; the joins are equi-joins of written tables, which
+adaptive execution splits where one fingerprint is very frequent.
 
 Defined results: lines end at ``\\n`` and are compared without white space around them; a null text has no lines; a text of
-fewer than ``min_words`` words has no window and stays; a row that repeats an id and its text is the same document and is
-treated like it; an empty table gives an empty result; other columns do not matter.
+fewer than ``min_words`` words has no window and stays; texts of any length are read whole, in time and memory linear in
+their lines; lines without words are lines like others inside a window; ids may be of any type that can be ordered, null
+after all others; a row that repeats an id and its text is the same document and is treated like it; an empty table gives
+an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +34,11 @@ from pyspark.sql import functions as F
 
 from residua.llm.scratch import free_name, settle, tidied
 
-WINDOW = pa.struct([("anchor", pa.int64()), ("opens", pa.bool_()), ("key", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
-SCHEMA = "doc_id long, text_key long, n_lines int, windows array<struct<anchor:long,opens:boolean,key:binary,first:int,last:int>>"
+PLACE = pa.struct([("key", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
+PRINT = pa.struct([("anchor", pa.int64()), ("windows", pa.list_(PLACE))])
+SCHEMA = "text_key long, n_lines int, prints array<struct<anchor:long,windows:array<struct<key:binary,first:int,last:int>>>>"
+#: Rolling hashes of runs of lines: two bases modulo a prime.
+PRIME, BASES = (1 << 61) - 1, (0x1B873593CC9E2D51, 0x0C6A4A7935BD1E99)
 
 
 def windows(text: bytes, min_words: int) -> tuple[int, list[dict]]:
@@ -39,46 +50,68 @@ def windows(text: bytes, min_words: int) -> tuple[int, list[dict]]:
     lines = [x.strip() for x in text.split(b"\n")]
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
     sizes = [len(x.split()) for x in lines]
-    packed = b"".join(h.to_bytes(8, "big") for h in hashes)
+    sums, powers = [], []
+    for base in BASES:
+        c, p = [0], [1]
+        for h in hashes:
+            c.append((c[-1] * base + h) % PRIME)
+            p.append(p[-1] * base % PRIME)
+        sums.append(c)
+        powers.append(p)
     out, end, words, picked = [], 0, 0, -1
+    least: deque[int] = deque()  # lines of the window that no later one beats, by hash from the smallest
     for start in range(len(lines)):
         while words < min_words and end < len(lines):
+            while least and hashes[least[-1]] >= hashes[end]:
+                least.pop()
+            least.append(end)
             words += sizes[end]
             end += 1
         if words < min_words:
             break
-        if picked < start:
-            at = min(range(start, end), key=lambda k: (hashes[k], -k))
-        else:  # the selected line is still inside; only lines that came in can beat it
-            at = picked
-            for k in range(seen, end):
-                if hashes[k] <= hashes[at]:
-                    at = k
-        out.append({"anchor": hashes[at] - (1 << 63), "opens": at != picked, "key": xxhash.xxh3_128_digest(packed[8 * start : 8 * end]), "first": start, "last": end - 1})
-        picked, seen = at, end
+        while least[0] < start:
+            least.popleft()
+        at = least[0]
+        key = b"".join(((c[end] - c[start] * p[end - start]) % PRIME).to_bytes(8, "big") for c, p in zip(sums, powers, strict=True))
+        out.append({"anchor": hashes[at] - (1 << 63), "opens": at != picked, "key": key, "first": start, "last": end - 1})
+        picked = at
         words -= sizes[start]
     return len(lines), out
 
 
+def prints(found: list[dict]) -> list[dict]:
+    """The windows of each selected line together."""
+    out: list[dict] = []
+    for w in found:
+        if w["opens"]:
+            out.append({"anchor": w["anchor"], "windows": []})
+        out[-1]["windows"].append({"key": w["key"], "first": w["first"], "last": w["last"]})
+    return out
+
+
 def fingerprinted(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
             found = [windows((t or "").encode(), min_words) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), part.column(1).cast(pa.int64()), pa.array([n for n, _ in found], pa.int32()), pa.array([w for _, w in found], pa.list_(WINDOW))],
-                names=["doc_id", "text_key", "n_lines", "windows"],
+                [part.column(0), part.column(1).cast(pa.int64()), pa.array([n for n, _ in found], pa.int32()), pa.array([prints(w) for _, w in found], pa.list_(PRINT))],
+                names=["doc_id", "text_key", "n_lines", "prints"],
             )
 
 
 @tidied
-def repeats(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, text_key, n_lines, runs (array of first, last): the line windows to delete from each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).cast("string"))
-    per_doc = settle(rows.mapInArrow(lambda it: fingerprinted(it, min_words), SCHEMA), "line-windows")
-    all_windows = per_doc.select("doc_id", "text_key", F.inline("windows"))
-    often = settle(all_windows.filter("opens").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "line-prints")
-    maybe = settle(all_windows.join(often, "anchor", "left_semi").select("key", "doc_id", "text_key", "first", "last"), "line-maybe")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).cast("string"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
+    per_doc = settle(rows.mapInArrow(lambda it: fingerprinted(it, min_words), schema), "line-prints")
+    counted = per_doc.select(F.explode("prints.anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    often = settle(counted.filter("n > 1").select("anchor"), "line-often")
+    if often.count() <= max_broadcast_rows:
+        often = F.broadcast(often)
+    places = per_doc.select("doc_id", "text_key", F.inline("prints")).join(often, "anchor", "left_semi")
+    maybe = settle(places.select("doc_id", "text_key", F.inline("windows")), "line-maybe")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key", "first")
     firsts = settle(maybe.groupBy("key").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "place"), "line-firsts")
     later = maybe.join(firsts, "key").filter(~place.eqNullSafe(F.col("place")))

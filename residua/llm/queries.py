@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, pii, sharding, token_counts, toxicity
+from residua.llm.scratch import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +53,10 @@ SELECT doc_id, size, source_size, target,
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.shard(table(spark, sf_dir, "documents"), 24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    # the map of this corpus, which the next run over it reads and edits
+    map_path = f"{shared_dir(spark)}/shard-map-of-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    placed, _ = sharding.shard(table(spark, sf_dir, "documents"), 24, map_path=map_path)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from residua.sinks import scratch
-from residua.sinks.scratch import tidied
+from residua.sinks.scratch import shared_dir, tidied
 
-__all__ = ["free_name", "settle", "small_batches", "tidied"]
+__all__ = ["free_name", "settle", "shared_dir", "small_batches", "tidied"]
 ARROW_ROWS = 2000
 _LOCK = threading.Lock()
 _HELD: dict[int, list] = {}
@@ -37,10 +37,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 del _HELD[name]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under a name of its own in the shared folder and read it back."""
+def settle(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` under a name of its own in the shared folder, in folders by the columns ``by``, and read it back."""
     with small_batches(df.sparkSession):
-        return scratch.settle(df, name)
+        return scratch.settle(df, name, *by)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -1,32 +1,45 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-A record's key is hashed to one of ``N_SLOTS`` virtual slots, for good.  Bytes and rows are added up by slot (at most
-``N_SLOTS`` sums, whatever the data), and a map from slot to shard is laid over them: version 0 deals the slots out in
-turn, each later version edits the one before by moving the slots that bring the fullest shard nearer the emptiest.
-Growing by shards moves slots into the new shards only.  Map versions are kept as a table, so that any past layout can be
-read again.  The map (``N_SLOTS`` rows) is what gets broadcast.
+A record's key and the CRC of its text are hashed to one of ``N_SLOTS`` virtual slots, for good.  Bytes and rows are added
+up by slot (at most ``N_SLOTS`` sums, whatever the data), and a map from slot to shard is laid over them: version 0 deals
+the slots out in turn, each later version edits the one before by moving the slots that bring the fullest shard nearer the
+emptiest.  Growing by shards moves slots into the new shards only.
+
+The map lives at a path: a folder a version, which never changes once written.  A run reads the newest version there,
+grows it if more shards are asked for, moves slots if the data have got out of balance, and writes a new version only if
+something moved; any past layout can be read again.  The first run writes versions 0 and 1.  Without a path the map is this
+run's own.  The map
+(``N_SLOTS`` rows) is what gets broadcast.
 
 A record's place inside its shard is the number of rows in the shard's earlier virtual slots plus its rank in its own
 virtual slot, so ranking needs no task larger than a virtual slot.
 
-Defined results: a null text has no bytes (size 8) and CRC 0; a null key has a slot of its own like any value; repeated
-rows get places of their own; an empty table gives an empty result; other columns do not matter.
+Defined results: a null text has no bytes (size 8) and CRC 0; a null key is a value like any other (the texts spread such
+rows over the slots); texts of any length count whole; ties of load go to the shard with the smallest number, ties of place
+by id, CRC and size; repeated rows get places of their own; ids may be of any type that can be ordered; an empty table
+gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import free_name, settle
+from residua.llm.scratch import free_name, settle, shared_dir
 
 N_SLOTS = 4096
 
 
-def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(n_slots)).cast("int")
+def text_crc(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def virtual_slot(key: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string"), text_crc(text)), F.lit(n_slots)).cast("int")
 
 
 def first_map(n_shards: int, n_slots: int = N_SLOTS) -> list[int]:
@@ -95,19 +108,62 @@ def grow(slot_shard: list[int], slot_bytes: list[int], n_shards: int, extra: int
     return new
 
 
-def map_table(spark: SparkSession, versions: list[tuple[int, list[int]]]) -> DataFrame:
-    """version, virtual_slot, shard: every version of the map, written to the shared folder."""
-    rows = [(v, s, shard) for v, m in versions for s, shard in enumerate(m)]
-    return settle(spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1), "shard-map")
+# --- the stored map ---------------------------------------------------------------------------------------------------
+
+
+def versions_at(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are stored at ``path``, in order; a folder that was not written to its end doesn't count."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [f.getPath() for f in fs.listStatus(root)]
+    done = [x for x in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(m[1]) for x in done if (m := re.fullmatch(r"version=(\d+)", x.getName())))
+
+
+def write_version(spark: SparkSession, path: str, version: int, slot_shard: list[int]) -> None:
+    """Fails if the version is there: two runs that edit a map at once can't overwrite each other."""
+    rows = spark.createDataFrame(list(enumerate(slot_shard)), "virtual_slot int, shard int")
+    rows.coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+
+
+def read_version(spark: SparkSession, path: str, version: int) -> list[int]:
+    rows = spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}").orderBy("virtual_slot").collect()
+    return [r.shard for r in rows]
+
+
+def map_versions(spark: SparkSession, path: str) -> DataFrame:
+    """version, virtual_slot, shard of all stored versions."""
+    return spark.read.schema("virtual_slot int, shard int, version int").parquet(path).select("version", "virtual_slot", "shard")
+
+
+def edited(spark: SparkSession, path: str, load: list[int], n_shards: int) -> tuple[list[int], int]:
+    """The map at ``path`` for ``n_shards``, balanced over ``load``, and its version; what changes is a new version."""
+    stored = versions_at(spark, path)
+    if stored:
+        version, layout = stored[-1], read_version(spark, path, stored[-1])
+        if len(layout) != len(load):
+            raise ValueError(f"the map at {path} has {len(layout)} slots, not {len(load)}")
+    else:
+        version, layout = 0, first_map(n_shards, len(load))
+        write_version(spark, path, version, layout)
+    before = max(layout) + 1
+    new = grow(layout, load, before, n_shards - before) if before < n_shards else layout
+    if before > n_shards:
+        raise ValueError(f"the map at {path} has {before} shards already, more than {n_shards}")
+    new = rebalance(new, load, n_shards)
+    if new != layout or not stored:
+        version += 1
+        write_version(spark, path, version, new)
+    return new, version
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot of every record, written once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return settle(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col(id_col), n_slots).alias("virtual_slot")),
-        "shard-records",
-    )
+    size = (F.octet_length(text).cast("long") + 8).alias("size")
+    return settle(docs.select(F.col(id_col).alias("doc_id"), size, text_crc(F.col(text_col)).alias("text_crc32"), virtual_slot(F.col(id_col), F.col(text_col), n_slots).alias("virtual_slot")), "shard-records")
 
 
 def slot_bytes(records: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -118,18 +174,22 @@ def slot_bytes(records: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], l
     return total, rows
 
 
-def balanced_map(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> tuple[list[int], list[int], DataFrame]:
-    """The map balanced by bytes, the rows by virtual slot, and the table of versions (0: dealt in turn, 1: balanced)."""
-    load, rows = slot_bytes(records, n_slots)
-    v0 = first_map(n_shards, n_slots)
-    v1 = rebalance(v0, load, n_shards)
-    return v1, rows, map_table(records.sparkSession, [(0, v0), (1, v1)])
+def own_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}"
+
+
+def balanced_map(records: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[list[int], list[int], DataFrame, int]:
+    """The map balanced by bytes, the rows by virtual slot, the table of all versions of the map, and the map's version."""
+    spark, (load, rows) = records.sparkSession, slot_bytes(records, n_slots)
+    path = map_path or own_path(spark)
+    layout, version = edited(spark, path, load, n_shards)
+    return layout, rows, map_versions(spark, path), version
 
 
-def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
+def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Records with shard and place, and the table of map versions."""
     spark, records = docs.sparkSession, measured(docs, id_col, text_col, n_slots)
-    layout, rows, versions = balanced_map(records, n_shards, n_slots)
+    layout, rows, versions, version = balanced_map(records, n_shards, n_slots, map_path)
     first, offsets = [0] * n_shards, []
     for s, k in enumerate(layout):
         offsets.append((s, k, first[k]))
@@ -137,11 +197,11 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     where = F.broadcast(spark.createDataFrame(offsets, "virtual_slot int, shard int, first long"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     placed = records.withColumn("rank", rank).join(where, "virtual_slot")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("slot"), "virtual_slot"), versions
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("slot"), "virtual_slot", F.lit(version).alias("map_version")), versions
 
 
-def with_shards(docs: DataFrame, versions: DataFrame, version: int = 1, id_col: str = "doc_id", n_slots: int = N_SLOTS) -> DataFrame:
+def with_shards(docs: DataFrame, versions: DataFrame, version: int = 1, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """``docs`` with the shard that a version of the map gives each row; nothing shuffles."""
     slot, to = free_name(docs, "virtual_slot"), free_name(docs, "shard")
     layout = versions.filter(F.col("version") == version).select(F.col("virtual_slot").alias(slot), F.col("shard").alias(to))
-    return docs.withColumn(slot, virtual_slot(F.col(id_col), n_slots)).join(F.broadcast(layout), slot).select(*docs.columns, slot, to)
+    return docs.withColumn(slot, virtual_slot(F.col(id_col), F.col(text_col), n_slots)).join(F.broadcast(layout), slot).select(*docs.columns, slot, to)

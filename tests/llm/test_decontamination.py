@@ -63,3 +63,32 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op.without_contaminated(docs, none).count() == len(AWKWARD)
     assert op.contamination(frame(spark, []), bench).count() == 0
+
+
+def test_repetitive_texts_and_every_window_length(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("aab") for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 4, 5, 6, 9, 10, 11, 23, 40])]
+    docs = [(i, text(rng.randint(0, 80))) for i in range(60)] + [(100, "a " * 3000)]
+    for window in (1, 2, 5, 10):
+        assert run(spark, docs[:60], items, window=window) == brute(docs[:60], items, window)
+        assert run(spark, docs[:60], items, window=window, max_pattern_chars=30) == brute(docs[:60], items, window)
+    assert run(spark, docs[60:], [(7, "a " * 2000)], window=10) == [(100, 3000, 3000, ["7"])]
+
+
+def test_a_large_benchmark_is_one_part():
+    import time
+
+    rng = random.Random(12)
+    words = [f"w{i:05d}" for i in range(20_000)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(500))) for i in range(600)]  # 2 MB
+    (part,) = op.parts(iter(items), 10, 50_000_000)
+    assert len(part.patterns) <= sum(len(t.split()) for _, t in items) // 5 + 1  # as large as the items, not ten times that
+    import pyarrow as pa
+
+    docs = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(2000)] + [items[5][1]]
+    op.automaton(part)
+    began = time.process_time()
+    (found,) = list(op.scanned(pa.array(docs[-300:]), part))
+    assert time.process_time() - began < 5
+    assert list(found[3]) == [299] and len(found[3][299]) == 500 and found[4][299] == {"5"}

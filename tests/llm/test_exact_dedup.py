@@ -34,6 +34,15 @@ def test_small_filter_and_no_broadcast_change_nothing(spark):
     assert decided(df, max_broadcast_bytes=0) == want
 
 
+def test_ranges_of_hashes_change_nothing(spark):
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i % 150}") for i in range(300)] + [(500, None), (None, "text 1")]
+    df = frame(spark, rows)
+    narrow = op.marked(op.keys(df), "text_sha256", 302, 512, 4096)
+    assert sum(not r.may_repeat for r in narrow.collect()) >= 1
+    as_rows = lambda **how: sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in op.decisions(df, **how).collect()), key=str)
+    assert as_rows(bits_per_row=512, max_broadcast_bytes=0) == as_rows()
+
+
 def test_hot_group_and_repeated_rows(spark):
     rows = [(i, "same text" if i % 3 == 0 else f"own {i}") for i in range(600)] + [(700, "twice"), (700, "twice")]
     df = frame(spark, rows).repartition(5)

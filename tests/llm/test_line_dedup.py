@@ -60,3 +60,29 @@ def test_every_window_has_a_fingerprint():
     n, wins = op.windows(text, 8)
     picked = {w["anchor"] for w in wins if w["opens"]}
     assert n == 200 and {w["anchor"] for w in wins} == picked
+
+
+def test_blank_lines_take_linear_time():
+    import time
+
+    def took(n):
+        t = time.process_time()
+        found = op.windows(b"\n" * n + b"one two three four five six seven eight", 8)
+        assert found[0] == n + 1 and len(found[1]) == n + 1
+        return time.process_time() - t
+
+    assert took(80_000) < 12 * took(10_000) + 0.2
+
+
+def test_same_result_with_and_without_broadcast(spark):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6))) for _ in range(25)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    found = op.repeats(frame(spark, docs), 4, max_broadcast_rows=0)
+    assert {r.doc_id: (r.n_lines, r.gone) for r in found.select("doc_id", "n_lines", op.deleted_lines(found["runs"]).alias("gone")).collect()} == brute(docs, 4)
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "one two three four")], "doc_id string, text string")
+    found = op.repeats(docs, 3)
+    assert {r.doc_id: len(r.runs) for r in found.collect()} == {"a": 0, "b": 1, None: 1}

@@ -60,3 +60,32 @@ def test_empty_and_versions_by_row(spark):
     rows = op.with_shards(docs, versions)
     assert rows.columns == [*docs.columns, "virtual_slot", "_shard"]
     assert {r.doc_id: r._shard for r in rows.collect()} == want
+
+
+def test_a_stored_map_is_read_edited_and_versioned(spark, tmp_path):
+    rng = random.Random(3)
+    path = str(tmp_path / "map")
+    rows = [(i, "a" * rng.choice([1, 10, 200, 3000])) for i in range(2000)]
+    first, _ = op.shard(frame(spark, rows), 8, map_path=path)
+    assert {r.map_version for r in first.collect()} == {1} and op.versions_at(spark, path) == [0, 1]
+    again, _ = op.shard(frame(spark, rows), 8, map_path=path)
+    assert sorted(again.collect()) == sorted(first.collect()) and op.versions_at(spark, path) == [0, 1]  # nothing moved
+    more = rows + [(5000 + i, "b" * 2000) for i in range(50)]
+    third, versions = op.shard(frame(spark, more), 8, map_path=path)
+    third = {r.doc_id: r.shard for r in third.collect()}
+    moved = sum(third[r.doc_id] != r.shard for r in first.collect())
+    assert op.versions_at(spark, path) == [0, 1, 2] and 0 < moved < 400  # an edit, not a new deal
+    load = op.slot_bytes(op.measured(frame(spark, more)))[0]
+    before = op.read_version(spark, path, 2)
+    grown, version = op.edited(spark, path, load, 9)
+    assert version == 3 and set(grown) == set(range(9)) and sum(a != b for a, b in zip(before, grown, strict=True)) < op.N_SLOTS // 4
+    old = op.with_shards(frame(spark, rows), versions, 1)
+    assert {r.doc_id: r._shard for r in old.collect()} == {r.doc_id: r.shard for r in first.collect()}
+
+
+def test_rows_without_an_id_spread(spark):
+    placed, _ = op.shard(frame(spark, [(None, f"text {i} {'x' * (i % 50)}") for i in range(2000)]), 8)
+    load = Counter()
+    for r in placed.collect():
+        load[r.shard] += r.size
+    assert len(load) == 8 and max(load.values()) - min(load.values()) < 200
