@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns with virtual_slot and shard, balanced by bytes."""
-    _, _, versions = sharding.balanced_map(sharding.measured(docs), SHARDS)
-    return sharding.with_shards(docs, versions)
+    _, _, versions, newest = sharding.balanced_map(sharding.measured(docs), SHARDS)
+    return sharding.with_shards(docs, versions, newest)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
