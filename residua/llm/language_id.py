@@ -5,13 +5,15 @@ each hashed to one of ``2**BITS`` rows.  A linear layer and a softmax follow.  E
 segments of labelled documents; then a temperature is fitted on documents held back from training, and the lowest
 confidence at which accepted answers are right at the asked rate there becomes the rejection threshold.
 
-What is fitted comes from a bounded sample: about ``fit_rows`` documents of each language, chosen by a hash of their id,
-``segments`` pieces of each.  Prediction covers every whole text of every document: embedding and layer are multiplied
-once into one score per hash and language, which is what gets broadcast (2**BITS rows).
+What is fitted comes from a bounded sample, whose bounds are parameters: the ``max_languages`` most frequent languages,
+about ``fit_rows`` documents of each, chosen by a hash of id and text (equal rows count once), up to ``most_segments``
+pieces of SEGMENT characters from all over each.  Prediction covers every whole text of every document.  Embeddings and
+layer are broadcast; the sum of a text's embeddings is taken over pieces of the buffer of a fixed size, so memory depends
+neither on the number of languages nor, beyond a few copies of the text itself, on its length.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all texts where nothing was
-learned; ties go to the first language by name; repeated rows are answered each; an empty table gives an empty result;
-other columns are kept out.
+learned; ties go to the first language by name; texts of any length are read whole; ids may be of any type; repeated rows
+are answered each; an empty table gives an empty result; other columns are kept out.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.textbuf import chunks, trimmed, utf8
+from residua.llm.textbuf import trimmed, utf8
 
 BITS = 15
 SEGMENT = 240
-MAX_LANGUAGES = 500
+PIECE = 1 << 18
 #: Letters stay, by byte: a-z and all bytes of longer characters.
 AS_SPACE = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
-SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
+SCHEMA = "lang_pred string, score double, rejected boolean"
 
 
 def buckets(data: np.ndarray) -> np.ndarray:
@@ -66,46 +68,50 @@ def segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.string())], names=["part", "lang", "text"])
 
 
-def examples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_rows: int, most: int) -> list:
-    """(part, lang, segment): part is a hash of the document's id, by which whole documents are held back."""
+def examples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_rows: int, most: int, max_languages: int) -> list:
+    """(part, lang, segment): part is a hash of the document, by which whole documents are held back."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).agg(F.count(F.lit(1))).orderBy(F.desc("count(1)"), lang_col).limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).agg(F.count(F.lit(1))).orderBy(F.desc("count(1)"), lang_col).limit(max_languages).collect()}
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000))
+    own = F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col))
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, fit_rows / n) * 1_000_000))])
     lang = F.col(lang_col).cast("string")
-    chosen = known.filter(draw < rate[lang]).select(F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(1 << 40)).alias("part"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = chosen.mapInArrow(lambda it: trimmed(segments(it, most)), "part long, lang string, text string")
-    return sorted(tuple(r) for r in rows.limit(3 * fit_rows * most * len(counts)).collect())
+    chosen = known.filter(F.pmod(own, F.lit(1_000_000)) < rate[lang]).select(F.pmod(F.xxhash64(F.lit("part"), own), F.lit(1 << 40)).alias("part"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = chosen.dropDuplicates(["part", "lang"]).mapInArrow(lambda it: trimmed(segments(it, most)), "part long, lang string, text string")
+    return sorted(tuple(r) for r in rows.collect())
 
 
 class Model:
-    """Languages, the score of each hash for each language, the bias, the temperature and the rejection threshold."""
+    """Languages, the embedding of each hash, the linear layer, the temperature and the rejection threshold.
 
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, reject: float = 0.0):
-        self.langs, self.table, self.bias, self.temperature, self.reject = langs, table, bias, temperature, reject
+    Where there are fewer languages than dimensions, embedding and layer are multiplied once beforehand."""
+
+    def __init__(self, langs: list[str], embedding: np.ndarray, layer: np.ndarray, bias: np.ndarray, temperature: float = 1.0, reject: float = 0.0):
+        self.langs, self.bias, self.temperature, self.reject = langs, bias, temperature, reject
+        few = len(langs) <= embedding.shape[1]
+        self.table, self.layer = (embedding @ layer, None) if few else (embedding, layer)
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         data, at = padded(texts)
-        out = np.zeros((len(texts), len(self.langs)))
-        for i, j in chunks(at, max(1 << 14, (1 << 22) // len(self.langs))):
-            own = data[at[i] : at[j]]
-            begins = at[i:j] - at[i]
-            n = np.diff(at[i : j + 1]) - 3  # at least one: every text has four spaces
-            inside = np.zeros(len(own) - 3)
-            inside[begins] = 1
-            after = begins + n
-            cut = after[after < len(inside)]
-            np.subtract.at(inside, cut, 1)
-            inside = np.cumsum(inside)
+        total, weight = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
+        last = at[1:] - 4  # where a text's last gram starts: every text has four spaces
+        for p in range(int(at[0]), int(at[-1]) - 3, PIECE):
+            own = data[p : min(p + PIECE + 3, int(at[-1]))]
+            i = int(np.searchsorted(at, p, side="right")) - 1
+            j = int(np.searchsorted(at, p + len(own) - 3))  # texts i to j have grams that start in this piece
+            begins = np.maximum(at[i:j] - p, 0)
+            inside = np.ones(len(own) - 3)
+            for gap in range(1, 4):  # grams that would reach into the next text
+                out = last[i:j] + gap - p
+                inside[out[(out >= 0) & (out < len(inside))]] = 0
             h = buckets(own)
             # a gram of spaces alone says nothing
             inside = inside * (own[1:-2] + own[2:-1].astype(np.int32) != 64)
-            weight = np.add.reduceat(inside, begins)
-            total = np.add.reduceat((self.table[h[0]] + self.table[h[1]]) * inside[:, None], begins, axis=0)
-            out[i:j] = total / np.maximum(2 * weight, 1)[:, None] + self.bias
-        return out
+            weight[i:j] += np.add.reduceat(inside, begins)
+            total[i:j] += np.add.reduceat((self.table[h[0]] + self.table[h[1]]) * inside[:, None], begins, axis=0)
+        mean = total / np.maximum(2 * weight, 1)[:, None]
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         return softmax(self.logits(texts) / self.temperature)
@@ -154,7 +160,7 @@ def train(rows: list, dims: int = 8, epochs: int = 3, rate: float = 8.0, batch:
             b -= 0.1 * lr * delta.sum(axis=0)
             for d in range(dims):  # the sum of all gradients of a row, dense by hash
                 e[:, d] -= lr * 8 * np.bincount(flat, weights=back[:, d], minlength=1 << BITS)
-    model = Model(langs, e @ w, b)
+    model = Model(langs, e, w, b)
     check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
     logits = model.logits(pa.array([rows[i][2] for i in check], pa.string()))
     truth = y[check]
@@ -180,15 +186,16 @@ def predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
             lang = [m.langs[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)]
             score = [min(1.0, float(s)) if ok else 0.0 for s, ok in zip(top, lettered, strict=True)]
             rejected = [not ok or s < m.reject for s, ok in zip(score, lettered, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 800, most_segments: int = 4) -> Model | None:
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 800, most_segments: int = 4, max_languages: int = 500) -> Model | None:
     """A model of the rows of ``docs`` for which ``learn`` holds."""
-    return train(examples(docs.filter(learn), id_col, text_col, lang_col, fit_rows, most_segments))
+    return train(examples(docs.filter(learn), id_col, text_col, lang_col, fit_rows, most_segments, max_languages))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability), rejected (score below the threshold) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: trimmed(predicted(it, shared)), SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(lambda it: trimmed(predicted(it, shared)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

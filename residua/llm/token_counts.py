@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CACHE = 400_000
 NONE = np.int32(2**31 - 1)
-SCHEMA = "doc_id long, n_bytes long, n_tokens long"
+SCHEMA = "n_bytes long, n_tokens long"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -133,10 +133,11 @@ def counted(batches: Iterator[pa.RecordBatch], vocab, group_chars: int) -> Itera
             out += counter.count(texts[i:j])
             i = j
         n_bytes = [len(t.encode()) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(out, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(out, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", group_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document under the vocabulary file at ``path``."""
     vocab = docs.sparkSession.sparkContext.broadcast(load(path))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: counted(it, vocab, group_chars), SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(lambda it: counted(it, vocab, group_chars), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
