@@ -18,16 +18,20 @@ in a table of bounded size, the least count in it rising until it fits.  So the
 bitmap of bounded size tells which shingles occur twice or more; those that don't are left out of the lists.
 
 A list's documents are joined only where a bound allows a link: sizes within the threshold, and the sum of minima of two
-histograms of the elements (about one bin for 16 elements, never below the true intersection) high enough.  Longer lists
-than ``list_limit`` are joined without this test.  What is joined forms families (connected components on narrow edges).
-Families are packed to tasks and linked there by a breadth-first search that compares a set with those not yet reached only:
-no pair is ever emitted.  A family above ``pack_tokens`` is cut into blocks; blocks are searched alone, then against a few
-documents of each family's largest components, and then each block's documents that are still outside of the largest one
-against every other block, which is exact and touches few rows where the family hangs together.
+histograms of the elements (about one bin for 16 elements, never below the true intersection) high enough.  What is joined
+forms families (connected components on narrow edges), which are linked by the sets themselves.
+
+Lists and families are groups of any size, and are searched alike (``grouped_links``): groups are packed to tasks and
+searched breadth-first, comparing what is reached with what is not, so no pair is ever emitted.  A group above its budget is
+cut into blocks; every block is searched together with about VISITORS documents of the whole group, which ties the blocks
+of a group that hangs together; then the documents that are still outside of the group's largest component meet every
+other block, in chunks.  That is exact for any group; it takes more than a constant number of copies of a row only where
+a group falls apart although each of its lists or bounds allowed a link.
 
 Defined results: a null or empty text has an empty set and links with nothing, not even another one; a text of fewer than
-k words has its whole sequence as its only shingle; rows that repeat an id are separate members of their class; a row
-without an id has no component (null) and always stays; empty tables give empty results; other columns do not matter.
+k words has its whole sequence as its only shingle; texts of any length count whole; ids are whole numbers; rows that repeat
+an id with another text are documents of their own, told apart by a hash of the text, each in the component of its own set;
+a row without an id has no component (null) and always stays; empty tables give empty results; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -39,16 +43,16 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.scratch import settle, tidied
+from residua.llm.scratch import free_name, settle, tidied
 from residua.llm.textbuf import LOWER_ASCII, NOT_SPACE, bounds, chunks, mix, prefix_sums, release, shingles, slice_hashes, trimmed, utf8
 
 MAX_LEVELS = 1 << 22
 MAX_BITS = 29
-RANGES_BITS = 8
 PART = 1 << 20
+VISITORS = 8
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -69,13 +73,13 @@ def class_key(own: np.ndarray) -> bytes:
 # --- counts of all shingles, and the common order ---------------------------------------------------------------------
 
 
-def gathered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], k: int, range_bits: int) -> Iterator[pa.RecordBatch]:
     """All shingles of a few MB of text as 32-bit hashes: for each hash range the sorted differences, compressed."""
     held, n = [], 0
 
     def blobs() -> pa.RecordBatch:
         a = np.sort((np.concatenate(held) >> np.uint64(32)).astype(np.uint32))
-        cut = np.searchsorted(a, np.arange(1 << RANGES_BITS, dtype=np.uint64) << np.uint64(32 - RANGES_BITS))
+        cut = np.searchsorted(a, np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(32 - range_bits))
         parts = [p for p in np.split(a, cut[1:])]
         keep = [(r, p) for r, p in enumerate(parts) if len(p)]
         out = []
@@ -100,7 +104,7 @@ COUNTED = "parts int, total long, seen long, hashes binary, counts binary, by_le
 
 def counted(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one hash range: the hashes that occur at least twice with log2 of their counts, PART of them a row, and how many
-    hashes there are; at most 2**(32 - RANGES_BITS) distinct ones are held."""
+    hashes there are; at most 2**(32 - range_bits) distinct ones are held."""
     values, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     held, n, total = [], 0, 0
 
@@ -158,8 +162,10 @@ def bits(batches: Iterator[pa.RecordBatch], size_bits: int) -> Iterator[pa.Recor
 
 def levels(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Levels by the low bits of a hash, bits by its high bits that are set where the hash occurs twice or more, and the mean
-    number of documents of a shingle.  Both tables have bounds; where they are too small, more lists are scanned."""
-    blobs = docs.select(text_col).mapInArrow(lambda it: trimmed(gathered(it, k)), "range int, blob binary")
+    number of documents of a shingle.  Both tables have bounds; where they are too small, more lists are scanned.  The number
+    of hash ranges, each counted by a task, follows the number of documents."""
+    range_bits = min(16, max(8, (docs.count() // 2000).bit_length()))
+    blobs = docs.select(text_col).mapInArrow(lambda it: trimmed(gathered(it, k, range_bits)), "range int, blob binary")
     found = settle(blobs.groupBy("range").applyInArrow(counted, COUNTED), "join-levels")
     ends = found.agg(F.sum("total"), F.sum("seen")).first()
     total, seen = ends[0] or 0, ends[1] or 0
@@ -275,24 +281,29 @@ def plausible(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> n
     return out
 
 
-def joined_lists(num: int, den: int):
-    """Edges inside each list of a task, to the first document of each component."""
+def by_group(table: pa.Table) -> list[np.ndarray]:
+    """The places of each group's rows, by doc_id."""
+    group, ids = table.column("group").to_numpy(), table.column("doc_id").to_numpy()
+    order = np.lexsort((ids, group))
+    return np.split(order, np.flatnonzero(np.diff(group[order]) != 0) + 1) if len(order) else []
+
+
+def star(ids: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Edges from the first document of each component; parts: places, and the place in them of each one's first."""
+    a = np.concatenate([ids[own[first]] for own, first in parts]) if parts else np.zeros(0, np.int64)
+    b = np.concatenate([ids[own] for own, _ in parts]) if parts else np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+    release()
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+
+def list_search(num: int, den: int):
+    """Edges inside each list of a task, where sizes and sketches allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, rep, size = (table.column(c).to_numpy() for c in ("key", "rep", "n_shingles"))
-        sketches = table.column("sketch").to_pylist()
-        order = np.lexsort((rep, key))
-        cut = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        a, b = [], []
-        for own in np.split(order, cut[1:]):
-            if len(own) > 1:
-                first = plausible(size[own], [sketches[i] for i in own], num, den)
-                a.append(rep[own[first]])
-                b.append(rep[own])
-        a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-        release()
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        size, sketches = table.column("n_shingles").to_numpy(), table.column("sketch").to_pylist()
+        parts = [(own, plausible(size[own], [sketches[i] for i in own], num, den)) for own in by_group(table) if len(own) > 1]
+        return star(table.column("doc_id").to_numpy(), parts)
 
     return run
 
@@ -304,8 +315,8 @@ def keyed(batches: Iterator[pa.RecordBatch], shared, k: int, small: int, num: in
         for sets in sets_of(batch.column(1), k):
             keys = [keys_of(s, table, twice, small, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, len(sets)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "sketch", "keys"],
+                [batch.column(0).slice(i, len(sets)), batch.column(2).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "class", "sketch", "keys"],
             )
             i += len(sets)
 
@@ -380,128 +391,130 @@ def task_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         i = 0
         for sets in sets_of(batch.column(1), k):
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "family", "elements"])
-            i += len(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "group", "elements"])
+            i += n
 
 
-def search(num: int, den: int):
-    """Links inside each family of a task: an edge from every set to the first of its component."""
+def set_search(num: int, den: int):
+    """Links inside each family of a task."""
 
     def run(table: pa.Table) -> pa.Table:
-        family, ids = table.column("family").to_numpy(), table.column("doc_id").to_numpy()
         elements = table.column("elements").combine_chunks()
         at, flat = elements.offsets.to_numpy(), elements.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.lexsort((ids, family))
-        cut = np.flatnonzero(np.append(True, np.diff(family[order]) != 0))
-        a, b = [], []
-        for own in np.split(order, cut[1:]):
-            if len(own) < 2:
-                continue
-            root = linked([flat[at[i] : at[i + 1]] for i in own], num, den)
-            a.append(ids[own])
-            b.append(ids[own][root])
-        a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        some = a != b
-        release()
-        return pa.table({"a": pa.array(a[some], pa.int64()), "b": pa.array(b[some], pa.int64())})
+        parts = [(own, linked([flat[at[i] : at[i + 1]] for i in own], num, den)) for own in by_group(table) if len(own) > 1]
+        return star(table.column("doc_id").to_numpy(), parts)
 
     return run
 
 
-def family_links(members: DataFrame, num: int, den: int, pack_tokens: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked; members: doc_id, n_shingles, family, elements (written)."""
-    sizes = members.groupBy("family").agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    sizes = settle(sizes, "join-families")
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    packs = max(1, ceil(total / min(pack_tokens, 500_000)))
-    giant = sizes.filter(F.col("tokens") > pack_tokens)
-    has_giant = not giant.isEmpty()
-    rows = members.join(giant.select("family"), "family", "left_anti") if has_giant else members
-    edges = rows.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(packs))).groupBy("task").applyInArrow(search(num, den), "a long, b long")
-    if not has_giant:
-        return settle(edges, "join-links")
-    edges = settle(edges, "join-links")
-    # blocks of giant families
-    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / pack_tokens * 2)))
-    big = settle(members.join(giant.select("family", "tokens"), "family").withColumn("block", block).drop("tokens"), "join-giant")
-    own = settle(big.groupBy("family", "block").applyInArrow(search(num, den), "a long, b long"), "join-links")
-    found = edges.unionByName(own)
-    for step in range(2):
-        nodes = big.select("family", "block", "doc_id")
-        if found.isEmpty():
-            labelled = nodes.withColumn("root", F.col("doc_id"))
-        else:
-            cc = components(found)
-            labelled = nodes.join(cc, nodes["doc_id"] == cc["node"], "left").select("family", "block", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        labelled = settle(labelled, "join-labels")
-        heads = labelled.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"))
-        largest = heads.groupBy("family").agg(F.max(F.struct("n", "root")).alias("top")).select("family", F.col("top.root").alias("top"))
-        if step == 0:  # two documents of each block's components meet those of the largest component
-            reps = heads.select("family", F.explode(F.array_distinct(F.array("head", "tail"))).alias("doc_id"), "n", "root")
-            chosen = reps.join(largest, "family").filter((F.col("root") == F.col("top"))).select("family", "doc_id")
-            blocks = big.select("family", "block").distinct()
-            visitors = big.drop("block").join(chosen, ["family", "doc_id"], "left_semi").join(blocks, "family").select(*big.columns)
-            met = big.unionByName(visitors).dropDuplicates(["family", "block", "doc_id"])
-            found = settle(found.unionByName(met.groupBy("family", "block").applyInArrow(search(num, den), "a long, b long")), "join-links")
-        else:  # what is outside of the largest component meets every block
-            outside = labelled.join(largest, "family").filter("root <> top").select("family", "doc_id", F.col("block").alias("from_block"))
-            if outside.isEmpty():
-                return found
-            blocks = big.select("family", F.col("block").alias("to_block")).distinct()
-            guests = big.join(outside, ["family", "doc_id"]).join(blocks, "family").filter("from_block <> to_block")
-            guests = guests.select("doc_id", "n_shingles", "family", "elements", "from_block", "to_block")
-            pairs = guests.select("family", "from_block", "to_block").distinct()
-            hosts = big.join(pairs.withColumn("block", F.col("to_block")), ["family", "block"]).select("doc_id", "n_shingles", "family", "elements", "from_block", "to_block")
-            met = guests.unionByName(hosts).groupBy("family", "from_block", "to_block").applyInArrow(search(num, den), "a long, b long")
-            found = settle(found.unionByName(met), "join-links")
-    return found
+def grouped_links(rows: DataFrame, run, budget: int, pack: int, name: str) -> DataFrame:
+    """Edges (a, b) that connect what ``run`` links inside each group, whatever the group's size.
+
+    rows (written): group, doc_id, load (of the whole group), n (its rows), and what ``run`` compares.  Groups with a load up
+    to ``budget`` are searched whole, about ``pack`` of load in a task; larger ones are cut into blocks of half a budget."""
+    found = "a long, b long"
+    small, big = rows.filter(F.col("load") <= budget), rows.filter(F.col("load") > budget)
+    total = small.agg(F.sum(F.col("load") / F.col("n"))).first()[0] or 0
+    tasks = max(1, ceil(total / pack))
+    edges = settle(small.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks))).groupBy("task").applyInArrow(run, found), f"{name}-links")
+    n_blocks = F.ceil(F.col("load") * 2 / budget)
+    big = settle(big.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n_blocks)), f"{name}-blocks")
+    if big.isEmpty():
+        return edges
+    own = big.columns
+
+    def everywhere(some: DataFrame) -> DataFrame:
+        """The rows in each block of their group but their own."""
+        to = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to")
+        moved = some.select("*", to).filter("to <> block")
+        return moved.drop("block").withColumnRenamed("to", "block").select(*some.columns)
+
+    visitors = everywhere(big.filter(F.pmod(F.xxhash64(F.lit("visit"), "doc_id"), F.col("n")) < VISITORS))
+    met = big.unionByName(visitors).groupBy("group", "block").applyInArrow(run, found)
+    edges = settle(edges.unionByName(met), f"{name}-links")
+    # what is outside of a group's largest component meets every block, some of it at a time
+    labels = components(edges).withColumnRenamed("node", "doc_id") if not edges.isEmpty() else None
+    labelled = big.join(labels, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")) if labels is not None else big.withColumn("root", F.col("doc_id"))
+    largest = labelled.groupBy("group", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("group").agg(F.max(F.struct("m", "root"))["root"].alias("top"))
+    outside = settle(labelled.join(largest, "group").filter("root <> top").select(*own), f"{name}-outside")
+    if outside.isEmpty():
+        return edges
+    chunks = outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) * F.first("load") / F.first("n") / budget).alias("chunks"))
+    guests = everywhere(outside).join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc_id"), F.col("chunks")))
+    hosts = big.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = guests.unionByName(hosts.select(*guests.columns)).groupBy("group", "block", "chunk").applyInArrow(run, found)
+    return settle(edges.unionByName(met), f"{name}-links")
 
 
 @tidied
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 6_000_000, list_limit: int = 2000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 150_000, list_limit: int = 2000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key (xxhash64 of the text) of every document."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
     table, twice, mean = levels(docs, "text", k)
     small = boundary(mean, num, den)
     shared = docs.sparkSession.sparkContext.broadcast((table, twice))
-    rows = settle(docs.mapInArrow(lambda it: trimmed(keyed(it, shared, k, small, num, den)), "doc_id long, n_shingles long, class binary, sketch binary, keys array<long>"), "join-keys")
+    rows = settle(docs.mapInArrow(lambda it: trimmed(keyed(it, shared, k, small, num, den)), "doc_id long, text_key long, n_shingles long, class binary, sketch binary, keys array<long>"), "join-keys")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-    reps = settle(reps.drop("class"), "join-reps")
+    # a class is named by a number of its own, since one id may stand in several
+    reps = full.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    reps = settle(reps.withColumn("rep", class_number(F.col("class"))), "join-reps")
     lists = reps.select("rep", F.explode("keys").alias("key"))
-    shared_keys = settle(lists.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-lists")
-    entries = settle(lists.join(shared_keys, "key"), "join-entries")
-    tasks = max(1, ceil(entries.count() / 100_000))
-    short = entries.filter(F.col("n") <= list_limit).join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "rep", "n_shingles", "sketch")
-    near = short.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInArrow(joined_lists(num, den), "a long, b long")
-    long_ = entries.filter((F.col("n") > list_limit) & (F.col("a") != F.col("rep"))).select("a", F.col("rep").alias("b"))
-    edges = settle(near.unionByName(long_).distinct(), "join-edges")
-    classes = settle(full.groupBy("class").agg(F.min("doc_id").alias("rep")), "join-classes")
+    shared_keys = settle(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-lists")
+    entries = lists.join(shared_keys, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    entries = settle(entries.select(F.col("key").alias("group"), F.col("rep").alias("doc_id"), F.col("n").alias("load"), "n", "n_shingles", "sketch"), "join-entries")
+    edges = settle(grouped_links(entries, list_search(num, den), list_limit, 100_000, "join-lists").distinct(), "join-edges")
+    names = reps.select("class", "rep", "least")
     if edges.isEmpty():
         roots = None
     else:
-        families = components(edges)
-        named = families.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
-        texts = docs.join(F.broadcast(named) if named.count() <= max_broadcast_rows else named, "doc_id")
-        sets = texts.select("doc_id", "text", "family").mapInArrow(lambda it: trimmed(task_sets(it, k)), "doc_id long, family long, elements array<long>").dropDuplicates(["doc_id"])
-        members = settle(sets.select("doc_id", F.size("elements").cast("long").alias("n_shingles"), "family", "elements"), "join-members")
-        links = family_links(members, num, den, pack_tokens)
+        named = settle(components(edges).select(F.col("node").alias("rep"), F.col("root").alias("family")), "join-named")
+        # one document of each class in a family brings the text
+        bring = settle(names.join(named, "rep").select("least.doc_id", "least.text_key", "rep", "family"), "join-bring")
+        texts = docs.join(F.broadcast(bring) if bring.count() <= max_broadcast_rows else bring, ["doc_id", "text_key"]).select("rep", "text", "family")
+        sets = texts.mapInArrow(lambda it: trimmed(task_sets(it, k)), "doc_id long, group long, elements array<long>").dropDuplicates(["doc_id"])
+        members = settle(sets.withColumn("n_shingles", F.size("elements").cast("long")), "join-members")
+        sizes = members.groupBy("group").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("n"))
+        links = grouped_links(settle(members.join(sizes, "group"), "join-families"), set_search(num, den), pack_tokens, 500_000, "join-sets")
         roots = None if links.isEmpty() else components(links)
-    members_ = rows.join(classes, "class", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    members_ = members_.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     if roots is None:
-        return members_.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    return members_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+        of_class = names.select("class", F.col("least.doc_id").alias("component"))
+    else:
+        by_class = settle(names.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.col("least.doc_id").alias("least"), F.coalesce("root", "rep").alias("root")), "join-classes")
+        smallest = by_class.groupBy("root").agg(F.min("least").alias("component"))
+        of_class = by_class.join(smallest, "root").select("class", "component")
+    told = rows.select("doc_id", "text_key", "n_shingles", "class").join(settle(of_class, "join-of-class"), "class", "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return told.select("doc_id", "n_shingles", own.alias("component_id"), "text_key")
+
+
+def class_number(name: Column) -> Column:
+    """A 63-bit number that stands for a class."""
+    return F.xxhash64(name).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """One row of each component of ``docs``: of those with its smallest id, the one with the smallest text hash.  Rows without
+    words or without an id stay, but for those that repeat another one's id and text.  ``found`` is the written result of
+    jaccard_components; the rows that go are broadcast up to ``max_broadcast_rows``."""
+    rows = found.filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.first("component_id").alias("component_id"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
+    rows = settle(rows, "join-rows")
+    heads = rows.filter("doc_id = component_id and size > 0").groupBy("component_id").agg(F.min("text_key").alias("head"))
+    judged = rows.join(heads, "component_id", "left").withColumn("goes", (F.col("size") > 0) & ((F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("head"))))
+    judged = judged.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "goes", "n")
+    gone = settle(judged.filter("goes").drop("goes", "n"), "join-gone")
+    twice = settle(judged.filter("not goes and n > 1").drop("goes", "n"), "join-twice")
 
+    def met(some: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if keys.count() <= max_broadcast_rows else keys
+        return some.join(keys, (some[id_col] == keys["own_id"]) & (text_key(some[text_col]) == keys["own_key"]), how)
 
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``docs`` without those that a smaller id stands for; of rows that repeat an id, one.  ``found`` (the result of
-    jaccard_components) is best written before; the ids that go are broadcast up to ``max_broadcast_rows``."""
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    small = gone.count() <= max_broadcast_rows
-    kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["gone_id"], "left_anti")
-    twice = settle(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("twice_id")), "join-twice")
+    kept = met(docs, gone, "left_anti")
     if twice.isEmpty():
         return kept
-    single = kept.join(twice, kept[id_col] == twice["twice_id"], "left_anti")
-    return single.unionByName(kept.join(twice, kept[id_col] == twice["twice_id"], "left_semi").dropDuplicates([id_col]))
+    key = free_name(docs, "join_key")
+    once = met(kept, twice, "left_semi").withColumn(key, text_key(F.col(text_col))).dropDuplicates([id_col, key]).drop(key)
+    return met(kept, twice, "left_anti").unionByName(once)

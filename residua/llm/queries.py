@@ -123,7 +123,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100).drop("text_key")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

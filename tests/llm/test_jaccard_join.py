@@ -140,3 +140,46 @@ def test_rows_without_an_id_stay(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in found.collect() if r.doc_id) == [(1, 1), (2, 1)]
     assert [r.component_id for r in found.collect() if r.doc_id is None] == [None] * 3
     assert sorted(r.doc_id or 0 for r in op.one_of_each(df, found).collect()) == [0, 0, 0, 1]
+
+
+def test_an_id_with_two_texts(spark):
+    text = "one two three four five six seven"
+    docs = [(1, text), (5, text), (5, "something else altogether that nobody links with anything"), (7, "other words here for all to see and read"), (7, "OTHER words here for all to see and read"), (9, None), (9, "")]
+    df = frame(spark, docs)
+    for more in ({}, {"max_broadcast_rows": 0}):
+        found = op.jaccard_components(df, **more)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == [(1, 4, 1), (5, 4, 1), (5, 5, 5), (7, 6, 7), (7, 6, 7), (9, 0, 9), (9, 0, 9)]
+        out = sorted((r.doc_id, (r.text or "").lower()) for r in op.one_of_each(df, found, **more).collect())
+        assert out == [(1, text), (5, docs[2][1]), (7, docs[3][1]), (9, "")]
+
+
+def test_a_group_that_falls_apart_is_searched_in_blocks(spark):
+    """Long lists whose documents don't link: all share a passage, in clusters of three that do link."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = []
+    for c in range(60):
+        own = [f"c{c}w{i}" for i in range(40)]
+        for v in range(3):
+            docs.append(f"{passage} {' '.join(own)} {' '.join(f'v{v}x{rng.randint(0, 9)}' for _ in range(2))}")
+    docs = list(enumerate(docs))
+    want = brute(docs, 4, 85, 100)
+    assert len({c for _, c in want.values()}) == 60
+    for more in ({"pack_tokens": 2000, "list_limit": 10}, {"pack_tokens": 300, "list_limit": 3}):
+        assert run(spark, docs, **more) == want
+
+
+def test_blocks_of_a_group_read_few_rows(spark):
+    """What blocks read grows with the rows where a group hangs together."""
+    read = spark.sparkContext.accumulator(0)
+
+    def first(table):  # all of a group link
+        read.add(table.num_rows)
+        return op.star(table.column("doc_id").to_numpy(), [(own, np.zeros(len(own), int)) for own in op.by_group(table)])
+
+    for n in (400, 1600):
+        read.value = 0
+        rows = spark.range(n).selectExpr("1L AS group", "id AS doc_id", f"{n}L AS load", f"{n}L AS n")
+        edges = op.grouped_links(rows, first, 100, 100, "test")
+        assert op.components(edges).select("root").distinct().count() == 1
+        assert read.value < n + 20 * (2 * n // 100)
