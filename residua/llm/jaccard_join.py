@@ -53,6 +53,7 @@ MAX_LEVELS = 1 << 22
 MAX_BITS = 29
 PART = 1 << 20
 VISITORS = 8
+MAX_TASKS = 50_000
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -415,8 +416,8 @@ def grouped_links(rows: DataFrame, run, budget: int, pack: int, name: str) -> Da
     found = "a long, b long"
     small, big = rows.filter(F.col("load") <= budget), rows.filter(F.col("load") > budget)
     total = small.agg(F.sum(F.col("load") / F.col("n"))).first()[0] or 0
-    tasks = max(1, ceil(total / pack))
-    edges = settle(small.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks))).groupBy("task").applyInArrow(run, found), f"{name}-links")
+    tasks = min(MAX_TASKS, max(1, ceil(total / pack)))  # a number of its own: the work is not in proportion to the bytes
+    edges = settle(small.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks))).repartition(tasks, "task").groupBy("task").applyInArrow(run, found), f"{name}-links")
     n_blocks = F.ceil(F.col("load") * 2 / budget)
     big = settle(big.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n_blocks)), f"{name}-blocks")
     if big.isEmpty():
@@ -462,7 +463,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     shared_keys = settle(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-lists")
     entries = lists.join(shared_keys, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
     entries = settle(entries.select(F.col("key").alias("group"), F.col("rep").alias("doc_id"), F.col("n").alias("load"), "n", "n_shingles", "sketch"), "join-entries")
-    edges = settle(grouped_links(entries, list_search(num, den), list_limit, 100_000, "join-lists").distinct(), "join-edges")
+    edges = settle(grouped_links(entries, list_search(num, den), list_limit, 50_000, "join-lists").distinct(), "join-edges")
     names = reps.select("class", "rep", "least")
     if edges.isEmpty():
         roots = None
