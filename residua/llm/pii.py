@@ -47,8 +47,8 @@ PATTERNS = {
 }
 #: What a text with a match holds at least.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-WORD = r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{3,}+"
-VALUE = r"(?<![\p{L}\p{N}])[A-Za-z0-9]{16,}+(?![\p{L}\p{N}])"
+WORD, LETTER = r"[\p{L}\p{N}]{3,}+", r"\p{L}"
+VALUE = r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![\p{L}\p{N}])"
 #: The word before a value, at the end of what stands before it.
 CUE = r"([\p{L}\p{N}_]++)[^\p{L}\p{N}_\n]{0,4}$"
 CUE_REACH, HEAD = 64, 4
@@ -74,7 +74,7 @@ def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         hint = text.rlike(HINTS[kind])
         cols += [F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"{kind}_m"), F.when(hint, F.transform(F.split(text, pattern, -1), F.length)).alias(f"{kind}_p")]
-    hint = text.rlike("[A-Za-z0-9]{16}")
+    hint = text.rlike("(?<![A-Za-z0-9])[A-Za-z0-9]{16}")
     before = F.transform(F.split(text, VALUE, -1), lambda p: F.struct(F.length(p).alias("gap"), F.lower(F.regexp_extract(F.right(p, F.lit(CUE_REACH)), CUE, 1)).alias("cue")))
     cols += [F.when(hint, F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))).alias("value_m"), F.when(hint, before).alias("value_p")]
     return settle(docs.select(*cols), "pii-matches")
@@ -116,14 +116,19 @@ def values(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_no", "start", "end", "value", "cue", F.left("value", F.lit(HEAD)).alias("head"), opaque.alias("opaque"))
 
 
-def counted(docs: DataFrame, text: Column, wanted: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """term, n_t: the documents that hold each of the wanted terms.  Few terms are met by the documents' before anything
-    shuffles; many are joined with the counts of all terms, since a join before counting would hand out common terms by the
-    document."""
-    held = docs.select(F.explode(terms_of(text)).alias("term"))
-    if wanted.count() <= max_broadcast_rows:
-        return held.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
+def held_terms(docs: DataFrame, id_col: str, text: Column, wanted: DataFrame) -> DataFrame:
+    """doc_id, text_key, row, term, form: the wanted terms that each row holds, as they are written there.  A term without a
+    letter is none.  ``wanted`` is met before anything shuffles where it is broadcast."""
+    held = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row"), F.explode(forms(text)).alias("form"))
+    return held.withColumn("term", F.lower("form")).join(wanted, "term")
+
+
+def counted(docs: DataFrame, text: Column, held: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """term, n_t: the documents that hold each of the wanted terms; without ``held`` from the counts of all terms, since a join
+    before counting would hand out common terms by the document."""
+    if held is not None:
+        return held.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return docs.select(F.explode(terms_of(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
 
 
 def co_occurring(spans: DataFrame, docs: DataFrame, text: Column, n_docs: int, support: int, bits: float, max_broadcast_rows: int) -> DataFrame:
@@ -144,7 +149,7 @@ def co_occurring(spans: DataFrame, docs: DataFrame, text: Column, n_docs: int, s
     tagged = F.concat(F.transform("all", lambda w: F.struct(w.alias("term"), F.lit(0).alias("out"))), F.transform(outside, lambda w: F.struct(w.alias("term"), F.lit(1).alias("out"))))
     pairs = holds.join(texts, "text_key").select("entity", "n_e", "copies", F.explode(tagged).alias("x")).select("entity", "n_e", "x.term", "x.out", "copies")
     pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum(F.when(F.col("out") == 0, F.col("copies")).otherwise(0)).alias("n_et"), F.sum("out").alias("texts"))
-    return settle(pairs.filter(F.col("texts") >= support).drop("texts"), "pii-pairs")
+    return settle(pairs.filter((F.col("texts") >= support) & F.col("term").rlike(LETTER)).drop("texts"), "pii-pairs")
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -178,15 +183,13 @@ def secret_spans(rows: DataFrame, cues: DataFrame, max_broadcast_rows: int) -> D
     return rows.filter("by_cue or by_head").select("row_no", F.lit(KINDS.index("secret")).alias("kind"), "start", "end")
 
 
-def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str, text_col: str, max_broadcast_rows: int) -> DataFrame:
-    """doc_id, row_no, kind, start, end of all occurrences of the terms."""
-    terms = terms.select("term").distinct()
-    if terms.count() <= max_broadcast_rows:
-        terms = F.broadcast(terms)
+def term_spans(docs: DataFrame, found: DataFrame, held: DataFrame, terms: DataFrame, id_col: str, text_col: str, max_broadcast_rows: int) -> DataFrame:
+    """doc_id, row_no, kind, start, end of all occurrences of the terms; held: what rows hold of them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t"))
-    having = with_text.select("doc_id", "text_key", F.explode(forms(F.col("t"))).alias("form")).withColumn("term", F.lower("form")).join(terms, "term")
-    having = settle(having.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("form")).alias("forms")), "pii-term-docs")
+    terms = terms.select("term").distinct()
+    having = held.join(F.broadcast(terms) if terms.count() <= max_broadcast_rows else terms, "term").groupBy("doc_id", "text_key")
+    having = settle(having.agg(F.sort_array(F.collect_set("form")).alias("forms")), "pii-term-docs")
     own = having.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "forms")
     if having.count() <= max_broadcast_rows:
         own = F.broadcast(own)
@@ -215,7 +218,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = settle(pairs.select("term").unionByName(cues.filter("how = 'cue'").select(F.col("what").alias("term"))).distinct(), "pii-wanted")
     spans = base.select("row_no", "start", "kind", "end")
     if not wanted.isEmpty() or not cues.isEmpty():
-        n_t = settle(counted(docs, text, wanted, max_broadcast_rows), "pii-counts")
+        few = wanted.count() <= max_broadcast_rows
+        held = settle(held_terms(docs, id_col, text, F.broadcast(wanted)), "pii-held") if few else None
+        n_t = settle(counted(docs, text, held, wanted), "pii-counts")
         terms = settle(scored(pairs.join(n_t, "term"), n_docs, posterior, bits), "pii-terms")
         n_opaque = runs.filter("opaque").select("row_no").distinct().count()
         by_word = cues.filter("how = 'cue'").drop("n_t").join(n_t.withColumnRenamed("term", "what"), "what").select("how", "what", "n_et", "n_t")
@@ -223,7 +228,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # a cue of underscores or fewer than three characters is no term of a text, so nothing counts it: it reveals nothing
         classes = settle(scored(classes, n_docs, posterior, bits), "pii-cues")
         if not terms.isEmpty():
-            spans = spans.unionByName(term_spans(docs, found, terms, id_col, text_col, max_broadcast_rows).select("row_no", "start", "kind", "end"))
+            held = held if few else held_terms(docs, id_col, text, terms.select("term").distinct())
+            spans = spans.unionByName(term_spans(docs, found, held, terms, id_col, text_col, max_broadcast_rows).select("row_no", "start", "kind", "end"))
         if not classes.isEmpty():
             spans = spans.unionByName(secret_spans(runs, classes, max_broadcast_rows).select("row_no", "start", "kind", "end"))
     per_doc = spans.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
