@@ -141,11 +141,12 @@ def candidates(ends: np.ndarray, lengths: np.ndarray, part: Part) -> Iterator[tu
             yield n, ends[lengths == n] - n + 1
 
 
-def hits_of(seq: np.ndarray, part: Part, a: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of all windows that occur in ``seq``, and the place of each in the table of its length."""
-    met = list(a.iter(tuple(seq.tolist())))
+def hits_of(ids: list[int], part: Part, a: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of all windows that occur in ``ids``, and the place of each in the table of its length."""
+    met = list(a.iter(tuple(ids)))
     if not met:
         return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    seq = np.array(ids, np.int32)
     ends, lengths = np.array(met, np.int64).T
     found, rows = [], []
     for n, starts in candidates(ends, lengths, part):
@@ -189,10 +190,9 @@ def scanned(texts: pa.Array, part: Part | None) -> Iterator[tuple[int, int, list
         hits: dict[int, np.ndarray] = {}
         items: dict[int, set[str]] = {}
         if a is not None:
-            seq = np.array(ids, np.int32)
-            found, rows = hits_of(seq, part, a)
+            found, rows = hits_of(ids, part, a)
             if len(found):
-                edge = np.zeros(len(seq) + 1, np.int64)
+                edge = np.zeros(len(ids) + 1, np.int64)
                 np.add.at(edge, found[:, 0], 1)
                 np.add.at(edge, found[:, 0] + found[:, 1], -1)
                 covered = np.cumsum(edge[:-1]) > 0

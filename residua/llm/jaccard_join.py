@@ -448,7 +448,7 @@ def grouped_links(rows: DataFrame, run, budget: int, pack: int, name: str) -> Da
 
 
 @tidied
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 150_000, list_limit: int = 2000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = 150_000, list_limit: int = 1000, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, text_key (xxhash64 of the text) of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
     table, twice, mean = levels(docs, "text", k)
@@ -463,7 +463,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     shared_keys = settle(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-lists")
     entries = lists.join(shared_keys, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
     entries = settle(entries.select(F.col("key").alias("group"), F.col("rep").alias("doc_id"), F.col("n").alias("load"), "n", "n_shingles", "sketch"), "join-entries")
-    edges = settle(grouped_links(entries, list_search(num, den), list_limit, 50_000, "join-lists").distinct(), "join-edges")
+    edges = settle(grouped_links(entries, list_search(num, den), list_limit, 25_000, "join-lists").distinct(), "join-edges")
     names = reps.select("class", "rep", "least")
     if edges.isEmpty():
         roots = None
@@ -503,11 +503,13 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     jaccard_components; the rows that go are broadcast up to ``max_broadcast_rows``."""
     rows = found.filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.first("component_id").alias("component_id"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
     rows = settle(rows, "join-rows")
-    heads = rows.filter("doc_id = component_id and size > 0").groupBy("component_id").agg(F.min("text_key").alias("head"))
-    judged = rows.join(heads, "component_id", "left").withColumn("goes", (F.col("size") > 0) & ((F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("head"))))
-    judged = judged.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "goes", "n")
-    gone = settle(judged.filter("goes").drop("goes", "n"), "join-gone")
-    twice = settle(judged.filter("not goes and n > 1").drop("goes", "n"), "join-twice")
+    own = [F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")]
+    # rows with another id than their component's go; of those with its id, all but one text
+    firsts = rows.filter("doc_id = component_id and size > 0")
+    several = settle(firsts.groupBy("doc_id").agg(F.min("text_key").alias("head"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"), "join-several")
+    other = firsts.join(several, "doc_id").filter("text_key <> head").select(*own)
+    gone = settle(rows.filter("size > 0 and doc_id <> component_id").select(*own).unionByName(other), "join-gone")
+    twice = settle(rows.filter("n > 1").select(*own), "join-twice")
 
     def met(some: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = F.broadcast(keys) if keys.count() <= max_broadcast_rows else keys
