@@ -85,8 +85,11 @@ def scores(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-def score_pairs(pairs: DataFrame, left: str = "frag1", right: str = "frag2") -> DataFrame:
-    """``pairs`` with the 14 scores; fragments of unequal length get nulls."""
+def score_pairs(pairs: DataFrame, left: str = "frag1", right: str = "frag2", tasks: int | None = None) -> DataFrame:
+    """``pairs`` with the 14 scores; fragments of unequal length get nulls.
+
+    The work is far more than the bytes, so the rows are dealt to ``tasks`` of their own (four a core, unless given), which
+    adaptive execution doesn't join."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", " + ", ".join(f"{m} long" for m in METRICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def score_pairs(pairs: DataFrame, left: str = "frag1", right: str = "frag2") ->
                 columns.append(pa.array(col, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *METRICS])
 
-    return pairs.mapInArrow(run, fields)
+    tasks = tasks or 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    return pairs.repartition(tasks, *[F.col(c) for c in pairs.columns]).mapInArrow(run, fields)
 
 
 def score_histogram(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

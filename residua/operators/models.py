@@ -54,7 +54,7 @@ def chain(prots: DataFrame) -> Callable[[Column, Column, str, int], Column]:
 
 def shuffled_corpus(prots: DataFrame, model: str) -> DataFrame:
     """prot_id, org, seq, len of the corpus under a model P, G, A or E with its number as seed."""
-    new = nullmodels.reassembled(nullmodels.placed(prots, GROUPS[model[0]], model, model[0] == "E"))
+    new = nullmodels.permuted(prots, GROUPS[model[0]], model, model[0] == "E")
     return prots.select("prot_id", "org").join(new, "prot_id").withColumn("len", F.length("seq"))
 
 

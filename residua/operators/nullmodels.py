@@ -4,12 +4,18 @@ A shuffle orders residues by md5(seed:id:place), so it is the same for any parti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.alphabet import RESIDUES
-from residua.operators.kmers import residues
 from residua.operators.sampling import keyed
+from residua.sinks.scratch import settle
+from residua.sources.corpus import running
 
 
 def shuffled(text: Column, ident: Column, seed: str) -> Column:
@@ -39,35 +45,105 @@ def block_shuffled(frag: Column, domain: Column, ident: Column, seed: str, k: in
     return F.when(F.length(frag) < k, frag).otherwise(F.substr(F.array_join(F.transform(F.array_sort(blocks), lambda s: s["b"]), ""), F.lit(1), F.length(frag)))
 
 
-def reassembled(rows: DataFrame, pieces: str = "pos") -> DataFrame:
-    """prot_id, seq from (prot_id, pos, aa)."""
-    return rows.groupBy("prot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pieces, "aa"))), lambda s: s["aa"]), "").alias("seq"))
-
-
-def placed(prots: DataFrame, group: tuple[str, ...], seed: str, equal: bool = False, per_cell: int = 50_000) -> DataFrame:
-    """prot_id, pos, aa after a shuffle of all residues but X inside the groups (the whole corpus where there is none).
-
-    Ranks are taken in two steps, inside ranges of the key (of about ``per_cell`` residues) and over the ranges' counts, so that a group of any size is
-    spread over tasks: places by (prot_id, pos), residues by the keyed order; equal ranks meet."""
-    r = residues(prots, ("prot_id", *group))
-    free = r.filter("aa <> 'X'").withColumn("k", F.unhex(keyed(seed, F.col("prot_id").cast("string"), F.col("pos").cast("string"))))
-    cells = -(-(prots.agg(F.sum(F.col("len").cast("long"))).first()[0] or 1) // per_cell)
-    cell = F.floor(F.conv(F.hex(F.substring("k", 1, 4)), 16, 10).cast("long") * cells / 2**32)  # a range of the key
-
-    def ranked(df: DataFrame, cell: Column, *order: str) -> DataFrame:
-        df = df.withColumn("cell", cell)
-        counts = df.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-        before = counts.withColumn("base", F.coalesce(F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        inside = df.withColumn("r", F.row_number().over(Window.partitionBy(*group, "cell").orderBy(*order)))
-        return inside.join(before, [*group, "cell"]).withColumn("rank", F.col("base") + F.col("r")).drop("cell", "base", "r")
-
-    places = ranked(free.select("prot_id", *group, "pos"), F.floor(F.col("prot_id") / 64), "prot_id", "pos")
-    letters = ranked(free.select(*group, "aa", "k", F.col("prot_id").alias("_p"), F.col("pos").alias("_q")), cell, "k", "_p", "_q")
+def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """prot_id, seq from (prot_id, seq, letters): the letters in turn at all places but those of X."""
+    for batch in batches:
+        out = []
+        for seq, letters in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            old = np.frombuffer(seq.encode(), np.uint8).copy()
+            if letters:
+                old[old != 88] = np.frombuffer(letters.encode(), np.uint8)
+            out.append(old.tobytes().decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["prot_id", "seq"])
+
+
+def keyed_cells(batches: Iterator[pa.RecordBatch], seed: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """g, cell, keys, letters: the residues but X of some proteins (prot_id, g, cells, seq), packed by group and range of the
+    key; a key is the md5 of seed, protein and place."""
+    names: dict[str, int] = {}
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def packed() -> pa.RecordBatch:
+        keys, letters, group, cell = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((cell, group))
+        cut = np.flatnonzero((np.diff(group[order]) != 0) | (np.diff(cell[order]) != 0)) + 1
+        parts = np.split(order, cut)
+        back = {v: k for k, v in names.items()}
+        first = [p[0] for p in parts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([back[int(group[i])] for i in first], pa.string()), pa.array([int(cell[i]) for i in first], pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([letters[p].tobytes() for p in parts], pa.binary())],
+            names=["g", "cell", "keys", "letters"],
+        )
+
+    for batch in batches:
+        for ident, g, cells, seq in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            letters = np.frombuffer(seq.encode(), np.uint8)
+            at = np.flatnonzero(letters != 88)
+            if not len(at):
+                continue
+            begin, out = hashlib.md5(f"{seed}:{ident}:".encode()), bytearray()
+            for p in (at + 1).tolist():
+                h = begin.copy()
+                h.update(b"%d" % p)
+                out += h.digest()
+            keys = np.frombuffer(bytes(out), np.uint8).reshape(-1, 16)
+            cell = (keys[:, :4].copy().view(">u4").ravel().astype(np.uint64) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+            held.append((keys, letters[at], np.full(len(at), names.setdefault(g, len(names))), cell))
+            n += len(at)
+            if n >= most:
+                yield packed()
+                held, n, names = [], 0, {}
+    if held:
+        yield packed()
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """The letters of a cell in the order of their keys."""
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), ">u8").reshape(-1, 2)
+    letters = np.frombuffer(b"".join(table.column("letters").to_pylist()), np.uint8)
+    text = letters[np.lexsort((keys[:, 1], keys[:, 0]))].tobytes().decode()
+    return pa.table({"g": table.column("g").slice(0, 1), "cell": table.column("cell").slice(0, 1), "text": pa.array([text]), "n": pa.array([len(text)], pa.int64())})
+
+
+def permuted(prots: DataFrame, group: tuple[str, ...], seed: str, equal: bool = False, per_cell: int = 50_000) -> DataFrame:
+    """prot_id, seq after a shuffle of all residues but X inside the groups (the whole corpus where there is none); the keyed
+    order of the residues fills the places by protein and place.  Proteins without an id are left out.
+
+    A protein's own shuffle is an expression of its row.  Otherwise each group's residues are dealt to cells, ranges of the
+    key of about ``per_cell`` residues, packed before they shuffle, and a cell becomes one string of letters in order; a
+    protein takes slices of the cells that its run of ranks overlaps.  No residue is a row, and no task holds a group."""
+    kind = prots.schema["prot_id"].dataType.simpleString()
+    g = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in group])) if group else F.lit("")
+    p = prots.filter("prot_id is not null").select("prot_id", g.alias("g"), "seq", F.length(F.replace("seq", F.lit("X"))).cast("long").alias("free"))
+    if group == ("prot_id",) and not equal:
+        tagged = F.transform(F.split("seq", ""), lambda c, i: F.struct(keyed(seed, F.col("prot_id").cast("string"), (i + 1).cast("string")).alias("k"), i.alias("i"), c.alias("c")))
+        letters = F.array_join(F.transform(F.array_sort(F.filter(tagged, lambda s: s["c"] != "X")), lambda s: s["c"]), "")
+        return p.select("prot_id", "seq", letters.alias("letters")).mapInArrow(filled, f"prot_id {kind}, seq string")
+    p = settle(p, "shuffle-proteins")
+    placed = running(p.drop("seq").filter("free > 0"), "prot_id", F.col("free"), "start", ("g",))
     if equal:
-        letters = letters.withColumn("aa", F.substr(F.lit(RESIDUES), (F.col("rank") % 20 + 1).cast("int"), F.lit(1)))
-    new = places.join(letters.select(*group, "rank", "aa"), [*group, "rank"]).select("prot_id", "pos", "aa")
-    return new.unionByName(r.filter("aa = 'X'").select("prot_id", "pos", "aa"))
+        first = ((F.col("start") + 1) % len(RESIDUES) + 1).cast("int")
+        letters = F.substr(F.repeat(F.lit(RESIDUES), (F.col("free") / len(RESIDUES)).cast("int") + 2), first, F.col("free").cast("int"))
+        own = placed.select("prot_id", letters.alias("letters"))
+    else:
+        totals = p.groupBy("g").agg(F.ceil(F.sum("free") / per_cell).alias("cells"))
+        dealt = p.join(F.broadcast(totals) if totals.count() <= 100_000 else totals, "g").select(F.col("prot_id").cast("string"), "g", "cells", "seq")
+        packed = dealt.mapInArrow(lambda it: keyed_cells(it, seed), "g string, cell long, keys binary, letters binary")
+        cells = settle(packed.groupBy("g", "cell").applyInArrow(in_order, "g string, cell long, text string, n long"), "shuffle-cells")
+        based = running(cells.drop("text"), "cell", F.col("n"), "base", ("g",)).select(F.col("g").alias("b_g"), F.col("cell").alias("b_cell"), "base")
+        cells = cells.join(based, (F.col("g") == F.col("b_g")) & (F.col("cell") == F.col("b_cell"))).select("g", "text", "base", "n")
+
+        def blocks(first: Column, n: Column) -> Column:
+            return F.explode(F.sequence(F.floor(first / per_cell), F.floor((first + n - 1) / per_cell))).alias("block")
+
+        left = placed.select("prot_id", "g", "start", "free", blocks(F.col("start"), F.col("free")))
+        right = cells.select("g", "text", "base", "n", blocks(F.col("base"), F.col("n")))
+        low, high = F.greatest("start", "base"), F.least(F.col("start") + F.col("free"), F.col("base") + F.col("n"))
+        met = left.join(right, ["g", "block"]).filter((low < high) & (F.col("block") == F.floor(low / per_cell)))
+        slices = met.select("prot_id", low.alias("at"), F.substr("text", (low - F.col("base") + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+        own = slices.groupBy("prot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), "").alias("letters"))
+    return p.select("prot_id", "seq").join(own, "prot_id", "left").select("prot_id", "seq", "letters").mapInArrow(filled, f"prot_id {kind}, seq string")
 
 
 def pick_one(rows: DataFrame, group: str, ident: str, seed: str) -> DataFrame:

@@ -208,7 +208,7 @@ n AS (SELECT p.prot_id, p.pos, {aa} AS aa FROM p JOIN l ON {on} UNION ALL SELECT
 
 
 def _corpus_shuffle(s, d, group, seed, equal=False):
-    return nullmodels.reassembled(nullmodels.placed(proteins(s, d), group, seed, equal)).select("prot_id", F.md5("seq").alias("seq_md5"))
+    return nullmodels.permuted(proteins(s, d), group, seed, equal).filter("seq <> ''").select("prot_id", F.md5("seq").alias("seq_md5"))
 
 
 @query("g1_protein_shuffle", corpus_shuffle_sql("prot_id", "g1"))

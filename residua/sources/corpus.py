@@ -29,18 +29,34 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("prot_id"), F.col("source").alias("org"), F.col("lang").alias("clade"), normalise(F.col("text")).alias("seq")).withColumn("len", F.length("seq"))
 
 
+def running(rows: DataFrame, key: str, value: Column, name: str, within: tuple[str, ...] = (), per_range: int = 1 << 16, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before, by ``key`` (a whole number; null after all others), inside each group of
+    ``within``.
+
+    Keys are cut into ranges of equal width, as many as give about ``per_range`` rows each however sparse the keys are.  The
+    sum is taken inside a range by its rows and over the ranges by their totals, so that no task holds all rows."""
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, high, n = ends["low"] or 0, ends["high"] or 0, ends["n"]
+    ranges = max(1, -(-n // per_range))
+    width = max(1, -(-(high - low + 1) // ranges))
+    cut = F.coalesce(F.floor((F.col(key) - low) / width), F.lit(ranges)).alias("_range")
+    own = rows.select("*", cut, value.alias("_value"))
+    before = (Window.unboundedPreceding, -1)
+    own = own.withColumn("_in", F.coalesce(F.sum("_value").over(Window.partitionBy(*within, "_range").orderBy(F.col(key).asc_nulls_last()).rowsBetween(*before)), F.lit(0)))
+    totals = own.groupBy(*within, "_range").agg(F.sum("_value").alias("_total"))
+    over = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(*before)
+    base = totals.select(*[F.col(c).alias(f"_{c}") for c in within], F.col("_range").alias("_of"), F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
+    on = own["_range"] == base["_of"]
+    for c in within:
+        on = on & own[c].eqNullSafe(base[f"_{c}"])
+    few = not within and ranges <= max_broadcast_rows
+    return own.join(F.broadcast(base) if few else base, on).withColumn(name, F.col("_base") + F.col("_in")).select(*rows.columns, name)
+
+
 def starts(prots: DataFrame) -> DataFrame:
-    """Adds global_start: where the protein begins when all stand one after another, each with an end mark.
-
-    The running sum is taken over ranges of ids: sums inside a range by its rows, ranges by their totals, so that no task
-    holds all proteins."""
-    width = 1 << 16
-    p = prots.withColumn("_range", F.floor(F.col("prot_id") / width))
-    inside = Window.partitionBy("_range").orderBy("prot_id").rowsBetween(Window.unboundedPreceding, -1)
-    totals = p.groupBy("_range").agg(F.sum(F.col("len") + 1).alias("_t"))
-    before = totals.withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    p = p.withColumn("_in", F.coalesce(F.sum(F.col("len") + 1).over(inside), F.lit(0)))
-    return p.join(F.broadcast(before), "_range").withColumn("global_start", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
+    """Adds global_start: where the protein begins when all stand one after another, by id, each with an end mark; proteins
+    without an id come last, in any order."""
+    return running(prots, "prot_id", F.col("len") + 1, "global_start")
 
 
 def read_fasta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from residua.functions.alphabet import RESIDUES, is_prime, next_prime, normalise
 from residua.operators import abundance, alignment, curation, distance, graph, homology, kmers, nullmodels, sampling, suffix
 from residua.sinks import tables
 from residua.sources import corpus, files
+from residua.sources.corpus import running, starts
 
 
 def proteins(spark, seqs, orgs=None):
@@ -96,7 +97,7 @@ def test_shuffles_keep_residues_and_x(spark, group):
     rng = random.Random(5)
     seqs = ["".join(rng.choice("ACDEFGX") for _ in range(rng.randint(1, 300))) for _ in range(12)]
     p = proteins(spark, seqs, [f"o{i % 3}" for i in range(12)])
-    out = {r.prot_id: r.seq for r in nullmodels.reassembled(nullmodels.placed(p, group, "s")).collect()}
+    out = {r.prot_id: r.seq for r in nullmodels.permuted(p, group, "s", per_cell=7).collect()}
     assert all([c == "X" for c in out[i]] == [c == "X" for c in s] for i, s in enumerate(seqs))
     key = (lambda i: i) if group == ("prot_id",) else (lambda i: i % 3) if group else (lambda i: 0)
     for g in {key(i) for i in range(12)}:
@@ -106,7 +107,7 @@ def test_shuffles_keep_residues_and_x(spark, group):
 
 def test_equal_model_is_even(spark):
     p = proteins(spark, ["A" * 400])
-    seq = nullmodels.reassembled(nullmodels.placed(p, (), "e", True)).first().seq
+    seq = nullmodels.permuted(p, (), "e", True).first().seq
     assert {seq.count(c) for c in RESIDUES} == {20}
 
 
@@ -193,9 +194,10 @@ def test_readers_and_writers(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("Bacillus", "UP4_4.fasta"), ("Escherichia", "UP1_1.fasta")]
     folder = tmp_path / "fa"
     folder.mkdir()
-    (folder / "UP9_7.fasta").write_text(">tr|Q1|x desc\nACD\n")
-    assert [tuple(r) for r in files.identifiers(spark, str(folder)).collect()] == [("UP9", "tr")] or files.identifiers(spark, str(folder)).first().up_id == "UP9"
-    assert files.listing(spark, str(folder)).count() == 1
+    (folder / "UP9_7.fasta").write_text(">tr|K8E1|K8E1_CARML desc\nACD\n>tr|K8E2|K8E2_CARML\nAC\n")
+    (folder / "UP8_3.fasta").write_text(">sp|P1|NAME_SPEC other=1\nACD\n")
+    assert sorted(tuple(r) for r in files.identifiers(spark, str(folder)).collect()) == [("UP8", "NAME_SPEC"), ("UP9", "K8E1_CARML")]
+    assert files.listing(spark, str(folder)).count() == 2
     h = spark.createDataFrame([("HD", "n", 100, 0, 20, 100, 3)], "alignment string, model string, score int, replica int, lf int, domain int, count long")
     merged = tables.merge_counts(h, h, tables.SCORE_KEYS)
     assert merged.first()["count"] == 6
@@ -222,6 +224,20 @@ def test_samples(spark):
     assert is_prime(2) and not is_prime(1) and next_prime(7) == 11
 
 
+def test_starts_with_null_and_sparse_ids(spark):
+    rows = [(10**15, "ACD"), (5, "AC"), (None, "ACDE"), (-3, ""), (7, "A")]
+    p = spark.createDataFrame(rows, "prot_id long, seq string").withColumn("len", F.length("seq"))
+    assert {r.prot_id: r.global_start for r in starts(p).collect()} == {-3: 0, 5: 1, 7: 4, 10**15: 6, None: 10}
+    many = spark.range(0, 3_000_000, 1000).selectExpr("id * id AS prot_id", "CAST(id % 7 AS INT) AS len")
+    got = running(many, "prot_id", F.col("len"), "s", per_range=100).orderBy("prot_id").collect()
+    total = 0
+    for r in got:
+        assert r.s == total
+        total += r.len
+    by = running(many.withColumn("g", F.when(F.col("len") > 0, F.col("len"))), "prot_id", F.lit(1), "s", ("g",), 100)
+    assert by.groupBy("g").agg(F.max("s").alias("m"), F.count(F.lit(1)).alias("n")).filter("m <> n - 1").count() == 0
+
+
 def test_ortholog_paralog_pairs(spark):
     p = proteins(spark, ["ACDACD", "ACD", "ACD"], ["x", "x", "y"])
     r = {x.frag: x for x in abundance.ortholog_paralog(p, 3).collect()}["ACD"]
