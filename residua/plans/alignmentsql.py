@@ -39,7 +39,7 @@ def columns() -> str:
     return ", ".join(METRICS)
 
 
-def histogram(keys: str = "") -> str:
-    """alignment, keys, score, count of the rows of ``sc``."""
+def histogram(keys: str = "", source: str = "sc") -> str:
+    """alignment, keys, score, count of the scored rows of ``source``."""
     keep = f"{keys}, " if keys else ""
-    return f"SELECT alignment, {keep}score, count(*) AS count FROM (UNPIVOT (SELECT {keep}{columns()} FROM sc) ON {columns()} INTO NAME alignment VALUE score) GROUP BY ALL"
+    return f"SELECT alignment, {keep}score, count(*) AS count FROM (UNPIVOT (SELECT {keep}{columns()} FROM {source}) ON {columns()} INTO NAME alignment VALUE score) GROUP BY ALL"

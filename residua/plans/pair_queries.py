@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import strings as st
 from residua.operators import abundance as ab
-from residua.operators import alignment as al
-from residua.operators import curation, distance, graph, homology, models, nullmodels, sampling
+from residua.operators import curation, distance, graph, homology, nullmodels, sampling
 from residua.plans.sqltext import HAMMING, PROT, VALID, hashed, km, pairs, sample
 from residua.sources import files
 from residua.sources.corpus import proteins, table
@@ -96,19 +95,6 @@ def _(s, d):
     return the_pairs(s, d).select("pair_id", (100 * st.best_diagonal(F.col("a_frag"), F.col("b_frag"), LF)).alias("sh"))
 
 
-@query("s4_alignment_scores")
-def _(s, d):
-    return al.score_pairs(the_pairs(s, d, 50, 4000).select("pair_id", F.col("a_frag").alias("frag1"), F.col("b_frag").alias("frag2"))).drop("frag1", "frag2")
-
-
-@query("s3_score_histogram")
-def _(s, d):
-    p = the_pairs(s, d, 50, 4000)
-    nat = p.select(F.lit("natural").alias("model"), F.col("a_frag").alias("frag1"), F.col("b_frag").alias("frag2"))
-    shuffled = p.select(F.lit("fragment").alias("model"), nullmodels.shuffled(F.col("a_frag"), F.col("pair_id"), "s3a").alias("frag1"), nullmodels.shuffled(F.col("b_frag"), F.col("pair_id"), "s3b").alias("frag2"))
-    return al.score_histogram(al.score_pairs(nat.unionByName(shuffled)), ("model",))
-
-
 @query("snk5_histogram_output", f"WITH {P} SELECT 'HD' AS alignment, 'natural' AS model, 100 * (20 - pm) AS score, count(*) AS count, CAST(0 AS INTEGER) AS replica, CAST(20 AS INTEGER) AS lf FROM pm GROUP BY pm")
 def _(s, d):
     h = sampling.distance_histogram(the_pairs(s, d))
@@ -197,14 +183,14 @@ def _(s, d):
     return domains(s, d).select("gpos", "frag")
 
 
-def corpus_shuffle_sql(group: str | None, seed: str, equal: bool = False) -> str:
+def corpus_shuffle_sql(group: str | None, seed: str, equal: bool = False, out: str = "md5(string_agg(aa, '' ORDER BY pos)) AS seq_md5") -> str:
     part = f"PARTITION BY {group}" if group else ""
     keep = "prot_id, org"
     aa = "substr('ACDEFGHIKLMNPQRSTVWY', CAST(l.rank % 20 + 1 AS BIGINT), 1)" if equal else "l.aa"
     on = f"p.rank = l.rank{f' AND p.{group} = l.{group}' if group else ''}"
     return f"""WITH {PROT}, {km(1, keep, "res")}, fr AS (SELECT prot_id, org, pos, frag AS aa, md5('{seed}:' || prot_id || ':' || pos) AS k FROM res WHERE frag <> 'X'),
 p AS (SELECT prot_id, org, pos, row_number() OVER ({part} ORDER BY prot_id, pos) AS rank FROM fr), l AS (SELECT aa, org, prot_id, row_number() OVER ({part} ORDER BY k, prot_id, pos) AS rank FROM fr),
-n AS (SELECT p.prot_id, p.pos, {aa} AS aa FROM p JOIN l ON {on} UNION ALL SELECT prot_id, pos, frag FROM res WHERE frag = 'X') SELECT prot_id, md5(string_agg(aa, '' ORDER BY pos)) AS seq_md5 FROM n GROUP BY prot_id"""
+n AS (SELECT p.prot_id, p.pos, {aa} AS aa FROM p JOIN l ON {on} UNION ALL SELECT prot_id, pos, frag FROM res WHERE frag = 'X') SELECT prot_id, {out} FROM n GROUP BY prot_id"""
 
 
 def _corpus_shuffle(s, d, group, seed, equal=False):
@@ -497,12 +483,6 @@ def _(s, d):
     return rows.select("batch1", "batch2", "pos1", "pos2", F.md5("frag1").alias("frag1"), F.md5("frag2").alias("frag2"))
 
 
-@query("d19_scored_relationships")
-def _(s, d):
-    f = frags(s, d)
-    return al.score_pairs(homology.with_fragments(relationships(s, d, ("ali3",)), f)).drop("frag1", "frag2")
-
-
 @query("agg29_class_shares", f"WITH {CLASSIFIED} SELECT round(100.0 * count(*) FILTER (WHERE class = 'Q') / count(*), 6) AS q, round(100.0 * count(*) FILTER (WHERE class = 'P') / count(*), 6) AS p, round(100.0 * count(*) FILTER (WHERE class = 'C') / count(*), 6) AS c, count(*) AS pairs FROM cl")
 def _(s, d):
     x = homology.class_shares(homology.classify(relationships(s, d), assignments(s, d)))
@@ -576,18 +556,6 @@ def _(s, d):
     return curation.curated(genome_table(s, d))
 
 
-@query("g9_markov_model")
-def _(s, d):
-    p = proteins(s, d)
-    draw = models.chain(p)
-    f = sampling.systematic(p, 50, 20_000, 2_000, 4)
-    return f.select("gpos", draw(F.substr("frag", F.lit(1), F.lit(1)), F.col("gpos"), "g9", 50).alias("frag"))
-
-
-for _flavour in models.FLAVOURS:
-    QUERIES[f"g10_flavour_{_flavour}"] = lambda s, d, k=_flavour: models.evaluate(s, proteins(s, d), models.FLAVOURS[k], 20, 100, 1000)
-
-
 @query("j18_seeded_components", f"WITH RECURSIVE {COMPONENT.split(', c(frag)')[0]}, sd AS (SELECT frag FROM (SELECT frag, row_number() OVER (ORDER BY frag) AS r FROM f) WHERE r % 50 = 1), c(seed, frag) AS (SELECT frag, frag FROM sd UNION SELECT c.seed, e.b FROM c JOIN e ON c.frag = e.a) SELECT seed, count(*) AS size FROM c GROUP BY seed")
 def _(s, d):
     f = ab.hits_per_protein(proteins(s, d), 8).filter("prots >= 40").select("frag")
