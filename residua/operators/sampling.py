@@ -49,11 +49,14 @@ def located(places: DataFrame, prots: DataFrame, lf: int, pos: str, prefix: str)
     return rows.withColumn(f"{prefix}pos", at).withColumn(f"{prefix}frag", F.substr("seq", at, F.lit(lf))).drop("_cell", "_s", "len", "seq")
 
 
-def pairs(spark: SparkSession, prots: DataFrame, lf: int, n: int, seed: int = 0) -> DataFrame:
+def pairs(spark: SparkSession, prots: DataFrame, lf: int, n: int, seed: int = 0, around: bool = False) -> DataFrame:
     """pair_id, pos1, pos2 and both sides' protein, organism, place and fragment: two strides around the corpus, pairs kept
-    where the second fragment starts after the first ends."""
+    where the second fragment starts after the first ends.  around: n pairs, or as many as it takes the first side, whose
+    stride is the shorter one, to go round the corpus once, so that no part of it is left out however large it is."""
     total = prots.agg(F.sum(F.col("len") + 1)).first()[0] or 1
     m1, m2 = strides(total)
+    if around:
+        n = max(n, -(-total // m1))
     step = max(1, total // 100_000)
     raw = spark.range(n).select(F.col("id").alias("pair_id"), ((F.col("id") * m1) % total).alias("pos1"), ((seed * step + F.col("id") * m2) % total).alias("pos2")).filter(F.col("pos2") > F.col("pos1") + lf)
     return located(located(raw, prots, lf, "pos1", "a_"), prots, lf, "pos2", "b_")

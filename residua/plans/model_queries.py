@@ -28,7 +28,7 @@ def query(name: str, sql: str):
 
 @query("s4_alignment_scores", f"WITH RECURSIVE {pairs(LF, N)}, src AS (SELECT pair_id, a_frag AS a, b_frag AS b FROM pairs), {alignmentsql.scored('src', 'pair_id')}, w AS (SELECT pair_id, {alignmentsql.columns()} FROM sc) SELECT w.*, pos1, pos2 FROM w JOIN pairs USING (pair_id)")
 def _(s, d):
-    rows = the_pairs(s, d, LF, N).select("pair_id", "pos1", "pos2", F.col("a_frag").alias("frag1"), F.col("b_frag").alias("frag2"))
+    rows = the_pairs(s, d, LF, N, False).select("pair_id", "pos1", "pos2", F.col("a_frag").alias("frag1"), F.col("b_frag").alias("frag2"))
     return al.score_pairs(rows).drop("frag1", "frag2")
 
 
@@ -38,7 +38,7 @@ def _(s, d):
     f"{alignmentsql.scored('src', 'id')}, scm AS (SELECT split_part(id, ':', 1) AS model, * FROM sc) {alignmentsql.histogram('model', 'scm')}",
 )
 def _(s, d):
-    p = the_pairs(s, d, LF, N)
+    p = the_pairs(s, d, LF, N, False)
     nat = p.select(F.lit("natural").alias("model"), F.col("a_frag").alias("frag1"), F.col("b_frag").alias("frag2"))
     shuffled = p.select(F.lit("fragment").alias("model"), nullmodels.shuffled(F.col("a_frag"), F.col("pair_id"), "s3a").alias("frag1"), nullmodels.shuffled(F.col("b_frag"), F.col("pair_id"), "s3b").alias("frag2"))
     return al.score_histogram(al.score_pairs(nat.unionByName(shuffled)), ("model",))

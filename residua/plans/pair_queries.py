@@ -12,6 +12,7 @@ from residua.functions import strings as st
 from residua.operators import abundance as ab
 from residua.operators import curation, distance, graph, homology, nullmodels, sampling
 from residua.plans.sqltext import HAMMING, PROT, VALID, hashed, km, pairs, sample
+from residua.sinks.scratch import settle
 from residua.sources import files
 from residua.sources.corpus import proteins, table
 
@@ -34,11 +35,11 @@ def r6(c):
     return F.round(c, 6)
 
 
-def the_pairs(s: SparkSession, d: str, lf: int = LF, n: int = N_PAIRS) -> DataFrame:
-    return sampling.pairs(s, proteins(s, d), lf, n)
+def the_pairs(s: SparkSession, d: str, lf: int = LF, n: int = N_PAIRS, around: bool = True) -> DataFrame:
+    return sampling.pairs(s, proteins(s, d), lf, n, around=around)
 
 
-P = pairs(LF, N_PAIRS)
+P = pairs(LF, N_PAIRS, around=True)
 
 
 @query("s1_two_stride_sample", f"WITH {P} SELECT pair_id, a_prot, a_pos, b_prot, b_pos FROM pairs")
@@ -76,7 +77,8 @@ def _(s, d):
     return the_pairs(s, d).select("pair_id", r6(st.compositional_expectation(F.col("a_frag"), F.col("b_frag"))).alias("expectation"))
 
 
-SHORT = pairs(8, 5000)
+SHORT = pairs(8, 5000, around=True)
+TINY = pairs(5, N_PAIRS, around=True).replace("pm AS (", "pm AS MATERIALIZED (")
 
 
 @query("f19_consensus", f"WITH {SHORT} SELECT pair_id, round(list_sum(list_transform(range(0, 64), lambda z: CASE " + " ".join(f"WHEN z // 8 <= {8 - n} AND z % 8 <= {8 - n} AND substr(a_frag, z // 8 + 1, {n}) = substr(b_frag, z % 8 + 1, {n}) THEN {n}" for n in range(8, 0, -1)) + " ELSE 0 END)) / 100.0, 6) AS consensus FROM pairs")
@@ -269,25 +271,37 @@ def _(s, d):
     return distance.neighbour_counts(ab.hits(proteins(s, d), 5), 5)
 
 
-COMPONENT = f"{PROT}, {km(8, 'prot_id', where=VALID)}, f AS (SELECT frag FROM km GROUP BY frag HAVING count(DISTINCT prot_id) >= 40), k AS (SELECT frag, i, frag[1:i] || '.' || frag[i + 2:8] AS w FROM f, range(8) r(i)), e AS (SELECT DISTINCT a.frag AS a, b.frag AS b FROM k a JOIN k b USING (i, w) WHERE a.frag <> b.frag), c(frag) AS (SELECT min(frag) FROM f UNION SELECT e.b FROM c JOIN e ON c.frag = e.a)"
+GRAPH_LF, EVERY = 12, 10_003
+EDGES = f"{PROT}, {km(GRAPH_LF, 'prot_id', where=VALID)}, f AS MATERIALIZED (SELECT DISTINCT frag FROM km), k AS (SELECT frag, i, frag[1:i] || '.' || frag[i + 2:{GRAPH_LF}] AS w FROM f, range({GRAPH_LF}) r(i)), e AS MATERIALIZED (SELECT DISTINCT a.frag AS a, b.frag AS b FROM k a JOIN k b USING (i, w) WHERE a.frag <> b.frag)"
+SEED = "deg AS (SELECT a AS frag, count(*) AS n FROM e GROUP BY a), ends AS MATERIALIZED (SELECT (SELECT frag FROM deg ORDER BY n DESC, frag LIMIT 1) AS seed, (SELECT frag FROM deg ORDER BY n DESC, frag LIMIT 1 OFFSET 1) AS target)"
+COMPONENT = f"{EDGES}, {SEED}, c(frag) AS (SELECT seed FROM ends WHERE seed IS NOT NULL UNION SELECT e.b FROM c JOIN e ON c.frag = e.a)"
 
 
 def _component(s, d):
-    f = ab.hits_per_protein(proteins(s, d), 8).filter("prots >= 40").select("frag")
-    seed = f.agg(F.min("frag").alias("frag"))
-    return graph.component(f, seed, 8, 1), seed
+    """The component of the fragment with most neighbours, over all fragments of the corpus, with that one as seed and the
+    one with the second most as target."""
+    counts = settle(ab.hits(proteins(s, d), GRAPH_LF), "graph-hits")
+    most = distance.neighbour_counts(counts, GRAPH_LF).filter("neighbours > 0").orderBy(F.desc("neighbours"), "frag").limit(2).collect()
+    ends = [r.frag for r in most] + [None, None]
+    seed = s.createDataFrame([(x,) for x in ends[:1] if x], "frag string")
+    return graph.component(counts, seed, GRAPH_LF, 1), ends
 
 
-@query("j17_component", f"WITH RECURSIVE {COMPONENT} SELECT frag FROM c WHERE frag IS NOT NULL")
+@query("j17_component", f"WITH RECURSIVE {COMPONENT} SELECT frag FROM c")
 def _(s, d):
     return _component(s, d)[0].select("frag")
 
 
-@query("j17_component_distances", f"WITH RECURSIVE {COMPONENT}, p AS (SELECT frag AS a_frag, (SELECT min(frag) FROM f) AS b_frag FROM c WHERE frag IS NOT NULL) SELECT {HAMMING} AS pm, count(*) AS count FROM p GROUP BY 1")
+@query("j17_component_distances", f"WITH RECURSIVE {COMPONENT}, p AS (SELECT x.frag AS a_frag, y.frag AS b_frag FROM c x JOIN c y ON x.frag < y.frag) SELECT {HAMMING} AS pm, count(*) AS count FROM p GROUP BY 1")
 def _(s, d):
-    comp, seed = _component(s, d)
-    first = seed.first()[0]
-    return graph.inner_distances(comp, first or "")
+    return graph.inner_distances(_component(s, d)[0], GRAPH_LF)
+
+
+@query("j17_deep_homology", f"WITH RECURSIVE {COMPONENT} SELECT seed, target, target IN (SELECT frag FROM c) AS reached, (SELECT count(*) FROM c) AS size FROM ends WHERE seed IS NOT NULL")
+def _(s, d):
+    comp, (seed, target, *_) = _component(s, d)
+    found = comp.agg(F.max(F.col("frag") == F.lit(target)).alias("reached"), F.count(F.lit(1)).alias("size")).filter("size > 0")
+    return found.select(F.lit(seed).alias("seed"), F.lit(target).alias("target"), "reached", "size")
 
 
 @query("j18_nearest", f"WITH {PROT}, {km(8, 'prot_id', where=VALID)}, f AS (SELECT DISTINCT frag AS a_frag, 'THEANDER' AS b_frag FROM km), x AS (SELECT a_frag AS frag, {HAMMING} AS pm FROM f) SELECT frag, pm FROM x ORDER BY pm, frag LIMIT 1")
@@ -313,9 +327,9 @@ def _(s, d):
     return sampling.exchanges(the_pairs(s, d))
 
 
-@query("s7b_two_mutation_gaps", f"WITH {P}, m AS (SELECT list_filter(range(1, 21), lambda i: a_frag[i] <> b_frag[i]) AS places FROM pm WHERE pm = 2) SELECT CAST(places[2] - places[1] AS INTEGER) AS gap, count(*) AS count FROM m GROUP BY 1")
+@query("s7b_two_mutation_gaps", f"WITH {TINY}, m AS (SELECT list_filter(range(1, 6), lambda i: a_frag[i] <> b_frag[i]) AS places FROM pm WHERE pm = 2) SELECT CAST(places[2] - places[1] AS INTEGER) AS gap, count(*) AS count FROM m GROUP BY 1")
 def _(s, d):
-    return sampling.two_mutation_gaps(the_pairs(s, d))
+    return sampling.two_mutation_gaps(the_pairs(s, d, 5))
 
 
 @query("s7c_mutation_places", f"WITH {P} SELECT pm, CAST(i - 1 AS INTEGER) AS j, count(*) AS count FROM pm, range(1, 21) r(i) WHERE a_frag[i] <> b_frag[i] GROUP BY ALL")
@@ -556,8 +570,6 @@ def _(s, d):
     return curation.curated(genome_table(s, d))
 
 
-@query("j18_seeded_components", f"WITH RECURSIVE {COMPONENT.split(', c(frag)')[0]}, sd AS (SELECT frag FROM (SELECT frag, row_number() OVER (ORDER BY frag) AS r FROM f) WHERE r % 50 = 1), c(seed, frag) AS (SELECT frag, frag FROM sd UNION SELECT c.seed, e.b FROM c JOIN e ON c.frag = e.a) SELECT seed, count(*) AS size FROM c GROUP BY seed")
+@query("j18_seeded_components", f"WITH RECURSIVE {EDGES}, sd AS (SELECT frag FROM (SELECT frag, row_number() OVER (ORDER BY frag) AS r FROM f) WHERE r % {EVERY} = 1), c(seed, frag) AS (SELECT frag, frag FROM sd UNION SELECT c.seed, e.b FROM c JOIN e ON c.frag = e.a) SELECT seed, count(*) AS size FROM c GROUP BY seed")
 def _(s, d):
-    f = ab.hits_per_protein(proteins(s, d), 8).filter("prots >= 40").select("frag")
-    return graph.seeded(f, 8, 1, 50)
-
+    return graph.seeded(ab.hits(proteins(s, d), GRAPH_LF), GRAPH_LF, 1, EVERY)

@@ -25,11 +25,11 @@ def prime_above(expr: str) -> str:
     return f"(SELECT min(x) FROM (SELECT unnest(range({expr} + 1, {expr} + 2000)) AS x) WHERE len(list_filter(range(2, CAST(floor(sqrt(x)) AS BIGINT) + 1), lambda d: x % d = 0)) = 0)"
 
 
-def pairs(lf: int, n: int, seed: int = 0) -> str:
-    """CTEs up to ``pairs``: the two-stride sample."""
+def pairs(lf: int, n: int, seed: int = 0, around: bool = False) -> str:
+    """CTEs up to ``pairs``: the two-stride sample; around: n pairs, or as many as bring the first side round the corpus."""
     return f"""{PROT}, {PST}, tot AS (SELECT CAST(sum(len + 1) AS BIGINT) AS t FROM prot),
 st AS (SELECT t, {prime_above("CAST(floor(pow(2 * t, 0.25)) AS BIGINT)")} AS m1, {prime_above("CAST(floor(pow(t, 0.5)) AS BIGINT)")} AS m2, greatest(1, t // 100000) AS step FROM tot),
-raw AS (SELECT * FROM (SELECT i AS pair_id, (i * m1) % t AS pos1, ({seed} * step + i * m2) % t AS pos2 FROM st, range({n}) r(i)) WHERE pos2 > pos1 + {lf}),
+raw AS (SELECT * FROM (SELECT i AS pair_id, (i * m1) % t AS pos1, ({seed} * step + i * m2) % t AS pos2 FROM (SELECT *, unnest(range({f"greatest({n}, (t + m1 - 1) // m1)" if around else n})) AS i FROM st)) WHERE pos2 > pos1 + {lf}),
 one AS (SELECT raw.*, prot_id AS a_prot, org AS a_org, CAST(pos1 - gs + 1 AS INTEGER) AS a_pos, seq AS s1, len AS l1 FROM raw ASOF JOIN pst ON raw.pos1 >= pst.gs),
 two AS (SELECT one.*, prot_id AS b_prot, org AS b_org, CAST(pos2 - gs + 1 AS INTEGER) AS b_pos, seq AS s2, len AS l2 FROM one ASOF JOIN pst ON one.pos2 >= pst.gs),
 pairs AS (SELECT pair_id, pos1, pos2, a_prot, a_org, a_pos, substr(s1, a_pos, {lf}) AS a_frag, b_prot, b_org, b_pos, substr(s2, b_pos, {lf}) AS b_frag FROM two WHERE a_pos + {lf} - 1 <= l1 AND b_pos + {lf} - 1 <= l2),
