@@ -57,14 +57,20 @@ def _forget_results() -> None:
             forget(spark, [path])
 
 
-def settle(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` under a name of its own in the shared folder, in folders by the columns ``by``, and read it back."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a file in any format; it goes like written tables do."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if scopes := getattr(_SCOPES, "open", None):
         scopes[-1].append(path)
     else:
         _RESULTS.append((spark, path))
+    return path
+
+
+def settle(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` under a name of its own in the shared folder, in folders by the columns ``by``, and read it back."""
+    spark = df.sparkSession
+    path = place(spark, name)
     df.write.parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-from residua.plans import corpus_queries, pair_queries
+from residua.plans import corpus_queries, file_queries, model_queries, pair_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = corpus_queries.QUERIES | pair_queries.QUERIES
-SQL = corpus_queries.SQL | pair_queries.SQL
+PLANS = (corpus_queries, pair_queries, model_queries, file_queries)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
