@@ -387,7 +387,7 @@ def _(s, d):
     return ab.ranked(p, ["pm"], ["pair_id"], 5)
 
 
-@query("s12_shuffle_models", "WITH RECURSIVE z AS (SELECT 1), " + ", ".join([pairs(LF, N_PAIRS)]) + f", n AS (SELECT pair_id, lf, substr(a_frag, 1, lf) AS a_frag, substr(b_frag, 1, lf) AS b_frag, substr(b_frag, 1, lf // 2) AS b1, substr(b_frag, lf // 2 + 1, lf - lf // 2) AS b2 FROM pairs, (SELECT unnest([10, 20]) AS lf)), m AS (SELECT 'natural' AS model, lf, a_frag, b_frag FROM n UNION ALL SELECT 'full', lf, a_frag, {list_shuffle('b_frag', 'pair_id', 's12')} FROM n UNION ALL SELECT 'half', lf, a_frag, {list_shuffle('b1', 'pair_id', 's12a')} || {list_shuffle('b2', 'pair_id', 's12b')} FROM n) SELECT model, CAST(lf AS INTEGER) AS lf, {HAMMING} AS pm, count(*) AS count FROM m GROUP BY ALL")
+@query("s12_shuffle_models", "WITH RECURSIVE z AS (SELECT 1), " + ", ".join([P]) + f", n AS (SELECT pair_id, lf, substr(a_frag, 1, lf) AS a_frag, substr(b_frag, 1, lf) AS b_frag, substr(b_frag, 1, lf // 2) AS b1, substr(b_frag, lf // 2 + 1, lf - lf // 2) AS b2 FROM pairs, (SELECT unnest([10, 20]) AS lf)), m AS (SELECT 'natural' AS model, lf, a_frag, b_frag FROM n UNION ALL SELECT 'full', lf, a_frag, {list_shuffle('b_frag', 'pair_id', 's12')} FROM n UNION ALL SELECT 'half', lf, a_frag, {list_shuffle('b1', 'pair_id', 's12a')} || {list_shuffle('b2', 'pair_id', 's12b')} FROM n) SELECT model, CAST(lf AS INTEGER) AS lf, {HAMMING} AS pm, count(*) AS count FROM m GROUP BY ALL")
 def _(s, d):
     p, out = the_pairs(s, d), None
     for lf in (10, 20):
