@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, pii, sharding, token_counts, toxicity
+from residua.llm import chat, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, merkle, mixing, pii, sharding, token_alignment, token_counts, toxicity
 from residua.llm.scratch import shared_dir
 
 
@@ -139,6 +139,83 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size(gone).alias("n_deleted"), F.array_join(gone.cast("array<string>"), ",").alias("deleted_lines"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without_ends = F.replace("text", F.lit("\n"), F.lit(""))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.when(remainder("doc_id", 2) == 0, without_ends).otherwise(F.col("text")))
+    hexed = lambda c: F.lower(F.hex(c))
+    return found.select(
+        "doc_id", *[hexed(c).alias(c) for c in ("leaf", "subroot", "root")], hexed("proof_digest").alias("proof_sha256"), hexed("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+#: Fixed: a conversation that imitates the template.
+IMITATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    convs = convs.unionByName(spark.createDataFrame(IMITATION, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.chat_windows(convs, BUDGET, HISTORY))
+
+
+BUDGET, HISTORY = 2048, 256
+
+# crc32 as a fold over bits: a byte is mixed in, then eight steps follow
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, text, source, lang, n_chars FROM documents),
+cell AS (SELECT doc_id, tree, text, concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+  coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head FROM d),
+t AS (SELECT doc_id, tree, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 2 = 0
+  THEN sha256(head || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) ELSE sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) END AS now FROM cell),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM t),
+lv AS (SELECT 0 AS lev, tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM p
+  UNION ALL SELECT lev + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM lv WHERE n > 1 GROUP BY lev, tree, pos // 3),
+top AS (SELECT 0 AS lev, row_number() OVER (ORDER BY tree) - 1 AS pos, tree, h, count(*) OVER () AS n FROM lv WHERE n = 1),
+rv AS (SELECT lev, pos, h, n FROM top
+  UNION ALL SELECT lev + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM rv WHERE n > 1 GROUP BY lev, pos // 3),
+s1 AS (SELECT a.lev, a.tree, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM lv a JOIN lv b ON a.lev = b.lev AND a.tree = b.tree AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+s2 AS (SELECT a.lev, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM rv a JOIN rv b ON a.lev = b.lev AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+f AS (SELECT doc_id, tree, pos AS own, 0 AS lev, pos, now, '' AS proof FROM p
+  UNION ALL SELECT doc_id, f.tree, own, f.lev + 1, f.pos // 3, sha256(l || now || r), proof || l || r FROM f JOIN s1 ON s1.lev = f.lev AND s1.tree = f.tree AND s1.pos = f.pos),
+f1 AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY tree, own ORDER BY lev DESC) = 1),
+g AS (SELECT doc_id, f1.tree, own, 0 AS lev, top.pos, now, proof FROM f1 JOIN top USING (tree)
+  UNION ALL SELECT doc_id, g.tree, own, g.lev + 1, g.pos // 3, sha256(l || now || r), proof || l || r FROM g JOIN s2 ON s2.lev = g.lev AND s2.pos = g.pos),
+g1 AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY tree, own ORDER BY lev DESC) = 1)
+SELECT p.doc_id, p.leaf, top.h AS subroot, rv.h AS root, sha256(g1.proof) AS proof_sha256, g1.now AS folded_root, g1.now = rv.h AS verified
+FROM p JOIN g1 ON p.tree = g1.tree AND p.pos = g1.own JOIN top ON top.tree = p.tree, rv WHERE rv.n = 1
+"""
+
+# no text of the table has ### in a row of more than three
+OP13_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok')),
+e AS (SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '#\##'), '</turn', '<\/turn'), ':', '\:') || ': ' || replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn', '<\/turn') || '</turn>' || chr(10) AS w FROM c),
+t AS (SELECT conv_id, turn, role, text, length(w) AS chars, len(regexp_extract_all(w, '[\p{L}\p{N}]+|[^\p{L}\p{N}	-
+ ]')) AS n, floor(turn / 256) AS run, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM e),
+sys AS (SELECT conv_id, n AS top_n, chars AS top_chars FROM t WHERE k = 1 AND role = 'system'),
+b AS (SELECT t.*, coalesce(top_n, 0) AS top_n, coalesce(top_chars, 0) AS top_chars, k - 1 - (sys.conv_id IS NOT NULL)::INT AS i, sum(n) OVER (PARTITION BY t.conv_id ORDER BY k) AS upto, sum(chars) OVER (PARTITION BY t.conv_id ORDER BY k) AS chars_upto FROM t LEFT JOIN sys USING (conv_id)),
+b1 AS (SELECT *, upto - n AS since, chars_upto - chars AS chars_since, lead(run) OVER (PARTITION BY conv_id ORDER BY k) AS next_run, min(i) OVER (PARTITION BY conv_id, run ORDER BY k) AS run_i FROM b),
+b2 AS (SELECT * FROM b1 WHERE i >= 0),
+w AS (SELECT conv_id, i AS first, 0 AS wi FROM b2 WHERE i = 0
+  UNION ALL SELECT w.conv_id, min(x.i), any_value(w.wi) + 1 FROM w JOIN b2 a ON a.conv_id = w.conv_id AND a.i = w.first JOIN b2 x ON x.conv_id = w.conv_id AND x.i > w.first
+    AND (x.run > a.run OR x.upto - a.since > 2048 - a.top_n - CASE WHEN a.i = 0 THEN 0 ELSE 256 END) GROUP BY w.conv_id, w.first),
+h AS (SELECT w.conv_id, w.first, any_value(a.top_chars) AS top_chars, coalesce(sum(y.chars), 0) AS past FROM w JOIN b2 a ON a.conv_id = w.conv_id AND a.i = w.first
+  LEFT JOIN b2 y ON y.conv_id = w.conv_id AND y.i < w.first AND a.since - y.since <= 256 AND y.run >= a.run - 1 GROUP BY ALL),
+f AS (SELECT conv_id, sum(past + CASE WHEN first > 0 THEN top_chars ELSE 0 END) AS more FROM h GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) + coalesce(any_value(more), 0) AS BIGINT) AS formatted_chars
+FROM t LEFT JOIN f USING (conv_id) GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -150,5 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
+    "op12_merkle": op12_merkle,
+    "op13_chat": op13_chat,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_decontamination": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_decontamination": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_line_dedup": OP8_SQL, "op12_merkle": OP12_SQL, "op13_chat": OP13_SQL}
