@@ -24,6 +24,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 from pathlib import Path
 
 import duckdb
@@ -33,28 +34,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.llm.scratch import settle, tidied
-from residua.llm.textbuf import release
+from residua.llm.textbuf import release, utf8
 from residua.llm.token_counts import byte_symbols
 
 GROUP, CELLS, CELL_CHARS, LINE = 500_000, 400_000, 6_000_000, 20_000
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
 CUT = re.compile(r"(?<=\S)(?= .)", re.S)
 
-#: a, b: token intervals (i, id, s, e) in order; cells: (c, e), the ends of the cells on the line.
+#: a, b: token intervals (i, id, s, e) in order; cells: (c, s, e), the cells on the line.
 JOINS = """
 CREATE OR REPLACE TEMP TABLE o AS SELECT a.i AS ai, b.i AS bi, a.id AS a_id, b.id AS b_id, a.e = b.e AS linked, a.e AS e FROM a JOIN b ON a.s < b.e AND b.s < a.e;
 CREATE OR REPLACE TEMP TABLE oc AS SELECT o.*, cells.c FROM o ASOF JOIN cells ON o.e <= cells.e;
 CREATE OR REPLACE TEMP TABLE t AS
-  WITH x AS (SELECT 0 AS side, a.i, a.id, a.e, EXISTS (SELECT 1 FROM o WHERE linked AND o.ai = a.i) AS ends FROM a
-             UNION ALL SELECT 1, b.i, b.id, b.e, EXISTS (SELECT 1 FROM o WHERE linked AND o.bi = b.i) FROM b),
-       y AS (SELECT x.*, cells.c FROM x ASOF JOIN cells ON x.e <= cells.e)
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM y;
-"""
-BY_CELL = """
-SELECT c, count(*) FILTER (WHERE side = 0) AS n_a, count(*) FILTER (WHERE side = 1) AS n_b, count(DISTINCT g) AS n_groups,
-  string_agg(CASE WHEN opens THEN CASE side WHEN 0 THEN CASE WHEN first THEN '' ELSE ';' END ELSE '|' END ELSE ',' END || id, '' ORDER BY g, side, i) AS groups
-FROM (SELECT *, lag(g) OVER (PARTITION BY side ORDER BY i) IS DISTINCT FROM g AS opens, g = min(g) OVER (PARTITION BY c) AS first FROM t) GROUP BY c ORDER BY c
+  WITH x AS (SELECT 0 AS side, a.i, a.id, a.s, a.e, b.e IS NOT NULL AS ends FROM a LEFT JOIN b ON a.e = b.e UNION ALL SELECT 1, b.i, b.id, b.s, b.e, a.e IS NOT NULL FROM b LEFT JOIN a ON a.e = b.e),
+       y AS (SELECT x.*, cells.c, cells.s = x.s AS first FROM x ASOF JOIN cells ON x.e <= cells.e)
+  SELECT *, sum(ends::INT) OVER w - ends::INT AS g, coalesce(lag(ends) OVER w, true) AS opens FROM y WINDOW w AS (PARTITION BY side ORDER BY i ROWS UNBOUNDED PRECEDING);
 """
+BY_CELL = "SELECT c, count(*) FILTER (WHERE side = 0) AS n_a, count(*) FILTER (WHERE side = 1) AS n_b, count(*) FILTER (WHERE ends AND side = 0) AS n_groups FROM t GROUP BY c ORDER BY c"
+#: The ids of all groups with what stands before each, cell after cell.
+GROUPS = "SELECT CASE WHEN NOT opens THEN ',' WHEN side = 1 THEN '|' WHEN first THEN '' ELSE ';' END || id AS piece FROM t ORDER BY g, side, i"
 OVERLAPS = "SELECT cells.c, count(oc.c) AS n FROM cells LEFT JOIN oc USING (c) GROUP BY ALL ORDER BY ALL"
 LINKS = "SELECT c, a_id::BIGINT * {size} + b_id AS pair FROM oc WHERE linked ORDER BY c"
 PARTIAL = "SELECT pair, sum(n)::BIGINT AS n FROM p GROUP BY pair ORDER BY pair"
@@ -137,9 +135,9 @@ class Aligner:
     def join(self, order: list[str], line_a: list[list[int]], line_b: list[list[int]]) -> None:
         con, k, n = self.con, len(self.at), len(order)
         ends = np.cumsum([len(c.encode()) for c in order])
-        con.register("cells", pa.table({"c": np.arange(n), "e": ends}))
+        con.register("cells", pa.table({"c": np.arange(n), "s": np.append(0, ends[:-1]), "e": ends}))
         for name, ids, length in (("a", line_a, self.pair.a_length), ("b", line_b, self.pair.b_length)):
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
             e = np.cumsum(length[flat])
             con.register(name, pa.table({"i": np.arange(len(flat)), "id": flat, "s": e - length[flat], "e": e}))
         con.execute(JOINS)
@@ -147,7 +145,9 @@ class Aligner:
         overlaps = con.sql(OVERLAPS).to_arrow_table().column("n").to_numpy()
         links = con.sql(LINKS.format(size=self.pair.size)).to_arrow_table()
         self.counts = np.concatenate([self.counts, np.stack([*(by.column(c).to_numpy() for c in COLUMNS[:3]), overlaps], 1)])
-        self.groups += by.column("groups").to_pylist()
+        data, at = utf8(con.sql(GROUPS).to_arrow_table().column("piece").combine_chunks())
+        whole, ends = data[at[0] : at[-1]].tobytes().decode(), at[np.append(0, np.cumsum(self.counts[k:, :2].sum(1)))] - at[0]
+        self.groups += [whole[i:j] for i, j in pairwise(ends.tolist())]  # ASCII: places are bytes
         per = np.bincount(links.column("c").to_numpy(), minlength=n)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(per)])
         self.links = np.concatenate([self.links, links.column("pair").to_numpy()])
