@@ -9,7 +9,7 @@ from residua.functions.alphabet import LETTERS, RESIDUES, code, decode
 from residua.operators import abundance as ab
 from residua.operators import composition as co
 from residua.operators import entropy as en
-from residua.operators import kmers, suffix
+from residua.operators import kmers
 from residua.plans.sqltext import NORM, PM_MAP, PROT, PST, VALID, frag_prob, km, prob_table
 from residua.sources.corpus import pretty_name, proteins, starts, table
 
@@ -266,31 +266,11 @@ def _(s, d):
     return ab.histogram(ab.hits_per_protein(proteins(s, d), 5), "prots")
 
 
-def _all_lengths_sql() -> str:
-    parts = [f"SELECT CAST({n} AS INTEGER) AS lf, hits, count(*) AS frags FROM (SELECT frag, count(*) AS hits FROM k{n} GROUP BY frag) GROUP BY hits" for n in (3, 4, 6, 8)]
-    return f"WITH {PROT}, " + ", ".join(km(n, "prot_id", f"k{n}") for n in (3, 4, 6, 8)) + " " + " UNION ALL ".join(parts)
-
-
-@query("agg13_abundance_all_lengths", _all_lengths_sql())
-def _(s, d):
-    return ab.all_lengths(proteins(s, d), [3, 4, 6, 8])
-
-
 @query("agg14_most_often", f"WITH {PROT}, {km(8, 'prot_id', where=VALID)}, h AS (SELECT frag, count(DISTINCT prot_id) AS prots, count(*) AS hits FROM km GROUP BY frag) SELECT frag, prots, hits FROM h WHERE prots >= 5 AND prots = (SELECT max(prots) FROM h)")
 def _(s, d):
     return ab.most_often(proteins(s, d), 8)
 
 
-@query("agg15_where_from", f"WITH {PROT}, {km(6, where=VALID)}, h AS (SELECT frag, count(DISTINCT prot_id) AS prots, count(DISTINCT org) AS orgs, count(*) AS hits FROM km GROUP BY frag) SELECT CAST(6 AS INTEGER) AS lf, prots, orgs, count(*) AS count FROM h WHERE hits BETWEEN 3 AND 50 AND orgs BETWEEN 2 AND 10 GROUP BY prots, orgs")
-def _(s, d):
-    return ab.where_from(proteins(s, d), [6], (3, 50), (2, 10))
-
-
-@query("agg19_conditional_entropy", f"WITH {PROT}, " + ", ".join(km(n, "prot_id", f"k{n}", VALID) for n in (2, 3, 4)) + ", " + ", ".join(f"e{n} AS (SELECT f, -sum(c / t * log2(c / t)) AS e, any_value(t) AS t FROM (SELECT *, sum(c) OVER (PARTITION BY f) AS t FROM (SELECT frag[1:{n - 1}] AS f, frag[{n}] AS x, count(*) AS c FROM k{n} GROUP BY ALL)) GROUP BY f)" for n in (2, 3, 4)) + " " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS lf, round(sum(e * t) / sum(t), 6) AS entropy, round(sum(e * e * t) / sum(t) - pow(sum(e * t) / sum(t), 2), 6) AS variance, CAST(sum(t) AS BIGINT) AS total, count(*) AS contexts FROM e{n}" for n in (2, 3, 4)))
-def _(s, d):
-    return en.conditional(proteins(s, d), [2, 3, 4]).withColumn("entropy", r6("entropy")).withColumn("variance", r6("variance"))
-
-
 PREDICT_CTE = f"{PROT}, {km(5, 'prot_id', where=VALID)}, c AS (SELECT frag[1:4] AS frag, frag[5] AS next, count(*) AS n FROM km GROUP BY ALL), b AS (SELECT frag, next AS predicted, n / sum(n) OVER (PARTITION BY frag) AS certainty, CAST(sum(n) OVER (PARTITION BY frag) AS BIGINT) AS total, row_number() OVER (PARTITION BY frag ORDER BY n DESC, next) AS k FROM c)"
 
 
@@ -407,41 +387,3 @@ def _(s, d):
 @query("j22_exact_duplicates", f"WITH {PROT} SELECT md5(seq) AS seq_md5, count(*) AS prots, min(prot_id) AS first_prot FROM prot GROUP BY 1 HAVING prots > 1")
 def _(s, d):
     return proteins(s, d).groupBy(F.md5("seq").alias("seq_md5")).agg(F.count(F.lit(1)).alias("prots"), F.min("prot_id").alias("first_prot")).filter("prots > 1")
-
-
-@query("w1_suffix_order")
-def _(s, d):
-    return suffix.ordered(suffix.suffixes(proteins(s, d), 12)).select("prot_id", "pos", "rank")
-
-
-@query("w2_common_prefixes")
-def _(s, d):
-    return suffix.ordered(suffix.suffixes(proteins(s, d), 12)).groupBy("lcp").agg(F.count(F.lit(1)).alias("count"))
-
-
-SUFFIX_CTE = f"{PROT}, pad AS (SELECT prot_id, len AS n, seq || repeat(' ', 12) AS seq, len + 12 AS len FROM prot WHERE len > 0), {km(12, 'prot_id, n', 'sf', source='pad')}, o AS (SELECT prot_id, pos, rtrim(frag) AS suffix, row_number() OVER w AS rank, lead(rtrim(frag)) OVER w AS next FROM sf WHERE pos <= n WINDOW w AS (ORDER BY rtrim(frag), prot_id, pos))"
-SQL["w1_suffix_order"] = f"WITH {SUFFIX_CTE} SELECT prot_id, pos, rank FROM o"
-SQL["w2_common_prefixes"] = f"WITH {SUFFIX_CTE}, l AS (SELECT CAST(coalesce(CASE " + " ".join(f"WHEN length(suffix) >= {i} AND length(next) >= {i} AND suffix[1:{i}] = next[1:{i}] THEN {i}" for i in range(12, 0, -1)) + " ELSE 0 END, 0) AS INTEGER) AS lcp FROM o) SELECT lcp, count(*) AS count FROM l GROUP BY lcp"
-
-
-@query("agg24_unique_lengths", f"WITH {PROT}, " + ", ".join(km(n, "prot_id", f"k{n}") for n in range(1, 7)) + ", u AS (" + " UNION ALL ".join(f"SELECT prot_id, pos, {n} AS length FROM (SELECT prot_id, pos, count(*) OVER (PARTITION BY frag) AS c FROM k{n}) WHERE c = 1" for n in range(1, 7)) + "), m AS (SELECT prot_id, pos, CAST(min(length) AS INTEGER) AS length FROM u GROUP BY ALL) SELECT length, count(*) AS count FROM m GROUP BY length")
-def _(s, d):
-    return suffix.unique_lengths(proteins(s, d), 6)
-
-
-def _repeats_sql() -> str:
-    marked = f"{PROT}, mk AS (SELECT prot_id, org, '^' || seq || '$' AS seq, len + 2 AS len FROM prot)"
-    parts = []
-    ctes = []
-    for n in (10, 11):
-        ctes.append(km(n + 2, "prot_id, org", f"k{n}", source="mk"))
-        parts.append(f"""SELECT CAST({n} AS INTEGER) AS lf, frag, CAST(sum(n) AS BIGINT) AS hits, CAST((sum(n) * sum(n) - sum(n * n)) // 2 AS BIGINT) AS orthologs, CAST((sum(n * n) - sum(n)) // 2 AS BIGINT) AS paralogs FROM
- (SELECT frag, org, count(*) AS n, count(DISTINCT prot_id) AS p, max(span) AS span, bool_or(l = '^') AS le, bool_or(r = '$') AS re, min(l) AS l1, max(l) AS l2, min(r) AS r1, max(r) AS r2 FROM
-  (SELECT *, max(pos) OVER (PARTITION BY frag, prot_id) - min(pos) OVER (PARTITION BY frag, prot_id) AS span FROM (SELECT prot_id, org, pos, frag[2:{n + 1}] AS frag, frag[1] AS l, frag[{n + 2}] AS r FROM k{n}) WHERE NOT contains(frag, 'X')) GROUP BY frag, org) GROUP BY frag
- HAVING sum(n) > 1 AND (sum(p) > 1 OR max(span) >= {n}) AND (min(l1) <> max(l2) OR bool_or(le)) AND (min(r1) <> max(r2) OR bool_or(re))""")
-    return f"WITH {marked}, " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
-
-
-@query("agg25_maximal_repeats", _repeats_sql())
-def _(s, d):
-    return suffix.maximal_repeats(proteins(s, d), range(10, 12))

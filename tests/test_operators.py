@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import strings
 from residua.functions.alphabet import RESIDUES, is_prime, next_prime, normalise
-from residua.operators import abundance, alignment, curation, distance, graph, homology, kmers, nullmodels, sampling, suffix
+from residua.operators import abundance, alignment, curation, distance, graph, homology, intervals, kmers, nullmodels, sampling, suffix
 from residua.sinks import tables
 from residua.sources import corpus, files
 from residua.sources.corpus import running, starts
@@ -143,7 +143,8 @@ def test_component_by_brute_force(spark):
 
 def test_maximal_repeats_and_unique_lengths(spark):
     seqs = ["ACDEFGHACDEFGK", "XACDEF", "AAAAAA"]
-    got = {(r.lf, r.frag, r.hits) for r in suffix.maximal_repeats(proteins(spark, seqs, ["o", "p", "q"]), range(3, 7)).collect()}
+    base = suffix.corpus(proteins(spark, seqs, ["o", "p", "q"]))
+    got = {(r.lf, r.frag, r.hits) for r in intervals.with_text(intervals.maximal_repeats(suffix.ordered(base)), base).collect()}
     assert (6, "ACDEFG", 2) in got and (5, "ACDEF", 3) in got and (4, "ACDE", 3) not in got
     assert (3, "AAA", 4) in got  # two of its places don't overlap
     text = "ACACD"
@@ -153,16 +154,16 @@ def test_maximal_repeats_and_unique_lengths(spark):
             if sum(text[j : j + n] == text[i : i + n] for j in range(len(text) - n + 1)) == 1:
                 want[n] = want.get(n, 0) + 1
                 break
-    assert {r.length: r["count"] for r in suffix.unique_lengths(proteins(spark, [text]), 5).collect()} == want
+    assert {r.length: r["count"] for r in suffix.unique_lengths(suffix.ordered(suffix.corpus(proteins(spark, [text])))).collect()} == want
 
 
 def test_suffix_order(spark):
     seqs = ["BANANA".replace("B", "D"), "ANA", "A"]
-    out = suffix.ordered(suffix.suffixes(proteins(spark, seqs), 8)).orderBy("rank").collect()
+    out = suffix.ordered(suffix.corpus(proteins(spark, seqs))).orderBy("rank").collect()
     want = sorted((s[i:], p, i + 1) for p, s in enumerate(seqs) for i in range(len(s)))
-    assert [(r.suffix, r.prot_id, r.pos) for r in out] == want
+    assert [(seqs[r.prot_id][r.pos - 1 :], r.prot_id, r.pos) for r in out] == want
     lcp = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    assert [r.lcp for r in out] == [*(lcp(a[0], b[0]) for a, b in pairwise(want)), 0]
+    assert [r.next for r in out] == [*(lcp(a[0], b[0]) for a, b in pairwise(want)), 0]
 
 
 def test_classes_in_the_order_given(spark):
