@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residua.sinks.scratch import settle
+from residua.sources.corpus import running
+
 
 def x_group(ecod: Column) -> Column:
     """The first level of a dotted domain id; an id without a dot is a group of its own."""
@@ -50,19 +53,34 @@ def class_shares(classified: DataFrame) -> DataFrame:
 
 
 def ordinals(frags: DataFrame) -> DataFrame:
-    """Adds n: the number of a fragment in its batch, by place."""
-    return frags.withColumn("n", F.row_number().over(Window.partitionBy("batch").orderBy("gpos")))
+    """Adds n: the number of a fragment in its batch, by place; summed up over ranges of places, not in one task a batch."""
+    return running(frags, "gpos", F.lit(1), "n", ("batch",)).withColumn("n", (F.col("n") + 1).cast("int"))
 
 
-def pair_batches(frags: DataFrame, which: str, n_batches: int) -> DataFrame:
+def pair_batches(frags: DataFrame, which: str, n_batches: int, side: int = 256) -> DataFrame:
     """batch1, batch2, pos1, pos2 of each batch with the next one of the ring: ``ali`` takes first ordinals above the
-    second's, ``ali2`` below, ``ali3`` equal; the three make up all pairs."""
-    f = ordinals(frags)
-    one = f.select(F.col("batch").alias("batch1"), F.col("gpos").alias("pos1"), F.col("n").alias("n1"))
-    two = f.select(F.col("batch").alias("batch2"), F.col("gpos").alias("pos2"), F.col("n").alias("n2"))
-    ring = F.pmod(F.col("batch1") + 1, F.lit(n_batches)) == F.col("batch2")
+    second's, ``ali2`` below, ``ali3`` equal; the three make up all pairs.
+
+    A batch pair is a square of ordinals, cut into tiles of ``side`` by ``side``; each fragment goes to the tiles of its row or
+    column, so that a task makes the pairs of some tiles."""
+    f = settle(ordinals(frags).select("batch", "gpos", "n", F.floor((F.col("n") - 1) / side).alias("t")), "ordinals")
+    tiles = F.sequence(F.lit(0).cast("long"), F.lit((f.agg(F.max("t")).first()[0] or 0)).cast("long"))
+    meets = {"ali": lambda t1, t2: t1 >= t2, "ali2": lambda t1, t2: t1 <= t2, "ali3": lambda t1, t2: t1 == t2}[which]
+    one = f.select(F.col("batch").alias("batch1"), F.col("gpos").alias("pos1"), F.col("n").alias("n1"), F.col("t").alias("t1"), F.explode(F.filter(tiles, lambda t: meets(F.col("t"), t))).alias("t2"), F.pmod(F.col("batch") + 1, F.lit(n_batches)).alias("batch2"))
+    two = f.select(F.col("batch").alias("batch2"), F.col("gpos").alias("pos2"), F.col("n").alias("n2"), F.col("t").alias("t2"), F.explode(F.filter(tiles, lambda t: meets(t, F.col("t")))).alias("t1"))
     order = {"ali": F.col("n1") > F.col("n2"), "ali2": F.col("n1") < F.col("n2"), "ali3": F.col("n1") == F.col("n2")}[which]
-    return one.join(two, ring & order).select("batch1", "batch2", "pos1", "pos2", "n1", "n2")
+    return one.join(two, ["batch2", "t1", "t2"]).filter(order).select("batch1", "batch2", "pos1", "pos2", "n1", "n2")
+
+
+def ring_sizes(frags: DataFrame, n_batches: int) -> DataFrame:
+    """batch1, batch2, above, below, equal: how many pairs each of the three orders makes, from the sizes of the batches."""
+    n = frags.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    one = n.select(F.col("batch").alias("batch1"), F.col("n").alias("a"), F.pmod(F.col("batch") + 1, F.lit(n_batches)).alias("batch2"))
+    both = one.join(n.select(F.col("batch").alias("batch2"), F.col("n").alias("b")), "batch2")
+    equal = F.least("a", "b")
+    # ordinal i of the first stands above the i - 1 before it, or all of a shorter second
+    above = F.floor(equal * (equal - 1) / 2) + (F.col("a") - equal) * F.col("b")
+    return both.select("batch1", "batch2", above.cast("long").alias("above"), (F.col("a") * F.col("b") - equal - above).cast("long").alias("below"), equal.alias("equal"))
 
 
 def homologs(pairs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -76,11 +76,10 @@ def _(s, d):
     return files.assignments(s, path)
 
 
-@query("src11_genome_file", f"WITH {GENOMES} SELECT fasta, md5(species) AS species_md5 FROM gen WHERE NOT contains(species, chr(9)) AND species <> '' AND species = trim(species) AND NOT contains(species, '\"')")
+@query("src11_genome_file", f"WITH {GENOMES} SELECT fasta, md5(species) AS species_md5 FROM gen")
 def _(s, d):
     path = place(s, "genomes")
-    rows = genome_table(s, d).filter(~F.contains("species", F.lit("\t")) & (F.col("species") != "") & (F.col("species") == F.trim("species")) & ~F.contains("species", F.lit('"')))
-    rows.select(F.concat_ws("\t", "species", "fasta").alias("value")).write.text(path)
+    genome_table(s, d).select(F.concat_ws("\t", "species", "fasta").alias("value")).write.text(path)
     return files.genomes(s, path).select("fasta", F.md5("species").alias("species_md5"))
 
 
@@ -165,6 +164,14 @@ def _(s, d):
 J16_LF = 9
 
 
-@query("j16_neighbour_list", f"WITH {PROT}, {km(J16_LF, 'prot_id', where=VALID)}, f AS (SELECT frag, count(*) AS hits FROM km GROUP BY frag HAVING count(*) >= 5), k AS (SELECT frag, hits, i, frag[1:i] || '.' || frag[i + 2:{J16_LF}] AS w FROM f, range({J16_LF}) r(i)) SELECT a.frag, b.frag AS neighbour, b.hits AS neighbour_hits FROM k a JOIN k b USING (i, w) WHERE a.frag <> b.frag")
+J16 = f"{PROT}, {km(J16_LF, 'prot_id', where=VALID)}, f AS MATERIALIZED (SELECT frag, count(*) AS hits FROM km GROUP BY frag), k AS MATERIALIZED (SELECT frag, hits, i, frag[1:i] || '.' || frag[i + 2:{J16_LF}] AS w FROM f, range({J16_LF}) r(i)), g AS MATERIALIZED (SELECT k.* FROM k SEMI JOIN (SELECT i, w FROM k GROUP BY i, w HAVING count(*) > 1) USING (i, w))"
+
+
+@query("j16_neighbour_list", f"WITH {J16} SELECT a.frag, b.frag AS neighbour, b.hits AS neighbour_hits FROM g a JOIN g b ON a.w = b.w AND a.i = b.i WHERE a.frag <> b.frag")
+def _(s, d):
+    return distance.neighbour_list(ab.hits(proteins(s, d), J16_LF), J16_LF)
+
+
+@query("j16_profile_neighbours", f"WITH {J16}, p AS (SELECT a.frag, a.i, b.frag AS neighbour, b.hits AS h FROM g a JOIN g b ON a.w = b.w AND a.i = b.i WHERE a.frag <> b.frag), t AS (SELECT frag, sum(h) AS n FROM p GROUP BY frag), o AS (SELECT frag, i, sum(h) AS n FROM p GROUP BY ALL) SELECT p.frag, neighbour, h AS neighbour_hits, round((({J16_LF} - 2) * t.n + o.n + h) / ({J16_LF} * t.n), 6) AS overlap FROM p JOIN t USING (frag) JOIN o ON o.frag = p.frag AND o.i = p.i WHERE (({J16_LF} - 2) * t.n + o.n + h) / ({J16_LF} * t.n) > 0.9")
 def _(s, d):
-    return distance.neighbour_list(ab.hits(proteins(s, d), J16_LF).filter("hits >= 5"), J16_LF)
+    return distance.profile_neighbours(ab.hits(proteins(s, d), J16_LF), J16_LF).withColumn("overlap", F.round("overlap", 6))

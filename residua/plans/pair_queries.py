@@ -283,8 +283,9 @@ def _component(s, d):
     counts = settle(ab.hits(proteins(s, d), GRAPH_LF), "graph-hits")
     most = distance.neighbour_counts(counts, GRAPH_LF).filter("neighbours > 0").orderBy(F.desc("neighbours"), "frag").limit(2).collect()
     ends = [r.frag for r in most] + [None, None]
-    seed = s.createDataFrame([(x,) for x in ends[:1] if x], "frag string")
-    return graph.component(counts, seed, GRAPH_LF, 1), ends
+    roots = graph.components(counts, GRAPH_LF, 1)
+    own = roots.filter(F.col("frag") == F.lit(ends[0])).select("root")  # one row at most
+    return roots.join(F.broadcast(own), "root").select("frag"), ends
 
 
 @query("j17_component", f"WITH RECURSIVE {COMPONENT} SELECT frag FROM c")
@@ -437,7 +438,8 @@ for _name, _id in (("ali", "j9_triangle_above"), ("ali2", "j10_triangle_below"),
 
 @query("j12_batch_ring", f"WITH {S}, {PAIRED} SELECT batch1, batch2, count(*) AS pairs FROM (SELECT * FROM ali UNION ALL SELECT * FROM ali2 UNION ALL SELECT * FROM ali3) GROUP BY ALL")
 def _(s, d):
-    return relationships(s, d).groupBy("batch1", "batch2").agg(F.count(F.lit(1)).alias("pairs"))
+    n = homology.ring_sizes(frags(s, d), BATCHES).withColumn("pairs", F.col("above") + F.col("below") + F.col("equal"))
+    return n.filter("pairs > 0").select("batch1", "batch2", "pairs")
 
 
 @query("w7_ordinals", f"WITH {S}, {ORD} SELECT batch, gpos, CAST(n AS INTEGER) AS n FROM o")

@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and their invariants."""
 
 import random
+from collections import Counter
 from itertools import pairwise
 
 import numpy as np
@@ -141,6 +142,72 @@ def test_component_by_brute_force(spark):
     assert graph.nearest(df, frags[3]).first().pm == 0
 
 
+def test_components_by_brute_force(spark):
+    rng = random.Random(7)
+    frags = sorted({"".join(rng.choice("ACDEFG") for _ in range(6)) for _ in range(400)})
+    df = spark.createDataFrame([(f,) for f in frags], "frag string")
+    for pm in (1, 2):
+        near = {f: [g for g in frags if sum(x != y for x, y in zip(f, g, strict=True)) <= pm] for f in frags}
+        root: dict[str, str] = {}
+        for f in frags:
+            todo = [] if f in root else [f]
+            while todo:
+                v = todo.pop()
+                if v not in root:
+                    root[v] = f
+                    todo += near[v]
+        assert {r.frag: r.root for r in graph.components(df, 6, pm).collect()} == root
+        sizes = Counter(root.values())
+        want = {(f, sizes[root[f]]) for f in frags[::9]}
+        assert {tuple(r) for r in graph.seeded(df, 6, pm, 9).collect()} == want
+    chain = [f"{'C' * i}{'A' * (30 - i)}" for i in range(31)]  # a long path
+    assert {r.root for r in graph.components(spark.createDataFrame([(f,) for f in chain], "frag string"), 30, 1).collect()} == {chain[0]}
+    assert graph.components(spark.createDataFrame([], "frag string"), 6, 1).count() == 0
+
+
+def test_profile_neighbours_by_the_profile(spark):
+    rng = random.Random(3)
+    hits = {"".join(rng.choice("ACD") for _ in range(9)): rng.randint(1, 50) for _ in range(1500)}
+    want = set()
+    for f in hits:
+        near = [g for g in hits if sum(x != y for x, y in zip(f, g, strict=True)) == 1]
+        if not near:
+            continue
+        profile = [Counter() for _ in range(9)]
+        for g in near:
+            for i, ch in enumerate(g):
+                profile[i][ch] += hits[g]
+        total = sum(hits[g] for g in near)
+        for g in near:
+            overlap = sum(profile[i][ch] / total for i, ch in enumerate(g)) / 9
+            if overlap > 0.9:
+                want.add((f, g, hits[g], round(overlap, 6)))
+    got = distance.profile_neighbours(spark.createDataFrame(list(hits.items()), "frag string, hits long"), 9)
+    assert {(r.frag, r.neighbour, r.neighbour_hits, round(r.overlap, 6)) for r in got.collect()} == want and want
+
+
+def test_pairs_of_batches_in_tiles(spark):
+    rng = random.Random(5)
+    rows = [(b, g) for b, n in ((0, 13), (1, 5), (2, 0), (3, 7)) for g in rng.sample(range(1000), n)]
+    frags = spark.createDataFrame(rows, "batch int, gpos long")
+    for which, cmp in (("ali", lambda a, b: a > b), ("ali2", lambda a, b: a < b), ("ali3", lambda a, b: a == b)):
+        own = {b: sorted(g for x, g in rows if x == b) for b in range(4)}
+        want = {(b, (b + 1) % 4, p, q) for b in range(4) for i, p in enumerate(own[b]) for j, q in enumerate(own[(b + 1) % 4]) if cmp(i, j)}
+        for side in (3, 256):
+            got = {(r.batch1, r.batch2, r.pos1, r.pos2) for r in homology.pair_batches(frags, which, 4, side).collect()}
+            assert got == want
+        name = {"ali": "above", "ali2": "below", "ali3": "equal"}[which]
+        counted = Counter((a, b) for a, b, *_ in want)
+        assert all(counted[r.batch1, r.batch2] == r[name] for r in homology.ring_sizes(frags, 4).collect())
+
+
+def test_genome_lines_hold_anything(spark, tmp_path):
+    lines = ['"quoted" species\tUP1_1.fasta', "tab\there\tUP2_1.fasta", " blanks \tUP3_1.fasta", "\tUP4_1.fasta", "no tab"]
+    (tmp_path / "g.tsv").write_text("\n".join(lines) + "\n")
+    got = sorted(tuple(r) for r in files.genomes(spark, str(tmp_path / "g.tsv")).collect())
+    assert got == sorted([('"quoted" species', "UP1_1.fasta"), ("tab\there", "UP2_1.fasta"), (" blanks ", "UP3_1.fasta"), ("", "UP4_1.fasta")])
+
+
 def test_maximal_repeats_and_unique_lengths(spark):
     seqs = ["ACDEFGHACDEFGK", "XACDEF", "AAAAAA"]
     base = suffix.corpus(proteins(spark, seqs, ["o", "p", "q"]))
