@@ -78,12 +78,12 @@ def same_places(p: DataFrame) -> DataFrame:
     return p.select("pair_id", hamming(F.col("a_frag"), F.col("b_frag")).alias("pm"), at).filter("aa is not null")
 
 
-def locality(p: DataFrame) -> DataFrame:
-    """pm, distance, aa1, aa2, count over pairs of agreeing places of a pair of fragments."""
+def locality(p: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, pm, distance, aa1, aa2, count over pairs of agreeing places of a pair of fragments."""
     agreed = F.filter(F.transform(F.zip_with(F.split("a_frag", ""), F.split("b_frag", ""), lambda x, y: F.when(x == y, x)), lambda c, i: F.struct(i.alias("j"), c.alias("aa"))), lambda s: s["aa"].isNotNull())
-    rows = p.select(hamming(F.col("a_frag"), F.col("b_frag")).alias("pm"), agreed.alias("m"))
+    rows = p.select(*keys, hamming(F.col("a_frag"), F.col("b_frag")).alias("pm"), agreed.alias("m"))
     both = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct((y["j"] - x["j"]).alias("distance"), x["aa"].alias("aa1"), y["aa"].alias("aa2")))))
-    return rows.select("pm", F.inline(both)).groupBy("pm", "distance", "aa1", "aa2").agg(F.count(F.lit(1)).alias("count"))
+    return rows.select(*keys, "pm", F.inline(both)).groupBy(*keys, "pm", "distance", "aa1", "aa2").agg(F.count(F.lit(1)).alias("count"))
 
 
 def exchanges(p: DataFrame) -> DataFrame:

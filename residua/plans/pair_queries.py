@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import strings as st
 from residua.operators import abundance as ab
-from residua.operators import curation, distance, graph, homology, nullmodels, sampling
+from residua.operators import curation, distance, graph, homology, nullmodels, sampling, studies
 from residua.plans.sqltext import HAMMING, PROT, VALID, hashed, km, pairs, sample
 from residua.sinks.scratch import settle
 from residua.sources import files
@@ -350,31 +350,49 @@ def _(s, d):
     return sq.select(F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("replica1"), F.lit(j).cast("long").alias("replica2"), F.round(f"{i}_{j}", 9).alias("square")) for i, j in pairs_])))
 
 
-NAT_SHUF = f"{P}, sh AS (SELECT a_frag, {list_shuffle('b_frag', 'pair_id', 's8')} AS b_frag, a_org, b_org, a_prot, b_prot FROM pairs), sp AS (SELECT *, {HAMMING} AS pm FROM sh)"
+def _replicas_sql(seed: str, where: str) -> str:
+    """CTEs up to ``rep``: pairs as they are and ten times with both sides shuffled."""
+    a, b = list_shuffle("a_frag", "(pair_id || ':' || r)", f"{seed}a"), list_shuffle("b_frag", "(pair_id || ':' || r)", f"{seed}b")
+    return f"""{P}, own AS (SELECT pair_id, a_org, b_org, a_prot = b_prot AS same_prot, CAST(least(floor(10 * {OVERLAP} / 20), 9) AS BIGINT) AS decile, a_frag, b_frag FROM pairs WHERE {where}),
+rep0 AS (SELECT 'natural' AS model, * FROM own UNION ALL SELECT 'shuffled', pair_id, a_org, b_org, same_prot, decile, {a}, {b} FROM own, (SELECT unnest(range(1, 11)) AS r)), rep AS (SELECT *, {HAMMING} AS pm FROM rep0)"""
 
 
-def _shuffled_pairs(s, d, where):
-    p = the_pairs(s, d).filter(where)
-    sh = p.withColumn("b_frag", nullmodels.shuffled(F.col("b_frag"), F.col("pair_id"), "s8"))
-    both = sampling.distance_histogram(p.withColumn("model", F.lit("natural")), ("model",)).unionByName(sampling.distance_histogram(sh.withColumn("model", F.lit("shuffled")), ("model",)))
-    return both
+LOCAL = "SELECT model, pm, CAST(j.i - r.i AS INTEGER) AS distance, a_frag[r.i] AS aa1, a_frag[j.i] AS aa2, count(*) AS count FROM rep, range(1, 21) r(i), range(1, 21) j(i) WHERE pm BETWEEN 8 AND 14 AND r.i < j.i AND a_frag[r.i] = b_frag[r.i] AND a_frag[j.i] = b_frag[j.i] GROUP BY ALL"
 
 
-@query("s8_ortholog_study", f"WITH {NAT_SHUF} SELECT 'natural' AS model, pm, count(*) AS count FROM pm WHERE a_org <> b_org GROUP BY pm UNION ALL SELECT 'shuffled', pm, count(*) FROM sp WHERE a_org <> b_org GROUP BY pm")
+@query("s8_ortholog_study", f"WITH {_replicas_sql('s8', 'a_org <> b_org')} SELECT model AS series, pm, count(*) AS count FROM rep GROUP BY ALL UNION ALL SELECT 'same_organism', pm, count(*) FROM pm WHERE a_org = b_org GROUP BY pm")
 def _(s, d):
-    return _shuffled_pairs(s, d, "a_org <> b_org")
+    return studies.orthologs(the_pairs(s, d))
 
 
-@query("s9_paralog_study", f"WITH {NAT_SHUF} SELECT 'natural' AS model, pm, count(*) AS count FROM pm WHERE a_org = b_org AND a_prot <> b_prot GROUP BY pm UNION ALL SELECT 'shuffled', pm, count(*) FROM sp WHERE a_org = b_org AND a_prot <> b_prot GROUP BY pm")
+@query("s8_twilight_locality", f"WITH {_replicas_sql('s8', 'a_org <> b_org')} {LOCAL}")
 def _(s, d):
-    return _shuffled_pairs(s, d, "a_org = b_org and a_prot <> b_prot")
+    return studies.twilight_locality(the_pairs(s, d).filter("a_org <> b_org"), (8, 14))
 
 
-@query("s10_paralogs_by_composition", f"WITH {P}, o AS (SELECT a_prot = b_prot AS same_prot, CAST(least(floor(10 * {OVERLAP} / 20), 9) AS BIGINT) AS decile, pm FROM pm WHERE a_org = b_org) SELECT same_prot, decile, pm, count(*) AS count FROM o GROUP BY ALL")
+@query("s8_examples", f"WITH {P}, k AS (SELECT pm, CAST(row_number() OVER (PARTITION BY pm ORDER BY pair_id) AS INTEGER) AS rank, pair_id, a_frag, b_frag FROM pm WHERE a_org <> b_org) SELECT * FROM k WHERE rank <= 100")
 def _(s, d):
-    p = the_pairs(s, d).filter("a_org = b_org")
-    o = st.compositional_overlap(F.col("a_frag"), F.col("b_frag"))
-    return p.groupBy((F.col("a_prot") == F.col("b_prot")).alias("same_prot"), st.decile(o, F.length("a_frag")).alias("decile"), st.hamming(F.col("a_frag"), F.col("b_frag")).alias("pm")).agg(F.count(F.lit(1)).alias("count"))
+    return studies.examples(the_pairs(s, d).filter("a_org <> b_org"))
+
+
+@query("s9_paralog_study", f"WITH {_replicas_sql('s9', 'a_org = b_org')} SELECT a_org AS org, same_prot, model, pm, count(*) AS count FROM rep GROUP BY ALL")
+def _(s, d):
+    return studies.paralogs(the_pairs(s, d))
+
+
+@query("s9_twilight_locality", f"WITH {_replicas_sql('s9', 'a_org = b_org')} {LOCAL}")
+def _(s, d):
+    return studies.twilight_locality(the_pairs(s, d).filter("a_org = b_org"), (8, 14), seed="s9")
+
+
+@query("s9_examples", f"WITH {P}, k AS (SELECT pm, CAST(row_number() OVER (PARTITION BY pm ORDER BY pair_id) AS INTEGER) AS rank, pair_id, a_frag, b_frag FROM pm WHERE a_org = b_org) SELECT * FROM k WHERE rank <= 100")
+def _(s, d):
+    return studies.examples(the_pairs(s, d).filter("a_org = b_org"))
+
+
+@query("s10_paralogs_by_composition", f"WITH {_replicas_sql('s10', 'a_org = b_org')} SELECT same_prot, decile, model, pm, count(*) AS count FROM rep GROUP BY ALL")
+def _(s, d):
+    return studies.paralogs_by_composition(the_pairs(s, d))
 
 
 @query("s11_locality", f"WITH {P} SELECT pm, CAST(j.i - r.i AS INTEGER) AS distance, a_frag[r.i] AS aa1, a_frag[j.i] AS aa2, count(*) AS count FROM pm, range(1, 21) r(i), range(1, 21) j(i) WHERE r.i < j.i AND a_frag[r.i] = b_frag[r.i] AND a_frag[j.i] = b_frag[j.i] GROUP BY ALL")
@@ -388,16 +406,9 @@ def _(s, d):
     return ab.ranked(p, ["pm"], ["pair_id"], 5)
 
 
-@query("s12_shuffle_models", "WITH RECURSIVE z AS (SELECT 1), " + ", ".join([P]) + f", n AS (SELECT pair_id, lf, substr(a_frag, 1, lf) AS a_frag, substr(b_frag, 1, lf) AS b_frag, substr(b_frag, 1, lf // 2) AS b1, substr(b_frag, lf // 2 + 1, lf - lf // 2) AS b2 FROM pairs, (SELECT unnest([10, 20]) AS lf)), m AS (SELECT 'natural' AS model, lf, a_frag, b_frag FROM n UNION ALL SELECT 'full', lf, a_frag, {list_shuffle('b_frag', 'pair_id', 's12')} FROM n UNION ALL SELECT 'half', lf, a_frag, {list_shuffle('b1', 'pair_id', 's12a')} || {list_shuffle('b2', 'pair_id', 's12b')} FROM n) SELECT model, CAST(lf AS INTEGER) AS lf, {HAMMING} AS pm, count(*) AS count FROM m GROUP BY ALL")
+@query("s12_shuffle_models", "WITH RECURSIVE z AS (SELECT 1), " + ", ".join([P]) + f", n AS (SELECT pair_id, lf, substr(a_frag, 1, lf) AS a_frag, substr(b_frag, 1, lf) AS b_frag, substr(b_frag, 1, lf // 2) AS b1, substr(b_frag, lf // 2 + 1, lf - lf // 2) AS b2 FROM pairs, (SELECT unnest(range(2, 21)) AS lf)), m AS (SELECT 'natural' AS model, lf, a_frag, b_frag FROM n UNION ALL SELECT 'full', lf, a_frag, {list_shuffle('b_frag', 'pair_id', 's12')} FROM n UNION ALL SELECT 'half', lf, a_frag, {list_shuffle('b1', 'pair_id', 's12a')} || {list_shuffle('b2', 'pair_id', 's12b')} FROM n) SELECT model, CAST(lf AS INTEGER) AS lf, {HAMMING} AS pm, count(*) AS count FROM m GROUP BY ALL")
 def _(s, d):
-    p, out = the_pairs(s, d), None
-    for lf in (10, 20):
-        own = p.select("pair_id", F.lit(lf).alias("lf"), F.substr("a_frag", F.lit(1), F.lit(lf)).alias("a_frag"), F.substr("b_frag", F.lit(1), F.lit(lf)).alias("b_frag"))
-        models = {"natural": F.col("b_frag"), "full": nullmodels.shuffled(F.col("b_frag"), F.col("pair_id"), "s12"), "half": nullmodels.half_shuffled(F.col("b_frag"), F.col("pair_id"), "s12", lf)}
-        for name, col in models.items():
-            h = sampling.distance_histogram(own.select(F.lit(name).alias("model"), "lf", "a_frag", col.alias("b_frag")), ("model", "lf"))
-            out = h if out is None else out.unionByName(h)
-    return out
+    return studies.shuffle_models(the_pairs(s, d), (2, LF))
 
 
 # --- homology ---------------------------------------------------------------------------------------------------------

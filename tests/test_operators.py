@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import strings
 from residua.functions.alphabet import RESIDUES, is_prime, next_prime, normalise
-from residua.operators import abundance, alignment, curation, distance, graph, homology, intervals, kmers, nullmodels, sampling, suffix
+from residua.operators import abundance, alignment, curation, distance, graph, homology, intervals, kmers, nullmodels, sampling, studies, suffix
 from residua.sinks import tables
 from residua.sources import corpus, files
 from residua.sources.corpus import running, starts
@@ -208,6 +208,37 @@ def test_genome_lines_hold_anything(spark, tmp_path):
     assert got == sorted([('"quoted" species', "UP1_1.fasta"), ("tab\there", "UP2_1.fasta"), (" blanks ", "UP3_1.fasta"), ("", "UP4_1.fasta")])
 
 
+def test_pair_studies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ACDE") for _ in range(12))
+    rows = [(i, rng.choice("xy"), rng.choice("xy"), rng.randint(1, 3), rng.randint(1, 3), word(), word()) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id long, a_org string, b_org string, a_prot long, b_prot long, a_frag string, b_frag string")
+    made = studies.replicas(pairs, 3, "s").collect()
+    at = {r[0]: r for r in rows}
+    for r in made:
+        assert sorted(r.a_frag) == sorted(at[r.pair_id][5]) and sorted(r.b_frag) == sorted(at[r.pair_id][6])
+        assert r.model == "shuffled" or (r.a_frag, r.b_frag) == at[r.pair_id][5:]
+    assert Counter(r.model for r in made) == {"natural": 60, "shuffled": 180}
+    pm = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    got = {(r.series, r.pm): r["count"] for r in studies.orthologs(pairs, 3).collect()}
+    want = Counter(("natural" if r[1] != r[2] else "same_organism", pm(r[5], r[6])) for r in rows)
+    assert {k: v for k, v in got.items() if k[0] != "shuffled"} == want
+    assert sum(v for k, v in got.items() if k[0] == "shuffled") == 3 * sum(v for k, v in want.items() if k[0] == "natural")
+    got = {(r.org, r.same_prot, r.pm): r["count"] for r in studies.paralogs(pairs, 3).filter("model = 'natural'").collect()}
+    assert got == Counter((r[1], r[3] == r[4], pm(r[5], r[6])) for r in rows if r[1] == r[2])
+    local = Counter()
+    for _, _, _, _, _, a, b in rows:
+        if 5 <= pm(a, b) <= 9:
+            same = [i for i in range(12) if a[i] == b[i]]
+            local.update((pm(a, b), j - i, a[i], a[j]) for k, i in enumerate(same) for j in same[k + 1 :])
+    found = studies.twilight_locality(pairs, (5, 9), 2).filter("model = 'natural'").collect()
+    assert {(r.pm, r.distance, r.aa1, r.aa2): r["count"] for r in found} == local
+    first = studies.examples(pairs, 2).collect()
+    assert all(r.rank <= 2 for r in first) and len({r.pm for r in first}) == len({pm(r[5], r[6]) for r in rows})
+    lengths = studies.shuffle_models(pairs, (2, 12)).filter("model = 'natural'").collect()
+    assert {(r.lf, r.pm): r["count"] for r in lengths} == Counter((n, pm(r[5][:n], r[6][:n])) for r in rows for n in range(2, 13))
+
+
 def test_maximal_repeats_and_unique_lengths(spark):
     seqs = ["ACDEFGHACDEFGK", "XACDEF", "AAAAAA"]
     base = suffix.corpus(proteins(spark, seqs, ["o", "p", "q"]))
