@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from residua.operators import alignment, nullmodels, sampling
 from residua.operators.kmers import windows
+from residua.sinks.tables import merge_counts
+from residua.sources.layers import Layers
 
 # The sets of models that are run together, and the block lengths of the k-mer models.
 BLOCKS = (1, 2, 3, 4, 5, 10, 20)
@@ -89,3 +91,16 @@ def evaluate(spark: SparkSession, prots: DataFrame, models: tuple[str, ...], lf:
         own = model_pairs(spark, prots, m, lf, size, n, seed).select(F.lit(m).alias("model"), "frag1", "frag2")
         out = own if out is None else out.unionByName(own)
     return alignment.score_histogram(alignment.score_pairs(out), ("model",))
+
+
+def evaluate_rounds(spark: SparkSession, prots: DataFrame, models: tuple[str, ...], lf: int, size: int, n: int, rounds: int, path: str) -> DataFrame:
+    """alignment, model, score, count over ``rounds`` rounds of ``n`` pairs each, from the histograms stored under ``path``.
+
+    A round is a block of pairs of its own (its number is the sample's seed).  One whose histogram is stored to its end is
+    taken as it is, any other is made and stored, so that a run that was ended goes on and more rounds may follow later."""
+    stored = Layers(spark, path)
+    found = [stored.layer("round", lambda r=r: evaluate(spark, prots, models, lf, size, n, r), r) for r in range(rounds)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return merge_counts(None, out, ("alignment", "model", "score"))

@@ -9,6 +9,7 @@ from residua.operators import homology, models, nullmodels, sampling
 from residua.plans import alignmentsql
 from residua.plans.pair_queries import REL, SMALL, S, corpus_shuffle_sql, frags, list_shuffle, relationships, the_pairs
 from residua.plans.sqltext import PROT, VALID, hashed, km, pairs
+from residua.sinks.scratch import place
 from residua.sources.corpus import proteins
 
 QUERIES, SQL = {}, {}
@@ -44,6 +45,21 @@ def _(s, d):
     return al.score_histogram(al.score_pairs(nat.unionByName(shuffled)), ("model",))
 
 
+ROUNDS, BLOCK = 3, 400
+_BLOCKS = [f"(WITH {pairs(LF, BLOCK, r)} SELECT {r} AS r, pair_id, a_frag, b_frag FROM pairs)" for r in range(ROUNDS)]
+
+
+@query(
+    "s3_score_rounds",
+    "WITH RECURSIVE drawn AS (" + " UNION ALL ".join(f"SELECT * FROM {b}" for b in _BLOCKS) + f"), src AS (SELECT 'natural:' || r || ':' || pair_id AS id, a_frag AS a, b_frag AS b FROM drawn"
+    f" UNION ALL SELECT 'F:' || r || ':' || pair_id, {list_shuffle('a_frag', 'pair_id', 'F1')}, {list_shuffle('b_frag', 'pair_id', 'F2')} FROM drawn), {alignmentsql.scored('src', 'id')}, scm AS (SELECT split_part(id, ':', 1) AS model, * FROM sc) {alignmentsql.histogram('model', 'scm')}",
+)
+def _(s, d):
+    path, p = place(s, "score-rounds"), proteins(s, d)
+    models.evaluate_rounds(s, p, ("natural", "F"), LF, DOMAIN, BLOCK, ROUNDS - 1, path)
+    return models.evaluate_rounds(s, p, ("natural", "F"), LF, DOMAIN, BLOCK, ROUNDS, path)  # goes on after what is stored
+
+
 @query(
     "d19_scored_relationships",
     f"WITH RECURSIVE {S}, {REL}, r AS (SELECT rel.*, a.frag AS f1, b.frag AS f2, row_number() OVER () AS id FROM rel JOIN smp a ON a.batch = batch1 AND a.gpos = pos1 JOIN smp b ON b.batch = batch2 AND b.gpos = pos2 WHERE alignment = 'ali3'), keep AS MATERIALIZED (SELECT * FROM r), "

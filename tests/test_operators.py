@@ -208,6 +208,22 @@ def test_genome_lines_hold_anything(spark, tmp_path):
     assert got == sorted([('"quoted" species', "UP1_1.fasta"), ("tab\there", "UP2_1.fasta"), (" blanks ", "UP3_1.fasta"), ("", "UP4_1.fasta")])
 
 
+def test_rounds_go_on_where_they_ended(spark, tmp_path, monkeypatch):
+    from residua.operators import models
+
+    rng = random.Random(4)
+    p = proteins(spark, ["".join(rng.choice("ACDEFG") for _ in range(150)) for _ in range(6)], ["x", "y"] * 3)
+    made = []
+    real = models.evaluate
+    monkeypatch.setattr(models, "evaluate", lambda *a: made.append(a[-1]) or real(*a))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    once = rows(models.evaluate_rounds(spark, p, ("natural",), 10, 20, 30, 3, str(tmp_path / "a")))
+    models.evaluate_rounds(spark, p, ("natural",), 10, 20, 30, 2, str(tmp_path / "b"))
+    (tmp_path / "b" / "round_1" / "_SUCCESS").unlink()  # as if the second round had been ended
+    again = rows(models.evaluate_rounds(spark, p, ("natural",), 10, 20, 30, 3, str(tmp_path / "b")))
+    assert again == once and made == [0, 1, 2, 0, 1, 1, 2]
+
+
 def test_pair_studies(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("ACDE") for _ in range(12))
