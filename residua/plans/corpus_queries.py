@@ -271,6 +271,11 @@ def _(s, d):
     return ab.most_often(proteins(s, d), 8)
 
 
+@query("agg19_short_contexts", f"WITH {PROT}, " + ", ".join(km(n, "prot_id", f"k{n}", VALID) for n in (2, 3, 4)) + ", " + ", ".join(f"e{n} AS (SELECT f, -sum(c / t * log2(c / t)) AS e, any_value(t) AS t FROM (SELECT *, sum(c) OVER (PARTITION BY f) AS t FROM (SELECT frag[1:{n - 1}] AS f, frag[{n}] AS x, count(*) AS c FROM k{n} GROUP BY ALL)) GROUP BY f)" for n in (2, 3, 4)) + " " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS lf, round(sum(e * t) / sum(t), 6) AS entropy, round(sum(e * e * t) / sum(t) - pow(sum(e * t) / sum(t), 2), 6) AS variance, CAST(sum(t) AS BIGINT) AS total, count(*) AS contexts FROM e{n}" for n in (2, 3, 4)))
+def _(s, d):
+    return en.conditional(proteins(s, d), [2, 3, 4]).withColumn("entropy", r6("entropy")).withColumn("variance", r6("variance"))
+
+
 PREDICT_CTE = f"{PROT}, {km(5, 'prot_id', where=VALID)}, c AS (SELECT frag[1:4] AS frag, frag[5] AS next, count(*) AS n FROM km GROUP BY ALL), b AS (SELECT frag, next AS predicted, n / sum(n) OVER (PARTITION BY frag) AS certainty, CAST(sum(n) OVER (PARTITION BY frag) AS BIGINT) AS total, row_number() OVER (PARTITION BY frag ORDER BY n DESC, next) AS k FROM c)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import strings as st
 from residua.operators import abundance as ab
-from residua.operators import curation, distance, graph, homology, nullmodels, sampling, studies
+from residua.operators import curation, distance, entropy, graph, homology, nullmodels, sampling, studies
 from residua.plans.sqltext import HAMMING, PROT, VALID, hashed, km, pairs, sample
 from residua.sinks.scratch import settle
 from residua.sources import files
@@ -219,6 +219,12 @@ def _(s, d):
     return _corpus_shuffle(s, d, (), "g3e", True)
 
 
+@query("w3_shuffled_gaps", "WITH sh AS (" + corpus_shuffle_sql("prot_id", "w3", out="string_agg(aa, '' ORDER BY pos) AS seq") + "), r AS (SELECT prot_id, unnest(string_split(seq, '')) AS aa, unnest(range(1, length(seq) + 1)) AS pos FROM sh), g AS (SELECT aa, pos - lag(pos) OVER (PARTITION BY prot_id, aa ORDER BY pos) AS gap FROM r WHERE aa <> 'X') SELECT aa, CAST(gap AS INTEGER) AS gap, count(*) AS count FROM g WHERE gap IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    new = nullmodels.permuted(proteins(s, d), ("prot_id",), "w3").withColumn("len", F.length("seq"))
+    return entropy.gaps(new).groupBy("aa", F.col("gap").cast("int").alias("gap")).agg(F.count(F.lit(1)).alias("count"))
+
+
 @query("g11_pick_per_group", "SELECT source AS genus, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('g11:' || doc_id)) AS k FROM documents) WHERE k = 1")
 def _(s, d):
     return nullmodels.pick_one(table(s, d, "documents").select(F.col("source").alias("genus"), "doc_id"), "genus", "doc_id", "g11")
@@ -323,6 +329,12 @@ def _(s, d):
     return sampling.distance_histogram(the_pairs(s, d).withColumn("replica", F.col("pair_id") % 4), ("replica",))
 
 
+@query("s7_very_similar", f"WITH {TINY} SELECT pair_id, pm, a_prot, a_pos, a_frag, b_prot, b_pos, b_frag FROM pm WHERE pm BETWEEN 1 AND 5 // 4")
+def _(s, d):
+    p = the_pairs(s, d, 5).withColumn("pm", st.hamming(F.col("a_frag"), F.col("b_frag")))
+    return p.filter(F.col("pm").between(1, 5 // 4)).select("pair_id", "pm", "a_prot", "a_pos", "a_frag", "b_prot", "b_pos", "b_frag")
+
+
 @query("s7a_exchanges", f"WITH {P} SELECT pm, a_frag[i] AS aa1, b_frag[i] AS aa2, count(*) AS count FROM pm, range(1, 21) r(i) GROUP BY ALL")
 def _(s, d):
     return sampling.exchanges(the_pairs(s, d))
