@@ -111,21 +111,42 @@ def grow(slot_shard: list[int], slot_bytes: list[int], n_shards: int, extra: int
 # --- the stored map ---------------------------------------------------------------------------------------------------
 
 
+def numbers_at(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The version folders at ``path``, in order, and whether each was written to its end."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path(path)):
+        return {}
+    found = [f.getPath() for f in fs.listStatus(fs_path(path))]
+    numbered = {int(m[1]): x for x in found if (m := re.fullmatch(r"version=(\d+)", x.getName()))}
+    return {n: bool(fs.exists(fs_path(x, "_SUCCESS"))) for n, x in sorted(numbered.items())}
+
+
 def versions_at(spark: SparkSession, path: str) -> list[int]:
     """The versions that are stored at ``path``, in order; a folder that was not written to its end doesn't count."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [f.getPath() for f in fs.listStatus(root)]
-    done = [x for x in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return sorted(int(m[1]) for x in done if (m := re.fullmatch(r"version=(\d+)", x.getName())))
+    return [n for n, ended in numbers_at(spark, path).items() if ended]
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    """The number after all that were ever begun, so that a writer that died blocks no later one."""
+    return max(numbers_at(spark, path), default=-1) + 1
 
 
 def write_version(spark: SparkSession, path: str, version: int, slot_shard: list[int]) -> None:
-    """Fails if the version is there: two runs that edit a map at once can't overwrite each other."""
+    """Written under a name of its own and renamed in one step, which fails if the version is there: two runs that edit a map
+    at once can't overwrite each other, and one that dies on its way leaves no version."""
     rows = spark.createDataFrame(list(enumerate(slot_shard)), "virtual_slot int, shard int")
-    rows.coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+    own = f"{path}/_writing-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(own)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(own), hadoop.Path(f"{path}/version={version}")
+    context = hadoop.FileContext.getFileContext(source.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(source, target, none)
+    except Exception as e:
+        context.delete(source, True)
+        raise FileExistsError(f"another run has written version {version} of the map at {path}") from e
 
 
 def read_version(spark: SparkSession, path: str, version: int) -> list[int]:
@@ -135,7 +156,8 @@ def read_version(spark: SparkSession, path: str, version: int) -> list[int]:
 
 def map_versions(spark: SparkSession, path: str) -> DataFrame:
     """version, virtual_slot, shard of all stored versions."""
-    return spark.read.schema("virtual_slot int, shard int, version int").parquet(path).select("version", "virtual_slot", "shard")
+    rows = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    return rows.filter(F.col("version").isin(versions_at(spark, path))).select("version", "virtual_slot", "shard")
 
 
 def edited(spark: SparkSession, path: str, load: list[int], n_shards: int) -> tuple[list[int], int]:
@@ -146,7 +168,7 @@ def edited(spark: SparkSession, path: str, load: list[int], n_shards: int) -> tu
         if len(layout) != len(load):
             raise ValueError(f"the map at {path} has {len(layout)} slots, not {len(load)}")
     else:
-        version, layout = 0, first_map(n_shards, len(load))
+        version, layout = next_version(spark, path), first_map(n_shards, len(load))
         write_version(spark, path, version, layout)
     before = max(layout) + 1
     new = grow(layout, load, before, n_shards - before) if before < n_shards else layout
@@ -154,7 +176,7 @@ def edited(spark: SparkSession, path: str, load: list[int], n_shards: int) -> tu
         raise ValueError(f"the map at {path} has {before} shards already, more than {n_shards}")
     new = rebalance(new, load, n_shards)
     if new != layout or not stored:
-        version += 1
+        version = next_version(spark, path)
         write_version(spark, path, version, new)
     return new, version
 

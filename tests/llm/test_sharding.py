@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from helpers import AWKWARD, frame
 
 from residua.llm import sharding as op
@@ -89,3 +90,22 @@ def test_rows_without_an_id_spread(spark):
     for r in placed.collect():
         load[r.shard] += r.size
     assert len(load) == 8 and max(load.values()) - min(load.values()) < 200
+
+
+def test_a_writer_that_died_blocks_no_later_one(spark, tmp_path):
+    path, rows = str(tmp_path / "map"), [(i, "x" * (i % 50)) for i in range(200)]
+    op.shard(frame(spark, rows), 4, map_path=path)
+    (tmp_path / "map" / "version=2" / "_temporary").mkdir(parents=True)  # begun, never ended
+    (tmp_path / "map" / "_writing-0").mkdir()
+    assert op.versions_at(spark, path) == [0, 1] and op.next_version(spark, path) == 3
+    grown, version = op.edited(spark, path, [1] * op.N_SLOTS, 6)
+    assert version == 3 and op.versions_at(spark, path) == [0, 1, 3] and op.read_version(spark, path, 3) == grown
+    assert {r.version for r in op.map_versions(spark, path).select("version").distinct().collect()} == {0, 1, 3}
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    op.write_version(spark, path, 0, [0, 1, 0])
+    with pytest.raises(FileExistsError):
+        op.write_version(spark, path, 0, [1, 1, 1])
+    assert op.read_version(spark, path, 0) == [0, 1, 0] and sorted(p.name for p in (tmp_path / "map").iterdir()) == ["version=0"]
