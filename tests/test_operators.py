@@ -106,6 +106,38 @@ def test_shuffles_keep_residues_and_x(spark, group):
     assert any(out[i] != s for i, s in enumerate(seqs))
 
 
+@pytest.mark.parametrize("model", ["P3", "G1", "A2", "E0"])
+def test_letters_at_places_are_those_of_the_whole_shuffle(spark, model, monkeypatch):
+    from residua.operators import models
+
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACDEFGX") for _ in range(rng.randint(1, 300))) for _ in range(12)]
+    p = proteins(spark, seqs, [f"o{i % 3}" for i in range(12)])
+    whole = {r.prot_id: r.seq for r in nullmodels.permuted(p, models.GROUPS[model[0]], model, model[0] == "E").collect()}
+    at = [(i, rng.randint(1, len(s) - 5)) for i, s in enumerate(seqs) if len(s) > 10]
+    free = lambda s: len(s) - s.count("X")
+    rows = [(model, k, i, free(seqs[i][: pos - 1]), free(seqs[i][pos - 1 : pos + 5])) for k, (i, pos) in enumerate(at)]
+    places = spark.createDataFrame(rows, "model string, place long, prot_id long, before long, n long")
+    if model[0] in "GA":  # the whole shuffle isn't made on the way
+        monkeypatch.setattr(nullmodels, "keyed_cells", None)
+    got = {r.place: r.letters for r in nullmodels.letters_at(p, places, models.GROUPS[model[0]], model[0] == "E", per_cell=7).collect()}
+    want = {k: whole[i][pos - 1 : pos + 5].replace("X", "") for k, (i, pos) in enumerate(at)}
+    assert {k: got.get(k, "") for k in want} == want
+
+
+def test_numbered_keys_are_md5():
+    import hashlib
+
+    from residua.functions.keys import numbered_keys
+
+    prefixes = [b"", b"G1:7:", b"x" * 45, b"A:-12345678901:"]
+    numbers = [1, 9, 10, 99, 100, 12345, 99_999, 1_000_000]
+    for some in (prefixes, [*prefixes, b"y" * 80]):
+        owner, number = np.repeat(np.arange(len(some)), len(numbers)), np.tile(numbers, len(some))
+        want = b"".join(hashlib.md5(x + b"%d" % n).digest() for x in some for n in numbers)
+        assert numbered_keys(some, owner, number, chunk=5).tobytes() == want
+
+
 def test_equal_model_is_even(spark):
     p = proteins(spark, ["A" * 400])
     seq = nullmodels.permuted(p, (), "e", True).first().seq
