@@ -144,6 +144,23 @@ def test_equal_model_is_even(spark):
     assert {seq.count(c) for c in RESIDUES} == {20}
 
 
+@pytest.mark.parametrize("lf", [1, 7, 10, 23])
+def test_distances_to_queries_by_brute_force(spark, lf, monkeypatch):
+    rng = random.Random(lf)
+    word = lambda: "".join(rng.choice("ACDXYZ") for _ in range(lf))
+    asked, hits = [(7 * i, word()) for i in range(9)], {word(): rng.randint(1, 3) for _ in range(200)}
+    hits[asked[0][1]] = 1
+    want = Counter()
+    for g, q in asked:
+        for f, n in hits.items():
+            want[g, sum(x != y for x, y in zip(f, q, strict=True))] += n
+    monkeypatch.setattr(distance, "hamming", None)  # pairs aren't rows
+    sample, frags = spark.createDataFrame(asked, "gpos long, frag string"), spark.createDataFrame(list(hits.items()), "frag string, hits long")
+    rows = lambda **k: {(r.gpos, r.pm): r["count"] for r in distance.against(sample, frags, lf=lf, **k).collect()}
+    assert rows(skip_self=False, block=4) == want
+    assert rows(skip_self=True) == {k: n - (k[1] == 0) for k, n in want.items() if n > (k[1] == 0)}
+
+
 def test_exhaustive_distance_by_brute_force(spark):
     rng = random.Random(1)
     seqs = ["".join(rng.choice("ACD") for _ in range(30)) for _ in range(4)]
