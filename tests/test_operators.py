@@ -250,6 +250,25 @@ def test_pairs_of_batches_in_tiles(spark):
         assert all(counted[r.batch1, r.batch2] == r[name] for r in homology.ring_sizes(frags, 4).collect())
 
 
+def test_counted_pairs_are_the_listed_ones(spark):
+    rng, n_batches, cuts = random.Random(8), 3, (20, 60)
+    frags = spark.createDataFrame([(b, 10 * i + b) for b, n in enumerate((7, 11, 4)) for i in range(n)], "batch int, gpos long")
+    ids = [(r.batch, r.gpos, e) for r in frags.collect() for e in rng.choice(([], [None], ["1.1.1"], ["1.2.1", "2.1"], ["2.1"], ["3.1"], ["2.2", None]))]
+    assign = spark.createDataFrame(ids, "batch int, pos long, ecod string")
+    score = lambda b1, p1, b2, p2: (p1[:, None] * 7 + p2[None, :] * 3 + b1) % 100
+    listed = None
+    for which in ("ali", "ali2", "ali3"):
+        own = homology.pair_batches(frags, which, n_batches, 4).withColumn("alignment", F.lit(which))
+        listed = own if listed is None else listed.unionByName(own)
+    value = (F.col("pos1") * 7 + F.col("pos2") * 3 + F.col("batch1")) % 100
+    rows = homology.family_h(homology.classify(listed, assign, True), assign).withColumn("band", F.when(value < 20, 0).when(value < 60, 1).otherwise(2))
+    keys = ["alignment", "batch1", "batch2", "class", "same_h", "band"]
+    want = Counter(tuple(r) for r in rows.select(*keys).collect())
+    got = {tuple(r[k] for k in keys): r.pairs for r in homology.counted(frags, assign, n_batches, score, cuts, side=4).collect()}
+    assert len(want) > 40 and got == want
+    assert sum(r.pairs for r in homology.counted(frags, assign, n_batches).collect()) == sum(want.values())
+
+
 def test_genome_lines_hold_anything(spark, tmp_path):
     lines = ['"quoted" species\tUP1_1.fasta', "tab\there\tUP2_1.fasta", " blanks \tUP3_1.fasta", "\tUP4_1.fasta", "no tab"]
     (tmp_path / "g.tsv").write_text("\n".join(lines) + "\n")
