@@ -441,3 +441,43 @@ def test_models_and_seeded_components(spark):
     frags = [f"{a}{b}{c}" for a in "AC" for b in "AC" for c in "AC"] + ["FFF"]
     out = graph.seeded(spark.createDataFrame([(f,) for f in frags], "frag string"), 3, 1, 8)
     assert {(r.seed, r["size"]) for r in out.collect()} == {("AAA", 8), ("FFF", 1)}
+
+
+def test_packed_graph_by_brute_force(spark):
+    rng = random.Random(8)
+    seqs = ["".join(rng.choices("ACDX", [6, 6, 6, 1], k=rng.randint(0, 90))) for _ in range(14)] + ["A" * 40]
+    p = proteins(spark, seqs, ["o"] * len(seqs))
+    for lf in (6, 12):
+        frags = sorted({s[i : i + lf] for s in seqs for i in range(len(s) - lf + 1)} - {f for s in seqs for i in range(len(s) - lf + 1) if "X" in (f := s[i : i + lf])})
+        near = {f: [g for g in frags if sum(x != y for x, y in zip(f, g, strict=True)) == 1] for f in frags}
+        words = graph.fragments(p, lf)
+        shared = graph.one_apart(words, lf, 50).cache()
+        degree = shared.groupBy("a").agg(F.sum(F.col("n") - 1).alias("n")).select(graph.text(F.col("a"), lf).alias("frag"), "n")
+        assert {r.frag: r.n for r in degree.collect()} == {f: len(g) for f, g in near.items() if g}
+        root = {}
+        for f in frags:
+            todo = [f] if f not in root else []
+            while todo:
+                g = todo.pop()
+                if g not in root:
+                    root[g] = f
+                    todo += near[g]
+        got = graph.grown(shared).select(graph.text(F.col("frag"), lf).alias("frag"), graph.text(F.col("root"), lf).alias("root"))
+        assert {r.frag: r.root for r in got.collect()} == {f: r for f, r in root.items() if near[f]}
+        size = Counter(root.values())
+        assert {tuple(r) for r in graph.seeded_words(words, lf, 7).collect()} == {(f, size[root[f]]) for f in frags[::7]}
+    none = graph.fragments(proteins(spark, ["AC"], ["o"]), 12)
+    assert graph.one_apart(none, 12).count() == 0 and graph.seeded_words(none, 12, 7).count() == 0
+
+
+@pytest.mark.parametrize("name", ["j17_component", "j18_seeded_components"])
+def test_graph_queries_list_no_patterns_as_text(spark, monkeypatch, name):
+    import os
+
+    from residua.plans import pair_queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(graph, "open_patterns", None)
+    monkeypatch.setattr(distance, "wildcards", None)
+    assert pair_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
