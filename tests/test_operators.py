@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and their invariants."""
 
 import random
+import re
 from collections import Counter
 from itertools import pairwise
 
@@ -481,3 +482,38 @@ def test_graph_queries_list_no_patterns_as_text(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "open_patterns", None)
     monkeypatch.setattr(distance, "wildcards", None)
     assert pair_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pairs_are_dealt_out_by_their_number(spark):
+    f = spark.createDataFrame([(b, 1000 * b + i) for b in range(3) for i in range(200)], "batch int, gpos long")
+    assign = spark.createDataFrame([(b, 1000 * b + i, None if i % 7 == 0 else f"{i % 5}.1") for b in range(3) for i in range(200) if i % 11], "batch int, pos long, ecod string")
+    tiles = 3 * 25 * 26 // 2
+    got = homology.pair_batches(f, "ali", 3, 8)
+    assert got.rdd.getNumPartitions() >= tiles // homology.DEALT
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 3 * 200 * 199 // 2 and max(sizes) <= 64 * homology.DEALT
+    # classes are known before there are pairs, which no join deals out again
+    by_pair = homology.classified(f, assign, 3, 8)
+    plan = by_pair._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate explode")]
+    pairs = homology.paired(f, 3).select("alignment", "batch1", "batch2", "pos1", "pos2")
+    want = homology.classify(pairs, assign).select(*by_pair.columns)
+    assert by_pair.exceptAll(want).isEmpty() and by_pair.count() == want.count() > 50_000
+
+
+def test_records_of_a_report_are_made_and_read_once(spark):
+    rng = random.Random(3)
+    parts = ["a3m_1/frag_22", "a3m_30/frag_4", "/frag_5", "a3m_6/", ".a3m", " ", "\n", " -t ", "Probab=", "77.5", "8", "x", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(4, 16))) for _ in range(4000)]
+    side = r"a3m_([0-9]+)/frag_([0-9]+)"
+
+    def read(v):
+        m, p = re.search(rf"{side}\S*\s.*?{side}", v), re.search("Probab=([0-9.]+)", v)
+        return (*map(int, m.groups()), float(p[1]))
+
+    texts = [v for v in texts if not re.search(r"Probab=[0-9.]*\.[0-9.]*\.|Probab=(?![0-9])|Probab=\.", v)]  # one number each
+    want = sorted(read(v) for v in texts if "Probab=" in v and re.search(rf"{side}\S*\s.*?{side}", v))
+    records = spark.createDataFrame([(v,) for v in texts], "value string")
+    assert sorted(tuple(r) for r in files.alignments(records).collect()) == want and len(want) > 20
+    made = files.alignments(records.select(F.concat("value", F.md5("value")).alias("value")))
+    assert made._jdf.queryExecution().executedPlan().toString().count("md5(") == 1
