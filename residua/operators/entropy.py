@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions.stats import entropy
+from residua.operators import within
 from residua.operators.kmers import residues, windows
 
 
@@ -42,11 +43,10 @@ def predict_along(queries: DataFrame, prots: DataFrame, context: int, key: str)
     return q.join(seen, "frag", "left").join(counts, ["frag", "real"], "left").select(key, "pos", "real", "predicted", "certainty", F.when(F.col("total").isNotNull(), F.coalesce(F.col("count"), F.lit(0)) / F.col("total")).alias("real_prob"))
 
 
-def gaps(prots: DataFrame) -> DataFrame:
-    """prot_id, aa, gap: distances between neighbouring equal residues of a protein (X left out)."""
-    w = Window.partitionBy("prot_id", "aa").orderBy("pos")
-    r = residues(prots, ("prot_id",)).filter("aa <> 'X'")
-    return r.withColumn("gap", F.col("pos") - F.lag("pos").over(w)).filter("gap is not null").select("prot_id", "aa", "gap")
+def gap_counts(prots: DataFrame) -> DataFrame:
+    """aa, gap, count: distances between neighbouring equal residues of a protein (X left out)."""
+    found = within.dealt(prots).mapInArrow(within.gap_counts, "aa string, gap int, n long")
+    return found.groupBy("aa", "gap").agg(F.sum("n").alias("count"))
 
 
 def gap_ends(prots: DataFrame) -> DataFrame:
@@ -56,5 +56,5 @@ def gap_ends(prots: DataFrame) -> DataFrame:
 
 def gap_entropies(prots: DataFrame) -> DataFrame:
     """aa, mean, deviation of the proteins' gap entropies."""
-    per = entropy(gaps(prots).groupBy("prot_id", "aa", "gap").agg(F.count(F.lit(1)).alias("n")), ["prot_id", "aa"], "n")
+    per = within.dealt(prots).mapInArrow(within.gap_entropies, "aa string, entropy double")
     return per.groupBy("aa").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation"), F.count(F.lit(1)).alias("prots"))

@@ -340,7 +340,7 @@ def _(s, d):
 
 @query("w3_residue_gaps", f"WITH {PROT}, {km(1, 'prot_id', 'res')}, g AS (SELECT prot_id, frag AS aa, pos - lag(pos) OVER (PARTITION BY prot_id, frag ORDER BY pos) AS gap FROM res WHERE frag <> 'X') SELECT aa, gap, count(*) AS count FROM g WHERE gap IS NOT NULL GROUP BY ALL")
 def _(s, d):
-    return en.gaps(proteins(s, d)).groupBy("aa", "gap").agg(F.count(F.lit(1)).alias("count"))
+    return en.gap_counts(proteins(s, d))
 
 
 @query("w3_gap_ends", f"WITH {PROT}, {km(1, 'prot_id, len', 'res')} SELECT prot_id, frag AS aa, min(pos) AS to_start, any_value(len) - max(pos) + 1 AS to_end FROM res WHERE frag <> 'X' GROUP BY prot_id, frag")

@@ -1,17 +1,19 @@
 """Operators against brute force on small fixtures, and their invariants."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from residua.functions import strings
 from residua.functions.alphabet import RESIDUES, is_prime, next_prime, normalise
-from residua.operators import abundance, alignment, curation, distance, graph, homology, intervals, kmers, nullmodels, sampling, studies, suffix
+from residua.operators import abundance, alignment, curation, distance, entropy, graph, homology, intervals, kmers, nullmodels, sampling, studies, suffix, within
 from residua.sinks import tables
 from residua.sources import corpus, files
 from residua.sources.corpus import running, starts
@@ -517,3 +519,40 @@ def test_records_of_a_report_are_made_and_read_once(spark):
     assert sorted(tuple(r) for r in files.alignments(records).collect()) == want and len(want) > 20
     made = files.alignments(records.select(F.concat("value", F.md5("value")).alias("value")))
     assert made._jdf.queryExecution().executedPlan().toString().count("md5(") == 1
+
+
+def test_gaps_are_counted_inside_proteins(spark):
+    rng = random.Random(12)
+    rows = [(i % 37 if i % 5 else None if i % 2 else 100 + i, "".join(rng.choice("ACDX") for _ in range(rng.choice((0, 1, 3, 40))))) for i in range(60)]
+    p = spark.createDataFrame(rows, "prot_id long, seq string")
+    places = {}
+    for ident, seq in rows:  # rows of an id are one protein
+        for i, c in enumerate(seq):
+            if c != "X":
+                places.setdefault((ident, c), []).append(i)
+    found = {k: Counter(b - a for a, b in pairwise(sorted(v))) for k, v in places.items() if len(v) > 1}
+    want = Counter()
+    for (_, c), n in found.items():
+        want.update({(c, g): m for g, m in n.items()})
+    got = entropy.gap_counts(p)
+    assert {(r.aa, r.gap): r["count"] for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    batch = pa.RecordBatch.from_pylist(sorted(({"prot_id": i, "seq": s} for i, s in rows), key=lambda r: (r["prot_id"] is not None, r["prot_id"] or 0)))
+    parts = Counter()
+    for out in within.gap_counts([batch.slice(0, 17), batch.slice(17)], 10):
+        parts.update({(r["aa"], r["gap"]): r["n"] for r in out.to_pylist()})
+    assert parts == want
+    own = {c: [-sum(m / n.total() * np.log2(m / n.total()) for m in n.values()) for (_, x), n in found.items() if x == c] for c in "ACD"}
+    for r in entropy.gap_entropies(p).collect():
+        assert r.prots == len(own[r.aa]) and abs(r.mean - np.mean(own[r.aa])) < 1e-9 and abs(r.deviation - np.std(own[r.aa])) < 1e-9
+
+
+def test_own_shuffles_keep_rows_apart(spark):
+    rows = [(i, s) for i, s in enumerate(("ACDXEFG", "", "XX", "A", "ACDEFGHIKL" * 30))]
+    p = spark.createDataFrame([(i, s, len(s)) for i, s in rows], "prot_id long, seq string, len int")
+    got = {r.prot_id: r.seq for r in nullmodels.permuted(p, ("prot_id",), "s").collect()}
+    for i, s in rows:
+        order = iter(c for _, _, c in sorted((hashlib.md5(f"s:{i}:{k}".encode()).hexdigest(), k, c) for k, c in enumerate(s, 1) if c != "X"))
+        assert got[i] == "".join(c if c == "X" else next(order) for c in s)
+    batch = pa.RecordBatch.from_pylist([{"prot_id": i, "ident": str(i), "seq": s} for i, s in rows])
+    assert {r["prot_id"]: r["seq"] for out in nullmodels.own_order([batch], "s", 5) for r in out.to_pylist()} == got
