@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BITS, LETTERS, PART = 5, 12, 1 << 20
 X = ord("X") & 31
@@ -96,3 +97,9 @@ def fragment_counts(batches: Iterator[pa.RecordBatch], lf: int, part: int = PART
             first = (new | np.concatenate(([True], owner[1:] != owner[:-1]))) & known[owner]
             at = np.flatnonzero(new)
             yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(np.add.reduceat(first.astype(np.int64), at)), pa.array(np.diff(at, append=len(word)))], names=["word", "prots", "hits"])
+
+
+def text(word: Column, lf: int) -> Column:
+    """The letters of a packed word of ``lf``."""
+    letter = lambda k: F.char(F.shiftright(word, BITS * (lf - 1 - k)).bitwiseAND(31) + 64)
+    return F.concat(*[letter(k) for k in range(lf)])

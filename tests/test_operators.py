@@ -556,3 +556,24 @@ def test_own_shuffles_keep_rows_apart(spark):
         assert got[i] == "".join(c if c == "X" else next(order) for c in s)
     batch = pa.RecordBatch.from_pylist([{"prot_id": i, "ident": str(i), "seq": s} for i, s in rows])
     assert {r["prot_id"]: r["seq"] for out in nullmodels.own_order([batch], "s", 5) for r in out.to_pylist()} == got
+
+
+@pytest.mark.parametrize("lf", [2, 5, 12, 13])
+def test_hits_per_protein_count_proteins_once(spark, lf):
+    rng = random.Random(lf)
+    seqs = [rng.choice(("ACDACD", "AXCADY", "Y", "")) * rng.randrange(1, 9) for _ in range(60)]
+    rows = [(i % 37 if i % 5 else None, s) for i, s in enumerate(seqs)]  # rows of an id are one protein, null is none
+    places = [(s[i : i + lf], ident) for ident, s in rows for i in range(len(s) - lf + 1) if "X" not in s[i : i + lf]]
+    want = {f: (len({i for g, i in places if g == f and i is not None}), n) for f, n in Counter(f for f, _ in places).items()}
+    p = spark.createDataFrame([(i, s, len(s)) for i, s in rows], "prot_id long, seq string, len int")
+    assert {r.frag: (r.prots, r.hits) for r in abundance.hits_per_protein(p, lf).collect()} == want
+    top = max(n for n, _ in want.values())
+    assert {r.frag for r in abundance.most_often(p, lf, 2).collect()} == {f for f, (n, _) in want.items() if n == top}
+    if lf <= within.LETTERS:
+        batch = pa.RecordBatch.from_pylist([{"prot_id": i, "seq": s} for i, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))])
+        parts = Counter()
+        for out in within.fragment_counts([batch.slice(0, 23), batch.slice(23)], lf, 30):
+            for r in out.to_pylist():
+                parts[r["word"], "prots"] += r["prots"]
+                parts[r["word"], "hits"] += r["hits"]
+        assert sorted(parts.values()) == sorted(x for v in want.values() for x in v)
