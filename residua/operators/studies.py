@@ -6,24 +6,49 @@ has less than the natural one doesn't come from it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from residua.functions.keys import numbered_keys
 from residua.functions.strings import compositional_overlap, decile, hamming
 from residua.operators.nullmodels import shuffled
 from residua.operators.sampling import locality
 
 
+def replicated(batches: Iterator[pa.RecordBatch], n: int, seed: str, most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows (..., pair_id, a_frag, b_frag) with model: natural ones, and n of each with both fragments in keyed order."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, most):
+            some = batch.slice(begin, most)
+            row = np.repeat(np.arange(some.num_rows), n)
+            ids, sides = some.column("pair_id").to_pylist(), []
+            for side in "ab":
+                texts = some.column(f"{side}_frag").to_pylist()
+                size = np.array([len(x) for x in texts], np.int64)[row]
+                ends = np.cumsum(size)
+                owner = np.repeat(np.arange(len(row)), size)
+                keys = numbered_keys([f"{seed}{side}:{i}:{r}:".encode() for i in ids for r in range(1, n + 1)], owner, np.arange(len(owner)) - np.repeat(ends - size, size))
+                k = keys.copy().view(">u8").astype(np.uint64)
+                letters = np.frombuffer("".join(x * n for x in texts).encode(), np.uint8)
+                text = letters[np.lexsort((k[:, 1], k[:, 0], owner))].tobytes().decode()
+                sides.append(pa.array(texts + [text[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)], pa.string()))
+            at = pa.array(np.concatenate((np.arange(some.num_rows), row)))
+            kept = [c for c in some.schema.names if c not in ("a_frag", "b_frag")]
+            model = pa.array(["natural"] * some.num_rows + ["shuffled"] * len(row))
+            yield pa.RecordBatch.from_arrays([*[some.column(c).take(at) for c in kept], *sides, model], names=[*kept, "a_frag", "b_frag", "model"])
+
+
 def replicas(pairs: DataFrame, n: int, seed: str) -> DataFrame:
-    """``pairs`` with model (natural, shuffled), each natural row followed by n with both fragments shuffled."""
-    rows = pairs.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    ident = F.concat_ws(":", F.col("pair_id").cast("string"), F.col("_r").cast("string"))
-    own = F.col("_r") == 0
-    a = F.when(own, F.col("a_frag")).otherwise(shuffled(F.col("a_frag"), ident, f"{seed}a"))
-    b = F.when(own, F.col("b_frag")).otherwise(shuffled(F.col("b_frag"), ident, f"{seed}b"))
-    made = F.struct(a.alias("a_frag"), b.alias("b_frag"), F.when(own, "natural").otherwise("shuffled").alias("model"))
-    # a generator's rows are made once, however often they are used
-    return rows.select(*[c for c in pairs.columns if c not in ("a_frag", "b_frag")], F.inline_outer(F.array(made)))
+    """``pairs`` with model (natural, shuffled), each natural row with n others that have both fragments shuffled.  Pairs are dealt
+    out by their number, as replicas are many times what a pair is; keys are made and put in order in numpy."""
+    rows = pairs.select(*[c for c in pairs.columns if c not in ("a_frag", "b_frag")], "a_frag", "b_frag")
+    schema = StructType([*rows.schema.fields, StructField("model", StringType())])
+    return rows.repartition(8 * pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(lambda it: replicated(it, n, seed), schema)
 
 
 def histogram(rows: DataFrame, *keys: str | Column) -> DataFrame:

@@ -577,3 +577,14 @@ def test_hits_per_protein_count_proteins_once(spark, lf):
                 parts[r["word"], "prots"] += r["prots"]
                 parts[r["word"], "hits"] += r["hits"]
         assert sorted(parts.values()) == sorted(x for v in want.values() for x in v)
+
+
+def test_replicas_are_dealt_out_and_in_keyed_order(spark):
+    rng = random.Random(21)
+    rows = [(i, *("".join(rng.choice(RESIDUES) for _ in range(rng.randrange(1, 9))) for _ in "ab"), i % 3) for i in range(40)]
+    p = spark.createDataFrame(rows, "pair_id long, a_frag string, b_frag string, org int").coalesce(1)
+    made = studies.replicas(p, 3, "s")
+    assert made.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    order = lambda t, s, i, r: "".join(c for _, _, c in sorted((hashlib.md5(f"s{s}:{i}:{r}:{k}".encode()).hexdigest(), k, c) for k, c in enumerate(t)))
+    want = [(i, o, a, b, "natural") for i, a, b, o in rows] + [(i, o, order(a, "a", i, r), order(b, "b", i, r), "shuffled") for i, a, b, o in rows for r in (1, 2, 3)]
+    assert sorted(tuple(r) for r in made.select("pair_id", "org", "a_frag", "b_frag", "model").collect()) == sorted(want)
