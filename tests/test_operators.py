@@ -588,3 +588,25 @@ def test_replicas_are_dealt_out_and_in_keyed_order(spark):
     order = lambda t, s, i, r: "".join(c for _, _, c in sorted((hashlib.md5(f"s{s}:{i}:{r}:{k}".encode()).hexdigest(), k, c) for k, c in enumerate(t)))
     want = [(i, o, a, b, "natural") for i, a, b, o in rows] + [(i, o, order(a, "a", i, r), order(b, "b", i, r), "shuffled") for i, a, b, o in rows for r in (1, 2, 3)]
     assert sorted(tuple(r) for r in made.select("pair_id", "org", "a_frag", "b_frag", "model").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize(("part", "most"), [(7, 5), (1 << 18, 1 << 22)])
+def test_first_places_are_found_inside_tasks(part, most):
+    import pyarrow as pa
+
+    from residua.operators import heads
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACX", k=rng.randint(0, 30))) for _ in range(12)]
+    ids = [7, 7, None, 3, 9, 2**62, -4, None, 11, 12, 13, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["prot_id", "seq"])
+    want, got = {}, {}
+    for i, t in zip(ids, texts, strict=True):
+        for k in range(len(t) - 2):
+            word = sum((ord(c) & 31) << 5 * (2 - j) for j, c in enumerate(t[k : k + 3]))
+            want[word] = min(want.get(word, (True, 0, 0)), (i is None, i or 0, k + 1 if i is not None else 0))
+    told = [r for b in heads.first_places(iter([batch]), 3, part, most) for r in b.to_pylist()]
+    for r in told:
+        key = (r["prot_id"] is None, r["prot_id"] or 0, r["pos"] if r["prot_id"] is not None else 0)
+        got[r["word"]] = min(got.get(r["word"], key), key)
+    assert got == want and (most == 5 or len(told) == len(want))
